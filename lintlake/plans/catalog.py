@@ -672,7 +672,7 @@ def _(spark, d):
     entries = F.array(*[F.lit(e) for e in fv.IGNORE_ENTRIES])
     return (
         fx.code_files(spark, d).filter((F.col("path") == ".gitignore") & (F.col("size") > 0))
-        .select("repo", F.explode(F.array_except(entries, F.split("content", "\n"))).alias("entry"))
+        .select("repo", F.explode(F.filter(entries, lambda e: ~F.contains("content", e))).alias("entry"))
     )
 
 

@@ -203,8 +203,10 @@ def code_files_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(o % 4 == 2, file(F.concat(F.lit("src/core/mod_"), id_text, F.lit(".py")), body))
         .otherwise(file(F.concat(F.lit("src/mod_"), id_text, F.lit(".py")), body))
     )
-    return placed.select("repo", "doc_id", chosen.alias("f")).select(
-        "repo", "f.path", "f.content", F.octet_length("f.content").cast("long").alias("size"), "doc_id"
+    # inline() keeps path and content as plain columns, as in a stored table: without it every use of
+    # ``path`` further up would carry a copy of the rules above.
+    return placed.select("repo", "doc_id", F.inline(F.array(chosen))).select(
+        "repo", "path", "content", F.octet_length("content").cast("long").alias("size"), "doc_id"
     )
 
 
