@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake import fixed_values as fv
@@ -108,6 +108,24 @@ def match_lines(content: Column, pattern: str) -> Column:
     return F.when(content.rlike(java), F.flatten(per_line)).otherwise(F.array().cast("array<int>"))
 
 
+# --- arrays to rows -------------------------------------------------------------------------
+
+
+def explode_rows(df: DataFrame, keep: list[str], array: Column, name: str) -> DataFrame:
+    """``explode`` for arrays that are costly to compute.
+
+    For a plain explode the optimizer adds a filter ``size(array) > 0`` and pushes it to the scan, with
+    the array expression and everything below it copied into the filter, even into lambda bodies. The
+    outer form computes the array once; the null row of an empty array is dropped right after.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
+def inline_rows(df: DataFrame, keep: list[str], array: Column) -> DataFrame:
+    """``explode_rows`` for an array of structs, one column per field."""
+    return explode_rows(df, keep, array, "_item").select(*keep, "_item.*")
+
+
 # --- paths -----------------------------------------------------------------------------------
 
 

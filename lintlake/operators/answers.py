@@ -18,16 +18,23 @@ _FENCE = "```"
 
 def unfenced(answer: Column) -> Column:
     """Drop a Markdown fence: the first line and everything from the last fence. Null if one line."""
-    s = text.strip(answer)
-    inner = F.regexp_replace(s, r"\A[^\n]*\n", "")
-    inner = F.regexp_replace(inner, r"(?s)\A(.*)```.*\z", "$1")
-    return F.when(~s.startswith(_FENCE), s).when(s.contains("\n"), inner)
+
+
+    def open_up(s: Column) -> Column:
+        inner = F.regexp_replace(s, r"\A[^\n]*\n", "")
+        inner = F.regexp_replace(inner, r"(?s)\A(.*)```.*\z", "$1")
+        return F.when(~s.startswith(_FENCE), s).when(s.contains("\n"), inner)
+
+    # A one-element array binds the stripped text once.
+    return F.get(F.transform(F.array(text.strip(answer)), open_up), F.lit(0))
 
 
 def parsed(answer: Column, schema: str) -> Column:
     """The JSON array of an answer, null if it is not one."""
-    body = text.strip(unfenced(answer))
-    return F.when(body.startswith("["), F.from_json(body, schema))
+    body = F.array(text.strip(unfenced(answer)))
+    return F.get(
+        F.transform(body, lambda b: F.when(b.startswith("["), F.from_json(b, schema))), F.lit(0)
+    )
 
 
 def file_key(file: Column) -> Column:
@@ -82,7 +89,7 @@ def validated(findings: DataFrame, files: DataFrame, responses: DataFrame) -> Da
     )
     kept = F.when(unusable, F.array(original)).otherwise(confirmed)
     columns = [f"v.{c}" if c in ("suggestion", "description") else c for c in findings.columns]
-    return rows.withColumn("v", F.explode(kept)).select(*columns)
+    return text.explode_rows(rows, findings.columns, kept, "v").select(*columns)
 
 
 def dismissal_counts(before: DataFrame, after: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -104,7 +111,7 @@ def by_analyzer(findings: DataFrame) -> DataFrame:
 def review_findings(responses: DataFrame) -> DataFrame:
     """``responses(repo, text)`` of the whole-repo review -> findings with defaults filled in."""
     rows = responses.select(
-        "repo", F.posexplode(parsed(F.col("text"), REVIEWS)).alias("pos", "a")
+        "repo", F.posexplode_outer(parsed(F.col("text"), REVIEWS)).alias("pos", "a")
     ).filter(F.col("a").isNotNull())
     default = lambda name, value: F.coalesce(F.col(f"a.{name}"), F.lit(value)).alias(name)
     found = F.struct(

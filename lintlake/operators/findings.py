@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lintlake import fixed_values as fv
 from lintlake.functions import text
+from lintlake.functions.memo import per_application
 from lintlake.options import DEFAULTS, Options
 
 ANALYZER_NO = {row[0]: i for i, row in enumerate(fv.ANALYZERS)}
@@ -58,7 +59,7 @@ def with_lines(files: DataFrame) -> DataFrame:
 def exploded_lines(files: DataFrame) -> DataFrame:
     """One row per line."""
     return files.select(
-        "repo", "path", F.posexplode(text.split_lines(F.col("content"))).alias("pos", "text")
+        "repo", "path", F.posexplode_outer(text.split_lines(F.col("content"))).alias("pos", "text")
     ).select("repo", "path", (F.col("pos") + 1).alias("line_no"), "text")
 
 
@@ -103,32 +104,35 @@ def at_most_one(condition: Column, one: Column) -> Column:
     return F.when(condition, F.array(one)).otherwise(empty())
 
 
+@per_application
+def _tagged(check: FileCheck, options: Options) -> Column:
+    """The check's findings with its name and order key."""
+    return F.transform(
+        check.expression(options),
+        lambda f, i: F.struct(
+            F.lit(check.analyzer).alias("analyzer"),
+            F.lit(CATEGORY[check.analyzer]).alias("category"),
+            F.lit(check.check_id).alias("check_id"),
+            f.alias("f"),
+            F.struct(
+                F.lit(ANALYZER_NO[check.analyzer]).alias("analyzer"),
+                F.lit(check.phase).alias("phase"),
+                F.col("path").alias("path"),
+                F.lit(check.order).alias("check"),
+                i.alias("sub"),
+            ).alias("ord"),
+        ),
+    )
+
+
 def file_findings(
     files: DataFrame, checks: Sequence[FileCheck], options: Options = DEFAULTS
 ) -> DataFrame:
     """Run file checks in one pass."""
 
-    def tagged(check: FileCheck) -> Column:
-        return F.transform(
-            check.expression(options),
-            lambda f, i: F.struct(
-                F.lit(check.analyzer).alias("analyzer"),
-                F.lit(CATEGORY[check.analyzer]).alias("category"),
-                F.lit(check.check_id).alias("check_id"),
-                f.alias("f"),
-                F.struct(
-                    F.lit(ANALYZER_NO[check.analyzer]).alias("analyzer"),
-                    F.lit(check.phase).alias("phase"),
-                    F.col("path").alias("path"),
-                    F.lit(check.order).alias("check"),
-                    i.alias("sub"),
-                ).alias("ord"),
-            ),
-        )
-
-    arrays = [tagged(c) for c in checks]
-    found = with_lines(files.select("repo", "path", "content")).select(
-        "repo", "path", F.explode(F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("x")
+    arrays = [_tagged(c, options) for c in checks]
+    found = text.explode_rows(
+        with_lines(files.select("repo", "path", "content")), ["repo", "path"], F.concat(*arrays), "x"
     )
     return found.select(
         "repo",

@@ -26,8 +26,8 @@ def proposed(fixes: DataFrame, files: DataFrame, responses: DataFrame) -> DataFr
     findings, or ``Fix``.
     """
     rows = responses.select(
-        "repo", "key", F.posexplode(parsed(F.col("text"), FIXES)).alias("seq", "a")
-    ).select(
+        "repo", "key", F.posexplode_outer(parsed(F.col("text"), FIXES)).alias("seq", "a")
+    ).filter(F.col("a").isNotNull()).select(
         "repo", F.col("key").alias("path"), "seq",
         F.coalesce("a.finding_index", F.lit(1)).alias("idx"),
         F.coalesce("a.original", F.lit("")).alias("original"),
@@ -80,7 +80,7 @@ def apply_patches(patches: DataFrame, files: DataFrame, dry_run: bool = True) ->
         status = "applied"
     flagged = F.transform(F.col("patches"), lambda p, i: F.struct(p.alias("p"), fits(p, i).alias("fits")))
     return (
-        joined.select("repo", "path", F.inline(flagged))
+        text.inline_rows(joined, ["repo", "path"], flagged)
         .filter("fits")
         .select("repo", "path", "p.seq", "p.finding", "p.original", "p.fixed", "p.explanation",
                 F.lit(status).alias("status"))
@@ -118,7 +118,7 @@ def patch_lines(patches: DataFrame) -> DataFrame:
         F.array(F.lit("```"), F.lit("")),
     )
     return numbered(patches, ["repo"], ["path", "seq"], "number").select(
-        "repo", "number", F.posexplode(lines).alias("line_no", "line")
+        "repo", "number", F.posexplode_outer(lines).alias("line_no", "line")
     )
 
 

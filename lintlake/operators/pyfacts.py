@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lintlake import fixed_values as fv
 from lintlake.functions import text
+from lintlake.functions.memo import per_application
 from lintlake.operators.findings import ANALYZER_NO, CATEGORY, item
 
 FACTS_SCHEMA = """
@@ -173,29 +174,31 @@ FACT_CHECKS = [
 ]
 
 
+_ANALYZER = "AST Analysis"
+
+
+@per_application
+def _tagged(check_id: str, order: int) -> Column:
+    return F.transform(dict(FACT_CHECKS)[check_id](), lambda f, i: F.struct(
+        F.lit(check_id).alias("check_id"),
+        f.alias("f"),
+        F.struct(
+            F.lit(ANALYZER_NO[_ANALYZER]).alias("analyzer"),
+            F.lit(0).alias("phase"),
+            F.col("path").alias("path"),
+            F.lit(order).alias("check"),
+            i.alias("sub"),
+        ).alias("ord"),
+    ))
+
+
 def fact_findings(facts: DataFrame, check_ids: list[str] | None = None) -> DataFrame:
     """Findings of the syntax checks from the facts table: one projection, one explode."""
-    analyzer = "AST Analysis"
-
-    def tagged(check_id: str, order: int, items: Column) -> Column:
-        return F.transform(items, lambda f, i: F.struct(
-            F.lit(check_id).alias("check_id"),
-            f.alias("f"),
-            F.struct(
-                F.lit(ANALYZER_NO[analyzer]).alias("analyzer"),
-                F.lit(0).alias("phase"),
-                F.col("path").alias("path"),
-                F.lit(order).alias("check"),
-                i.alias("sub"),
-            ).alias("ord"),
-        ))
-
-    arrays = [tagged(check_id, order, expression())
-              for order, (check_id, expression) in enumerate(FACT_CHECKS)
+    arrays = [_tagged(check_id, order) for order, (check_id, _) in enumerate(FACT_CHECKS)
               if check_ids is None or check_id in check_ids]
-    found = facts.filter("parsed").select("repo", "path", F.explode(F.concat(*arrays)).alias("x"))
+    found = text.explode_rows(facts.filter("parsed"), ["repo", "path"], F.concat(*arrays), "x")
     return found.select(
-        "repo", F.lit(analyzer).alias("analyzer"), F.lit(CATEGORY[analyzer]).alias("category"),
+        "repo", F.lit(_ANALYZER).alias("analyzer"), F.lit(CATEGORY[_ANALYZER]).alias("category"),
         "x.check_id", F.col("path").alias("file"), "x.f.severity", "x.f.title", "x.f.description",
         "x.f.suggestion", "x.f.line", "x.f.code_before",
         F.lit(None).cast("string").alias("code_after"), "x.ord",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lintlake import fixed_values as fv
 from lintlake.functions import text
+from lintlake.functions.memo import per_application
 from lintlake.operators.findings import ANALYZER_NO, CATEGORY, item
 from lintlake.operators.repo_facts import (
     api_opportunity,
@@ -99,33 +100,36 @@ REPO_CHECKS = [
 ]
 
 
+@per_application
+def _entry(check: RepoCheck, options: Options) -> Column:
+    """The check's finding with its order key, null where the condition does not hold."""
+    return F.when(
+        check.condition(options),
+        F.struct(
+            F.lit(check.analyzer).alias("analyzer"),
+            F.lit(CATEGORY[check.analyzer]).alias("category"),
+            F.lit(check.check_id).alias("check_id"),
+            F.lit(check.file).alias("file"),
+            check.found(options).alias("f"),
+            F.struct(
+                F.lit(ANALYZER_NO[check.analyzer]).alias("analyzer"),
+                F.lit(check.phase).alias("phase"),
+                F.lit("").alias("path"),
+                F.lit(0).alias("check"),
+                F.lit(0).alias("sub"),
+            ).alias("ord"),
+        ),
+    )
+
+
 def repo_findings(
     files: DataFrame, checks: list[RepoCheck] | None = None, options: Options = DEFAULTS
 ) -> DataFrame:
     """Findings of the repository-scoped checks: one aggregate, then one explode."""
     checks = checks or REPO_CHECKS
     facts = repo_facts(files, list(dict.fromkeys(n for c in checks for n in c.facts)))
-    entries = [
-        F.when(
-            c.condition(options),
-            F.struct(
-                F.lit(c.analyzer).alias("analyzer"),
-                F.lit(CATEGORY[c.analyzer]).alias("category"),
-                F.lit(c.check_id).alias("check_id"),
-                F.lit(c.file).alias("file"),
-                c.found(options).alias("f"),
-                F.struct(
-                    F.lit(ANALYZER_NO[c.analyzer]).alias("analyzer"),
-                    F.lit(c.phase).alias("phase"),
-                    F.lit("").alias("path"),
-                    F.lit(0).alias("check"),
-                    F.lit(0).alias("sub"),
-                ).alias("ord"),
-            ),
-        )
-        for c in checks
-    ]
-    found = facts.select("repo", F.explode(F.array_compact(F.array(*entries))).alias("x"))
+    entries = [_entry(c, options) for c in checks]
+    found = text.explode_rows(facts, ["repo"], F.array_compact(F.array(*entries)), "x")
     return found.select(
         "repo", "x.analyzer", "x.category", "x.check_id", "x.file", "x.f.severity", "x.f.title",
         "x.f.description", "x.f.suggestion", "x.f.line", "x.f.code_before",
@@ -164,6 +168,7 @@ def hook_notes(files: DataFrame) -> DataFrame:
             text.fill(fv.NOTE_API, path=path, n=top_level_functions(content)),
         ),
     ))
-    return files.select("repo", "path", F.posexplode(notes).alias("sub", "note")).select(
+    numbered = F.transform(notes, lambda note, i: F.struct(i.alias("sub"), note.alias("note")))
+    return text.inline_rows(files, ["repo", "path"], numbered).select(
         "repo", F.lit("Automation").alias("analyzer"), "path", "sub", "note"
     )

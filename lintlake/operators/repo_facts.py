@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lintlake import fixed_values as fv
 from lintlake.functions import text
+from lintlake.functions.memo import per_application
 
 _API = text.java_pattern(fv.TOP_LEVEL_DEF_PATTERN)
 
@@ -92,6 +93,9 @@ FACTS = {
 
 def repo_facts(files: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Facts per repository; only the columns the named facts need are read."""
-    path, content = F.col("path"), F.col("content")
-    chosen = names or list(FACTS)
-    return files.groupBy("repo").agg(*[FACTS[n](path, content).alias(n) for n in chosen])
+    return files.groupBy("repo").agg(*[_fact(n) for n in names or list(FACTS)])
+
+
+@per_application
+def _fact(name: str) -> Column:
+    return FACTS[name](F.col("path"), F.col("content")).alias(name)

@@ -138,7 +138,7 @@ def _rows(df: DataFrame, section: int, lines: Column, block: Column | int = 0, n
     return df.select(
         "repo", F.lit(section).alias("section"), as_col(block).alias("block"), as_col(name).alias("name"),
         (ord_ if ord_ is not None else F.lit(None).cast(ORD_TYPE)).alias("ord"),
-        F.lit(part).alias("part"), F.posexplode(lines).alias("line_no", "line"),
+        F.lit(part).alias("part"), F.posexplode_outer(lines).alias("line_no", "line"),
     )
 
 
@@ -270,7 +270,7 @@ def _gaps(rows: DataFrame) -> DataFrame:
     return used.select(
         "repo", "section", F.lit(-1).alias("block"), F.lit("").alias("name"),
         F.lit(None).cast(ORD_TYPE).alias("ord"), F.lit(0).alias("part"),
-        F.posexplode(blank).alias("line_no", "line"),
+        F.posexplode_outer(blank).alias("line_no", "line"),
     )
 
 

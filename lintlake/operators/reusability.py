@@ -52,8 +52,8 @@ def _scoped(files: DataFrame, scope: str) -> DataFrame:
     raise ValueError(f"unknown scope: {scope}")
 
 
-def block_files(files: DataFrame, options: Options = DEFAULTS, scope: str = "repo") -> DataFrame:
-    """Every (repo, block, path) whose block occurs in at least two files of the repo.
+def _block_members(files: DataFrame, options: Options, scope: str) -> DataFrame:
+    """(repo, block, path, idx of the first occurrence) for blocks that may be shared.
 
     Step 1 shuffles only 8-byte hashes, one per distinct block of a file, pre-aggregated in the map
     tasks, and keeps the hashes seen in two files. Step 2 joins the blocks with those hashes and
@@ -66,51 +66,60 @@ def block_files(files: DataFrame, options: Options = DEFAULTS, scope: str = "rep
     )
     hashes = F.array_distinct(F.transform(F.col("blocks"), lambda b: F.xxhash64(b["block"])))
     shared = (
-        cut.select("repo", F.explode(hashes).alias("h"))
+        text.explode_rows(cut, ["repo"], hashes, "h")
         .groupBy("repo", "h")
         .agg(F.count(F.lit(1)).alias("n_hash"))
         .filter(F.col("n_hash") >= 2)
     )
-    candidates = (
-        cut.select("repo", "path", F.inline("blocks"))
+    return (
+        text.inline_rows(cut, ["repo", "path"], F.col("blocks"))
         .withColumn("h", F.xxhash64("block"))
         .join(shared, ["repo", "h"])
         .groupBy("repo", "block", "path")
         .agg(F.min("idx").alias("idx"))
     )
-    return _in_groups_of(candidates, ["repo", "block"], 2)
+
+
+def block_files(files: DataFrame, options: Options = DEFAULTS, scope: str = "repo") -> DataFrame:
+    """Every (repo, block, path) whose block occurs in at least two files of the repo."""
+    return _in_groups_of(_block_members(files, options, scope), ["repo", "block"], 2)
+
+
+def _sizes(members: DataFrame, key: list[str], least: int) -> DataFrame:
+    """Group sizes as partial aggregates.
+
+    Counting ``idx`` (never null) keeps the column in the plan, so that this branch and the one over
+    the members share one shuffle of the members instead of computing them twice.
+    """
+    return members.groupBy(*key).agg(
+        F.count("idx").alias("n_files"), F.min(F.struct("path", "idx")).alias("first")
+    ).filter(F.col("n_files") >= least)
 
 
 def _in_groups_of(members: DataFrame, key: list[str], least: int) -> DataFrame:
-    """Members of groups with at least ``least`` rows; group sizes are partial aggregates."""
-    sizes = members.groupBy(*key).agg(F.count(F.lit(1)).alias("n_files")).filter(
-        F.col("n_files") >= least
-    )
-    return members.join(sizes, key)
+    """Members of groups with at least ``least`` files, with the group size."""
+    return members.join(_sizes(members, key, least).drop("first"), key)
 
 
-def _grouped(members: DataFrame, key: list[str], options: Options) -> DataFrame:
-    """One row per group: size, first member (path, idx) and the file label."""
-    summary = members.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n_files"), F.min(F.struct("path", "idx")).alias("first")
-    )
+def _grouped(members: DataFrame, key: list[str], least: int, options: Options) -> DataFrame:
+    """One row per group of at least ``least`` files: size, first (path, idx) and the file label."""
     ranked = Window.partitionBy(*key).orderBy("path")
+    entries = F.array_sort(F.collect_list(F.struct("path", "idx")))
     named = (
-        members.select(*key, "path")
-        .withColumn("rank", F.row_number().over(ranked))
+        members.withColumn("rank", F.row_number().over(ranked))
         .filter(F.col("rank") <= options.inline_files)
         .groupBy(*key)
-        .agg(F.array_join(F.array_sort(F.collect_list("path")), ", ").alias("listed"))
+        .agg(F.array_join(F.transform(entries, lambda e: e["path"]), ", ").alias("listed"))
     )
     label = F.when(F.col("n_files") <= options.inline_files, F.col("listed")).otherwise(
         F.concat("first.path", F.lit(", and "), F.col("n_files") - 1, F.lit(" more files"))
     )
-    return summary.join(named, key).withColumn("label", label)
+    return _sizes(members, key, least).join(named, key).withColumn("label", label)
 
 
 def duplicate_blocks(files: DataFrame, options: Options = DEFAULTS, scope: str = "repo") -> DataFrame:
     """One row per shared block: number of files, first file, position there, file label."""
-    grouped = _grouped(block_files(files, options, scope), ["repo", "block"], options)
+    grouped = _grouped(_block_members(files, options, scope), ["repo", "block"], 2, options)
     return grouped.select(
         "repo", "block", "n_files", F.col("first.path").alias("first_file"),
         F.col("first.idx").alias("first_idx"), F.col("label").alias("file"),
@@ -124,23 +133,26 @@ def duplicate_block_findings(files: DataFrame, options: Options = DEFAULTS) -> D
                         found, F.col("first_file"), F.col("first_idx"))
 
 
-def import_set_files(files: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """Every (repo, import set, path) whose set occurs in ``import_repetition_threshold`` files."""
+def _import_members(files: DataFrame) -> DataFrame:
+    """(repo, import set, path) of files with import lines."""
     lines = F.array_sort(F.filter(
         F.transform(text.split_lines(F.col("content")), text.strip),
         lambda t: text.starts_with_any(t, ["import ", "from "]),
     ))
-    members = (
-        files.filter(text.contains_any(F.col("content"), ["import ", "from "]))
-        .select("repo", "path", lines.alias("lines"))
-        .filter(F.size("lines") > 0)
-        .select("repo", "path", F.array_join("lines", "\n").alias("imports"), F.lit(0).alias("idx"))
-    )
-    return _in_groups_of(members, ["repo", "imports"], options.import_repetition_threshold)
+    with_imports = files.filter(text.contains_any(F.col("content"), ["import ", "from "]))
+    joined = F.transform(F.array(lines), lambda a: F.when(F.size(a) > 0, F.array_join(a, "\n")))
+    return text.explode_rows(with_imports, ["repo", "path"], joined, "imports").withColumn("idx", F.lit(0))
+
+
+def import_set_files(files: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """Every (repo, import set, path) whose set occurs in ``import_repetition_threshold`` files."""
+    return _in_groups_of(_import_members(files), ["repo", "imports"], options.import_repetition_threshold)
 
 
 def repeated_import_findings(files: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    grouped = _grouped(import_set_files(files, options), ["repo", "imports"], options)
+    grouped = _grouped(
+        _import_members(files), ["repo", "imports"], options.import_repetition_threshold, options
+    )
     return finding_rows(grouped, "REU2", "Reusability", 1, F.col("label"),
                         item("REU2", n=F.col("n_files")), F.col("first.path"))
 

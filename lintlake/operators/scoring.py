@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake import fixed_values as fv
+from lintlake.functions.memo import per_application
 from lintlake.operators.repo_facts import mask_of, repo_facts
 from lintlake.options import DEFAULTS, Options
 
@@ -32,22 +33,24 @@ def severity_icon(severity: Column) -> Column:
     )
 
 
-def points(analyzer: Column, severity: Column) -> Column:
-    """Deduction of one finding."""
+def points(analyzer: str, severity: Column) -> Column:
+    """Deduction of one finding of the analyzer."""
     decimal = lambda v: F.lit(v).cast("decimal(3,1)")
+    *by_severity, other = next(row[2:] for row in fv.ANALYZERS if row[0] == analyzer)
     return _chain(
-        [
-            (
-                analyzer == name,
-                _chain([(severity == s, decimal(v)) for s, v in zip(fv.SEVERITIES, by_severity)],
-                       decimal(other)),
-            )
-            for name, _, *by_severity, other in fv.ANALYZERS
-        ],
-        decimal("0.0"),
+        [(severity == s, decimal(v)) for s, v in zip(fv.SEVERITIES, by_severity)], decimal(other)
     )
 
 
+@per_application
+def _deductions() -> list[Column]:
+    """One sum per analyzer."""
+    return [
+        F.sum(F.when(F.col("analyzer") == name, points(name, F.col("severity")))).alias(name)
+        for name in STATIC_ANALYZERS
+    ]
+
+
 def repos_of(files: DataFrame) -> DataFrame:
     """One row per repo with its number of files; reads no content."""
     return repo_facts(files, ["n_files"])
@@ -58,10 +61,7 @@ def wide_scores(findings: DataFrame, repos: DataFrame) -> DataFrame:
 
     Findings are reduced to one row per (task, repo) before the shuffle.
     """
-    deductions = findings.groupBy("repo").agg(*[
-        F.sum(F.when(F.col("analyzer") == name, points(F.lit(name), F.col("severity")))).alias(name)
-        for name in STATIC_ANALYZERS
-    ])
+    deductions = findings.groupBy("repo").agg(*_deductions())
     ten, one = F.lit(10).cast("decimal(6,1)"), F.lit(1).cast("decimal(6,1)")
     return repos.join(deductions, "repo", "left").select(
         *repos.columns,
@@ -106,6 +106,7 @@ def repo_scores(findings: DataFrame, repos: DataFrame, options: Options = DEFAUL
 _KEYWORDS = [(tag, word) for tag, words in fv.TAG_KEYWORDS.items() for word in words]
 
 
+@per_application
 def _keyword_mask(text_column: Column) -> Column:
     lowered = F.lower(text_column)
     return mask_of([F.contains(lowered, F.lit(word)) for _, word in _KEYWORDS])

@@ -60,7 +60,7 @@ def test_lines(answers: DataFrame, written: bool = False) -> DataFrame:
         F.array(F.lit("```"), F.lit("")),
     )
     parts = totals.select("repo", F.lit(0).alias("block"), F.lit("").alias("name"),
-                          F.posexplode(head).alias("line_no", "line"))
+                          F.posexplode_outer(head).alias("line_no", "line"))
     if written:
         entry = rows.select("repo", F.lit(1).alias("block"), F.col("test_path").alias("name"),
                             F.lit(0).alias("line_no"),
@@ -70,5 +70,5 @@ def test_lines(answers: DataFrame, written: bool = False) -> DataFrame:
                               F.lit(0).alias("line_no"), F.lit("").alias("line"))
         parts = parts.unionByName(entry).unionByName(blank)
     code = rows.select("repo", F.lit(2).alias("block"), F.col("test_path").alias("name"),
-                       F.posexplode(body).alias("line_no", "line"))
+                       F.posexplode_outer(body).alias("line_no", "line"))
     return parts.unionByName(code)

@@ -127,4 +127,4 @@ def trend_section(runs: DataFrame) -> DataFrame:
               "baseline for future comparisons."),
     )
     shown = F.when(F.col("prev").isNull(), first_run).otherwise(lines)
-    return latest.select("repo", F.posexplode(shown).alias("line_no", "line"))
+    return latest.select("repo", F.posexplode_outer(shown).alias("line_no", "line"))

@@ -264,14 +264,12 @@ def _(spark, d):
 
 @query("k3_match_lines")
 def _(spark, d):
-    rows = fx.docs_files(spark, d).select(
-        "repo", "path",
-        F.explode(text.match_lines(F.col("content"), fv.SECRET_PATTERNS[0][0])).alias("line"),
+    hits = lambda pattern: text.explode_rows(
+        fx.docs_files(spark, d), ["repo", "path"], text.match_lines(F.col("content"), pattern), "line"
     )
+    rows = hits(fv.SECRET_PATTERNS[0][0])
     # Every sentence end, to have many hits per text.
-    dots = fx.docs_files(spark, d).select(
-        "repo", "path", F.explode(text.match_lines(F.col("content"), r"[a-z]\.\n?")).alias("line")
-    )
+    dots = hits(r"[a-z]\.\n?")
     return union_all([rows, dots]).groupBy("repo", "path", "line").agg(F.count(F.lit(1)).alias("n_hits"))
 
 
@@ -286,7 +284,7 @@ def _(spark, d):
 def _(spark, d):
     pairs = F.transform(F.col("ln"), lambda x: F.struct(
         x["no"].alias("line"), next_text_line(x, 4)["no"].alias("next_line")))
-    return with_lines(fx.code_files(spark, d)).select("repo", "path", F.inline(pairs))
+    return text.inline_rows(with_lines(fx.code_files(spark, d)), ["repo", "path"], pairs)
 
 
 @query("k6_paths")
@@ -595,7 +593,7 @@ def _(spark, d):
 @query("win2_blocks")
 def _(spark, d):
     cut = fx.docs_files(spark, d).select("repo", "path", reusability._code_lines().alias("code"))
-    rows = cut.select("repo", "path", F.inline(reusability._windows(F.col("code"), DEFAULTS)))
+    rows = text.inline_rows(cut, ["repo", "path"], reusability._windows(F.col("code"), DEFAULTS))
     return rows.select("repo", "path", "idx", F.md5("block").alias("block_md5"))
 
 
@@ -607,7 +605,7 @@ def _(spark, d):
         x["no"].alias("line"), F.regexp_extract(x["raw"], pattern, 1).alias("name"),
         (F.coalesce(F.get(F.col("defs"), i + 1)["no"], F.col("n") + 1) - x["no"]).alias("n_lines")))
     rows = with_lines(fx.code_files(spark, d)).select("repo", "path", defs.alias("defs"), F.size("ln").alias("n"))
-    return rows.select("repo", "path", F.inline(spans))
+    return text.inline_rows(rows, ["repo", "path"], spans)
 
 
 @query("win4_finding_index")
