@@ -261,17 +261,16 @@ def spliced_rows(lines: DataFrame, section: int) -> DataFrame:
     )
 
 
-def _gaps(rows: DataFrame) -> DataFrame:
+def _gaps(cards: DataFrame, extra: dict[int, DataFrame]) -> DataFrame:
     """Blank lines in front of sections: two before a spliced one, else one."""
-    used = rows.filter(F.col("section") > HEADER).groupBy("repo", "section").agg(F.count(F.lit(1)).alias("n"))
-    blank = F.when(
-        F.col("section").isin(PATCHES, TESTS, TREND), _lines("", "")
-    ).otherwise(_lines(""))
-    return used.select(
-        "repo", "section", F.lit(-1).alias("block"), F.lit("").alias("name"),
-        F.lit(None).cast(ORD_TYPE).alias("ord"), F.lit(0).alias("part"),
-        F.posexplode_outer(blank).alias("line_no", "line"),
-    )
+
+    def before(repos: DataFrame, section: int, n: int) -> DataFrame:
+        return _rows(repos, section, _lines(*[""] * n), -1)
+
+    return union_all([
+        *[before(cards, section, 1) for section in (SUMMARY, TOP, BY_FILE, PLAN, FOOTER)],
+        *[before(lines.select("repo").distinct(), section, 2) for section, lines in extra.items()],
+    ])
 
 
 def report_lines(
@@ -293,7 +292,8 @@ def report_lines(
         footer_rows(cards),
         *[spliced_rows(lines, section) for section, lines in (extra or {}).items()],
     ])
-    return body.unionByName(_gaps(body))
+    # Which sections a repo has is known from the rows that always exist.
+    return body.unionByName(_gaps(cards, extra or {}))
 
 
 def in_order(lines: DataFrame) -> DataFrame:

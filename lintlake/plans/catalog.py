@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lintlake import fixed_values as fv
 from lintlake import sinks
 from lintlake.functions import text
+from lintlake.functions.ranking import durable
 from lintlake.operators import (
     answers,
     cost,
@@ -79,6 +80,11 @@ def _docs_secrets(spark: SparkSession, d: str) -> DataFrame:
     return _file_check(fx.docs_files(spark, d), "SEC1")
 
 
+def _stored_findings(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """The findings, computed once and stored, for jobs that read them several times."""
+    return durable(all_findings(files, facts=facts))
+
+
 def _card(spark: SparkSession, d: str) -> DataFrame:
     code = fx.code_files(spark, d)
     return scoring.scorecard(all_findings(code), code)
@@ -167,7 +173,7 @@ def _(spark, d):
 @query("snk1_metadata")
 def _(spark, d):
     code = fx.code_files(spark, d)
-    found = all_findings(code)
+    found = _stored_findings(code)
     rows = sinks.metadata(
         scoring.scorecard(found, code), scoring.analyzer_scores(found, scoring.repos_of(code))
     )
@@ -181,11 +187,10 @@ def _(spark, d):
 
 def _report(spark: SparkSession, d: str) -> DataFrame:
     code = fx.code_files(spark, d)
-    facts = pyfacts.syntax_facts(code)
-    found = all_findings(code, facts=facts)
-    return report.report_lines(
-        found, scoring.scorecard(found, code), report.describe(code), all_notes(code, facts), GENERATED
-    )
+    facts = durable(pyfacts.syntax_facts(code))
+    found = _stored_findings(code, facts)
+    cards = durable(scoring.scorecard(found, code))
+    return report.report_lines(found, cards, report.describe(code), durable(all_notes(code, facts)), GENERATED)
 
 
 @query("snk2_report_lines")
@@ -420,7 +425,7 @@ def _(spark, d):
 
 def _validated(spark: SparkSession, d: str) -> DataFrame:
     code = fx.code_files(spark, d)
-    found = _code_file_findings(spark, d)
+    found = durable(_code_file_findings(spark, d))
     return answers.validated(found, code, fx.verdict_answers(found))
 
 
@@ -692,7 +697,7 @@ def _(spark, d):
 @query("rep2_plan_rows")
 def _(spark, d):
     code = fx.code_files(spark, d)
-    return report.plan_rows(all_findings(code), scoring.repos_of(code)).select("repo", "priority", "entry")
+    return report.plan_rows(_stored_findings(code), scoring.repos_of(code)).select("repo", "priority", "entry")
 
 
 @query("rep3_entries")
@@ -706,9 +711,9 @@ def _(spark, d):
 @query("rep4_spliced_report")
 def _(spark, d):
     code = fx.code_files(spark, d)
-    facts = pyfacts.syntax_facts(code)
-    found = all_findings(code, facts=facts)
-    cards = scoring.scorecard(found, code)
+    facts = durable(pyfacts.syntax_facts(code))
+    found = _stored_findings(code, facts)
+    cards = durable(scoring.scorecard(found, code))
     tests = testgen.test_lines(testgen.answered_tests(fx.test_answers(spark, d)))
     runs = fx.event_runs(spark, d).withColumn(
         "repo", F.concat(F.lit("src"), F.regexp_extract("repo", r"(\d+)", 1).cast("int") % 20)
@@ -717,7 +722,7 @@ def _(spark, d):
         "repo", F.lit(0).alias("block"), F.lit("").alias("name"), "line_no", "line"
     )
     lines = report.report_lines(
-        found, cards, report.describe(code), all_notes(code, facts), GENERATED, smart=True,
+        found, cards, report.describe(code), durable(all_notes(code, facts)), GENERATED, smart=True,
         extra={report.TESTS: tests, report.TREND: trend},
     )
     return lines.groupBy("repo", "section").agg(F.count(F.lit(1)).alias("n_lines"))
