@@ -1 +1 @@
-"""Column-level building blocks: line arrays, stripping, match positions, paths, templates."""
+"""Column-level building blocks: text and match positions, paths, templates, row numbers."""
