@@ -195,9 +195,7 @@ def _report(spark: SparkSession, d: str) -> DataFrame:
 
 @query("snk2_report_lines")
 def _(spark, d):
-    return _report(spark, d).select(
-        "repo", "section", "block", "name", F.col("ord").cast("string").alias("ord"), "part", "line_no", "line"
-    )
+    return report.in_order(_report(spark, d)).select("repo", "section", "line")
 
 
 @query("snk3_portfolio_csv")

@@ -158,6 +158,29 @@ add("ast0_facts", (*_AST, f"counts(s, n_imports, n_exports, n_guarded, n_funcs,
     + """ FROM code LEFT JOIN file_snippet f ON f.repo = code.repo AND f.path = code.path
 LEFT JOIN counts USING (s) WHERE ends_with(code.path, '.py')""")
 
+# Imports and public functions per snippet, by hand: (snippet, name, line, guarded) and
+# (snippet, order, name, first line, last line).
+_IMPORTS = [(1, "os", 1, 0), (5, "os", 1, 0), (5, "sys", 2, 0), (5, "a.b", 3, 0), (5, "List", 4, 0), (5, "D", 4, 0),
+            (5, "TYPE_CHECKING", 6, 0), (5, "decimal", 8, 1), (12, "json", 1, 0), (12, "logging", 2, 0),
+            (100, "tkinter", 1, 0)]
+_FUNCTIONS = [(3, 0, "stub_one", 1, 3), (3, 1, "stub_two", 4, 5), (3, 2, "last_stub", 8, 9),
+              (7, 0, "long_function", 1, 65), (8, 0, "f1", 1, 2), (8, 1, "f2", 3, 4), (8, 2, "f3", 5, 6),
+              (8, 3, "f4", 7, 8), (8, 4, "f5", 9, 10), (8, 5, "f7", 13, 15), (10, 0, "deep", 1, 16),
+              (10, 1, "inner", 13, 15), (12, 0, "load_rows", 3, 7), (14, 0, "helper_{id}", 1, 3),
+              (101, 0, "test_a", 1, 2)]
+add("jn5_guarded_imports", (*_AST, f"imports(s, name, line, g) AS (VALUES {', '.join(map(str, _IMPORTS))})"),
+    "SELECT repo, path, name, line, g = 1 AS guarded FROM file_snippet JOIN imports USING (s)")
+_PUBLIC = (*_AST, f"functions(s, seq, name, line, last) AS (VALUES {', '.join(map(str, _FUNCTIONS))})",
+           f"""public AS (
+  SELECT f.repo, f.path, seq, replace(name, '{{id}}', CAST(f.doc_id AS VARCHAR)) AS name, line,
+    array_to_string(string_split(content, {LF})[line:last], {LF}) AS source
+  FROM file_snippet f JOIN functions USING (s) JOIN code ON code.repo = f.repo AND code.path = f.path)""")
+add("tst1_public_functions", _PUBLIC,
+    "SELECT repo, path, name, CAST(NULL AS VARCHAR) AS class, line, source, FALSE AS is_async FROM public")
+_FUNCTION_TEXT = "'### ' || name || '() (line ' || line || ')' || chr(10) || '```python' || chr(10) || source || chr(10) || '```'"
+add("prm4_test_prompts", _PUBLIC, f"""SELECT repo, path, {fill(prompts._TESTS, path='path', functions='functions', module="regexp_replace(replace(path, '/', '.'), '[.]py$', '')")} AS prompt
+FROM (SELECT repo, path, string_agg({_FUNCTION_TEXT}, {LF} || {LF} ORDER BY seq) AS functions FROM public GROUP BY repo, path)""")
+
 # --- findings of the documents, patches ----------------------------------------------------------
 
 _DOC_FINDINGS = (*_DOC_LINES, v.findings_cte([v.sec1("docs"), v.reu1()]))
@@ -505,3 +528,54 @@ add("agg8_dashboard", _PROJ, """SELECT count(*) AS total, count(*) FILTER (WHERE
   count(*) FILTER (WHERE launch_command IS NOT NULL) AS launchable, count(*) FILTER (WHERE r % 4 = 1) AS uncommitted FROM projects""")
 add("snk5_session_summary", _PROJ, """SELECT count(*) AS total, count(*) FILTER (WHERE status = 'ready' AND r % 2 = 0) AS launched,
   count(*) FILTER (WHERE status = 'ready' AND r % 2 <> 0) AS failed, count(*) FILTER (WHERE r % 5 = 0) AS reviewed FROM projects""")
+
+# --- the report as a bag of lines per section --------------------------------------------------------
+
+_TITLES = {1: "### Priority 1: Fix Critical Issues", 2: "### Priority 2: Improve Structure",
+           3: "### Priority 3: Add Automation", 4: "### Automatable Improvements"}
+_PLAN = ORACLE["rep2_plan_rows"].split("SELECT repo, CAST(priority AS INTEGER) AS priority, entry FROM (", 1)[1]
+_PARTS = f"""described AS (
+  SELECT repo, coalesce(max(d), {lit(fv.NO_DESCRIPTION)}) AS description FROM (
+    SELECT repo, CASE WHEN path = 'README.md' THEN left(regexp_replace(string_split(content, {LF} || {LF})[1], '^[# ]+', ''), 300) END AS d
+    FROM code) GROUP BY repo),
+full_card AS (
+  SELECT *, (SELECT count(*) FROM findings f WHERE f.repo = card.repo AND severity = 'critical') AS critical,
+    (SELECT count(*) FROM findings f WHERE f.repo = card.repo AND severity = 'high') AS high
+  FROM card JOIN described USING (repo)),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {_RANK}, {v.ORDER}) AS rank FROM findings)
+  WHERE rank <= 5),
+notes AS (
+  SELECT repo, '- [Security] ' || note AS entry FROM {_IGNORE_NOTES}
+  UNION ALL SELECT repo, '- [Automation] ' || note FROM {_HOOK_NOTES}
+  UNION ALL SELECT repo, '- [AST Analysis] ' || note FROM {_SYNTAX_NOTES}),
+plan AS (SELECT * FROM ({_PLAN}),
+bags AS (
+  SELECT repo, 0 AS section, ['# Quality Report: ' || repo, '', '**Generated:** 2024-01-31 00:00', '**Version:** 1.0.0'] AS lines FROM card
+  UNION ALL SELECT repo, unnest([1, 2, 3, 4, 8]), [''] FROM card
+  UNION ALL SELECT repo, 1, ['## Summary', '', '**What this app does:** ' || description, '', '**Files analyzed:** ' || n_files,
+    '**Total findings:** ' || total || ' (' || critical || ' critical, ' || high || ' high)', '', '### Scores (1-10)', '',
+    '| Category   | Score |', '|------------|-------|', '| Quality    | ' || quality || ' |', '| Structure  | ' || structure || ' |',
+    '| Security   | ' || security || ' |', '| Usefulness | ' || usefulness || ' |', '| **Overall**| **' || overall || '** |', '',
+    '**Tag:** `' || tag || '`', '**Recommendation:** ' || CASE recommendation
+      {' '.join(f"WHEN {lit(k)} THEN {lit(x)}" for k, x in fv.RECOMMENDATION_LABELS.items())} END] FROM full_card
+  UNION ALL SELECT repo, 2, CASE WHEN total > 0 THEN ['## Top 5 Highest-Impact Improvements', '']
+    ELSE ['## Top 5 Improvements', '', 'No significant issues found.'] END FROM card
+  UNION ALL SELECT repo, 2, ['### ' || rank || '. ' || {_ICON} || ' [' || upper(severity) || '] ' || title, '**File:** `' || file || '`']
+    || CASE WHEN coalesce(line, 0) <> 0 THEN ['**Line:** ' || line] ELSE [] END
+    || ['', description, '', '**Suggestion:** ' || suggestion]
+    || CASE WHEN coalesce(code_before, '') <> '' THEN ['', '```', '# Before:'] || string_split(code_before, {LF}) || ['```'] ELSE [] END
+    || [''] FROM top
+  UNION ALL SELECT repo, 3, CASE WHEN total > 0 THEN ['## File-by-File Analysis', '']
+    ELSE ['## File-by-File Analysis', '', 'All files look clean.'] END FROM card
+  UNION ALL SELECT repo, 3, ['### `' || file || '`', '*' || count(*) || ' finding(s)*', '', ''] FROM findings GROUP BY repo, file
+  UNION ALL SELECT repo, 3, ['- ' || {_ICON} || ' **' || title || '**' || {_SUFFIX} || ': ' || suggestion] FROM findings
+  UNION ALL SELECT repo, 3, [entry] FROM notes WHERE repo IN (SELECT repo FROM findings)
+  UNION ALL SELECT DISTINCT repo, 3, ['### Additional Notes', '', ''] FROM notes WHERE repo IN (SELECT repo FROM findings)
+  UNION ALL SELECT repo, 4, ['## Next Iteration Plan', ''] FROM card
+  UNION ALL SELECT DISTINCT repo, 4, [CASE priority {' '.join(f"WHEN {n} THEN {lit(t)}" for n, t in _TITLES.items())} END]
+    || CASE WHEN priority < 4 THEN [''] ELSE [] END FROM plan
+  UNION ALL SELECT repo, 4, [entry] FROM plan
+  UNION ALL SELECT repo, 8, ['---', '', '*Generated by lintlake v1.0.0*',
+    '*One row set per repository; later runs are compared with this one.*'] FROM card)"""
+add("snk2_report_lines", (*_CARDS, _PARTS),
+    "SELECT repo, CAST(section AS INTEGER) AS section, unnest(lines) AS line FROM bags")
