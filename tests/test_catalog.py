@@ -1,4 +1,4 @@
-"""Every catalog query against its SQL on the smallest tables."""
+"""Every catalog query against its SQL on the sf0.01 tables."""
 
 from __future__ import annotations
 
@@ -7,10 +7,8 @@ import pytest
 import __spark_entry__ as entry
 from tests.compare import compare, connect
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
-# No repo of the smallest tables has six root-level code files.
-EMPTY_AT_THIS_SIZE = {"str1_flat_structure"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +19,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, con, name):
     ok, message = compare(spark, con, SF, name, QUERIES[name], ORACLE[name])
-    assert ok or (name in EMPTY_AT_THIS_SIZE and "no rows" in message), message
+    assert ok, message
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
