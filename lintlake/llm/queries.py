@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-from lintlake.llm import decontaminate, line_dedup, packing, toxicity
+from lintlake.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
 from lintlake.llm.common import table
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,6 +33,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_near_duplicates": op3_near_duplicates,
     "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_decontamination": op9_decontamination,
@@ -39,6 +44,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE: dict[str, str] = {
+    "op3_near_duplicates": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, {_AZ}), '[^\x20\x09-\x0D]+'), []) w FROM documents),
+n AS (SELECT doc_id, w, least(5, len(w)) n FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + n], ' ') s FROM (SELECT *, unnest(range(len(w) - n + 1)) i FROM n)),
+z AS (SELECT doc_id, count(*) z FROM s GROUP BY 1),
+p AS (SELECT a.doc_id x, b.doc_id y, count(*) i FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN z a ON x = a.doc_id JOIN z b ON y = b.doc_id WHERE 100 * i >= 75 * (a.z + b.z - i)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.c = e.x),
+m AS (SELECT doc_id, min(c) c FROM r GROUP BY 1)
+SELECT doc_id, coalesce(z, 0)::BIGINT n_shingles, c component_id, doc_id = c kept FROM m LEFT JOIN z USING (doc_id)
+""",
     "op9_decontamination": rf"""
 WITH b AS (SELECT item_id, regexp_extract_all(translate(text, {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
 wb AS (SELECT item_id, least(13, len(w)) n, unnest(range(len(w) - least(13, len(w)) + 1)) i, w FROM b WHERE len(w) > 0),
