@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-from lintlake.llm import decontaminate, fingerprints, language_id, license_scan, line_dedup, near_dedup, packing, pii, toxicity
+from lintlake.llm import decontaminate, fingerprints, language_id, license_scan, line_dedup, near_dedup, packing, pii, repeats, toxicity
 from lintlake.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_personal_data": op4_personal_data,
+    "op5_repeated_strings": op5_repeated_strings,
     "op6_language": op6_language,
     "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
