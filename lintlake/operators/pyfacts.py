@@ -58,7 +58,11 @@ def _facts_of(content: str, with_source: bool) -> tuple:
     """Flatten one syntax tree, breadth first, into lists of plain facts."""
     try:
         tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+    except (SyntaxError, ValueError, RecursionError):
+        return (False, [], [], [], [], [], [])
+    except MemoryError as error:  # the parser's own nesting limit says so; real shortage has no text
+        if "stack" not in str(error).lower():
+            raise
         return (False, [], [], [], [], [], [])
     lines = content.split("\n") if with_source else []
     imports, names, exports, guarded, funcs, mutable = [], {}, [], [], [], []

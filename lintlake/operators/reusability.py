@@ -1,18 +1,17 @@
 """Reusability checks: blocks shared between files, repeated import sets, long inline expressions.
 
 Shared groups may be huge (a licence header can sit in a third of all files), so no group is ever
-collected whole:
+collected whole, whatever its size:
 
-* counts and first members are partial aggregates;
+* a block or import set travels as two 64-bit hashes; counts and first members are partial aggregates;
+* a finding names the first file and the number of further ones;
 * the complete membership is a row table (``block_files``, ``import_set_files``);
-* the joined list inside a finding text is built from at most ``inline_files`` members, picked by a
-  ranked window with a limit that Spark also applies before the shuffle. Larger groups name the
-  first file and the count; the row table still has every member.
+* texts are read a second time for the first file of each group only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions import text
@@ -52,108 +51,104 @@ def _scoped(files: DataFrame, scope: str) -> DataFrame:
     raise ValueError(f"unknown scope: {scope}")
 
 
-def _block_members(files: DataFrame, options: Options, scope: str) -> DataFrame:
-    """(repo, block, path, idx of the first occurrence) for blocks that may be shared.
+_BLOCK = ["repo", "h", "h2"]
 
-    Step 1 shuffles only 8-byte hashes, one per distinct block of a file, pre-aggregated in the map
-    tasks, and keeps the hashes seen in two files. Step 2 joins the blocks with those hashes and
-    groups by the block text itself, so hash collisions cannot change the result. Blocks seen once
-    (almost all of them) never travel as text.
-    """
-    scoped = _scoped(files, scope).select("repo", "path", "content")
-    cut = scoped.select("repo", "path", _code_lines().alias("code")).select(
-        "repo", "path", _windows(F.col("code"), options).alias("blocks")
-    )
-    hashes = F.array_distinct(F.transform(F.col("blocks"), lambda b: F.xxhash64(b["block"])))
-    shared = (
-        text.explode_rows(cut, ["repo"], hashes, "h")
-        .groupBy("repo", "h")
-        .agg(F.count(F.lit(1)).alias("n_hash"))
-        .filter(F.col("n_hash") >= 2)
+
+def _block_members(files: DataFrame, options: Options, scope: str) -> DataFrame:
+    """(repo, h, h2, path, idx): every distinct block of a file by its two hashes, first position in the file."""
+    hashed = F.transform(
+        _windows(_code_lines(), options),
+        lambda b: F.struct(
+            F.xxhash64(b["block"]).alias("h"), F.xxhash64(F.lit(1), b["block"]).alias("h2"), b["idx"].alias("idx")
+        ),
     )
-    return (
-        text.inline_rows(cut, ["repo", "path"], F.col("blocks"))
-        .withColumn("h", F.xxhash64("block"))
-        .join(shared, ["repo", "h"])
-        .groupBy("repo", "block", "path")
-        .agg(F.min("idx").alias("idx"))
+    in_order = _scoped(files, scope).select("repo", "path", F.array_sort(hashed).alias("sorted"))
+    blocks = F.col("sorted")
+    first = F.filter(
+        blocks, lambda b, i: (i == 0) | (blocks[i - 1]["h"] != b["h"]) | (blocks[i - 1]["h2"] != b["h2"])
     )
-
-
-def block_files(files: DataFrame, options: Options = DEFAULTS, scope: str = "repo") -> DataFrame:
-    """Every (repo, block, path) whose block occurs in at least two files of the repo."""
-    return _in_groups_of(_block_members(files, options, scope), ["repo", "block"], 2)
+    return text.inline_rows(in_order, ["repo", "path"], first)
 
 
 def _sizes(members: DataFrame, key: list[str], least: int) -> DataFrame:
-    """Group sizes as partial aggregates.
-
-    Counting ``idx`` (never null) keeps the column in the plan, so that this branch and the one over
-    the members share one shuffle of the members instead of computing them twice.
-    """
+    """Groups of at least ``least`` files: size and first (path, idx), as partial aggregates."""
     return members.groupBy(*key).agg(
-        F.count("idx").alias("n_files"), F.min(F.struct("path", "idx")).alias("first")
+        F.count(F.lit(1)).alias("n_files"), F.min(F.struct("path", "idx")).alias("first")
     ).filter(F.col("n_files") >= least)
 
 
-def _in_groups_of(members: DataFrame, key: list[str], least: int) -> DataFrame:
-    """Members of groups with at least ``least`` files, with the group size."""
-    return members.join(_sizes(members, key, least).drop("first"), key)
+def block_sizes(files: DataFrame, options: Options = DEFAULTS, scope: str = "repo") -> DataFrame:
+    """One row per shared block, without its text: (repo, h, h2, n_files, first)."""
+    return _sizes(_block_members(files, options, scope), _BLOCK, 2)
+
 
+def duplicate_blocks(files: DataFrame, options: Options = DEFAULTS, scope: str = "repo") -> DataFrame:
+    """One row per shared block: text, number of files, first file, position there.
 
-def _grouped(members: DataFrame, key: list[str], least: int, options: Options) -> DataFrame:
-    """One row per group of at least ``least`` files: size, first (path, idx) and the file label."""
-    ranked = Window.partitionBy(*key).orderBy("path")
-    entries = F.array_sort(F.collect_list(F.struct("path", "idx")))
-    named = (
-        members.withColumn("rank", F.row_number().over(ranked))
-        .filter(F.col("rank") <= options.inline_files)
-        .groupBy(*key)
-        .agg(F.array_join(F.transform(entries, lambda e: e["path"]), ", ").alias("listed"))
+    The blocks are cut out of the first files, which are joined once with the list of what to cut.
+    """
+    wanted = block_sizes(files, options, scope).groupBy("repo", F.col("first.path").alias("path")).agg(
+        F.collect_list(F.struct("h", "h2", "n_files", F.col("first.idx").alias("idx"))).alias("wanted")
+    )
+    cut = _scoped(files, scope).select("repo", "path", "content").join(wanted, ["repo", "path"])
+    one = cut.select("repo", "path", _code_lines().alias("code"), "wanted").select(
+        "repo", "path", "code", F.explode("wanted").alias("w")
     )
-    label = F.when(F.col("n_files") <= options.inline_files, F.col("listed")).otherwise(
-        F.concat("first.path", F.lit(", and "), F.col("n_files") - 1, F.lit(" more files"))
+    return one.select(
+        "repo", "w.h", "w.h2", F.array_join(F.slice("code", F.col("w.idx"), options.block_size), "\n").alias("block"),
+        "w.n_files", F.col("path").alias("first_file"), F.col("w.idx").alias("first_idx"),
     )
-    return _sizes(members, key, least).join(named, key).withColumn("label", label)
 
 
-def duplicate_blocks(files: DataFrame, options: Options = DEFAULTS, scope: str = "repo") -> DataFrame:
-    """One row per shared block: number of files, first file, position there, file label."""
-    grouped = _grouped(_block_members(files, options, scope), ["repo", "block"], 2, options)
-    return grouped.select(
-        "repo", "block", "n_files", F.col("first.path").alias("first_file"),
-        F.col("first.idx").alias("first_idx"), F.col("label").alias("file"),
-    )
+def block_files(files: DataFrame, options: Options = DEFAULTS, scope: str = "repo") -> DataFrame:
+    """Every (repo, block, path) whose block occurs in at least two files of the repo."""
+    shared = duplicate_blocks(files, options, scope).select(*_BLOCK, "block", "n_files")
+    return _block_members(files, options, scope).join(shared, _BLOCK).drop("h", "h2")
+
+
+def _label(first: Column, n_files: Column) -> Column:
+    """The first file and how many more there are."""
+    return F.concat(first, F.lit(", and "), n_files - 1, F.lit(" more"))
 
 
 def duplicate_block_findings(files: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     found = item("REU1", block_size=F.lit(options.block_size), n=F.col("n_files"),
                  code_before=F.col("block"))
-    return finding_rows(duplicate_blocks(files, options), "REU1", "Reusability", 0, F.col("file"),
+    label = _label(F.col("first_file"), F.col("n_files"))
+    return finding_rows(duplicate_blocks(files, options), "REU1", "Reusability", 0, label,
                         found, F.col("first_file"), F.col("first_idx"))
 
 
+_IMPORTS = ["repo", "h", "h2"]
+
+
 def _import_members(files: DataFrame) -> DataFrame:
-    """(repo, import set, path) of files with import lines."""
+    """(repo, h, h2, path, idx, imports) of files with import lines."""
     lines = F.array_sort(F.filter(
         F.transform(text.split_lines(F.col("content")), text.strip),
         lambda t: text.starts_with_any(t, ["import ", "from "]),
     ))
     with_imports = files.filter(text.contains_any(F.col("content"), ["import ", "from "]))
     joined = F.transform(F.array(lines), lambda a: F.when(F.size(a) > 0, F.array_join(a, "\n")))
-    return text.explode_rows(with_imports, ["repo", "path"], joined, "imports").withColumn("idx", F.lit(0))
+    rows = text.explode_rows(with_imports, ["repo", "path"], joined, "imports")
+    return rows.select("repo", "path", "imports", F.xxhash64("imports").alias("h"),
+                       F.xxhash64(F.lit(1), "imports").alias("h2"), F.lit(0).alias("idx"))
+
+
+def import_sets(files: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """One row per set that ``import_repetition_threshold`` files have: hashes, size, first file."""
+    return _sizes(_import_members(files).drop("imports"), _IMPORTS, options.import_repetition_threshold)
 
 
 def import_set_files(files: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Every (repo, import set, path) whose set occurs in ``import_repetition_threshold`` files."""
-    return _in_groups_of(_import_members(files), ["repo", "imports"], options.import_repetition_threshold)
+    members = _import_members(files)
+    return members.join(import_sets(files, options).drop("first"), _IMPORTS).drop("h", "h2")
 
 
 def repeated_import_findings(files: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    grouped = _grouped(
-        _import_members(files), ["repo", "imports"], options.import_repetition_threshold, options
-    )
-    return finding_rows(grouped, "REU2", "Reusability", 1, F.col("label"),
+    sets = import_sets(files, options)
+    return finding_rows(sets, "REU2", "Reusability", 1, _label(F.col("first.path"), F.col("n_files")),
                         item("REU2", n=F.col("n_files")), F.col("first.path"))
 
 

@@ -27,10 +27,6 @@ class Options:
     block_size: int = 3
     min_block_length: int = 30
     import_repetition_threshold: int = 3
-    # Files named in full inside one finding text. Larger groups keep their complete member list in
-    # the member tables of ``operators.reusability`` and show the first file and the count. Up to 1000
-    # (spark.sql.optimizer.windowGroupLimitThreshold) Spark cuts the ranking before the shuffle.
-    inline_files: int = 1_000
 
 
 DEFAULTS = Options()

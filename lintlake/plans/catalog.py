@@ -278,7 +278,7 @@ def _(spark, d):
 
 @query("k4_indent")
 def _(spark, d):
-    rows = exploded_lines(fx.code_files(spark, d)).filter(F.length("text") < 1000)
+    rows = exploded_lines(fx.code_files(spark, d))
     width = text.indent_width(F.col("text"))
     return rows.select("repo", "path", "line_no", width.alias("width"), F.floor(width / 4).cast("int").alias("depth"))
 
@@ -367,8 +367,9 @@ def _(spark, d):
 
 @query("reu1_corpus_blocks")
 def _(spark, d):
-    rows = reusability.block_files(fx.docs_files(spark, d), scope="corpus")
-    return rows.groupBy("block").agg(F.count(F.lit(1)).alias("n_files"), F.min("path").alias("first_file"))
+    return reusability.duplicate_blocks(fx.docs_files(spark, d), scope="corpus").select(
+        "block", "n_files", "first_file"
+    )
 
 
 @query("reu2_repeated_imports")
@@ -571,8 +572,8 @@ def _(spark, d):
 
 @query("agg14_files_per_block")
 def _(spark, d):
-    rows = reusability.block_files(fx.docs_files(spark, d))
-    return rows.groupBy("repo", F.md5("block").alias("block_md5")).agg(F.count(F.lit(1)).alias("n_files"))
+    rows = reusability.duplicate_blocks(fx.docs_files(spark, d))
+    return rows.select("repo", F.md5("block").alias("block_md5"), "n_files")
 
 
 # --- windows ---------------------------------------------------------------------------------

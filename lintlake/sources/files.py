@@ -21,7 +21,6 @@ _LISTING_SCHEMA = "repo string, root string, path string, size long"
 _RAW_SCHEMA = "repo string, path string, raw binary, size long"
 _LISTING_ROWS = 2_000
 _READ_BYTES = 32 * 1024 * 1024
-_SMALL_BYTES = 512 * 1024 * 1024
 
 
 def has_collected_name(path: Column) -> Column:
@@ -59,19 +58,6 @@ def collected(files: DataFrame) -> DataFrame:
     )
 
 
-def spread(files: DataFrame, small_bytes: int = _SMALL_BYTES) -> DataFrame:
-    """Give a small table enough tasks.
-
-    A table of a few hundred MB is often one row group, which a scan cannot split, while the checks are
-    CPU work. Such a table is dealt out over all cores. A larger table is left alone: its scan already
-    has more tasks than cores and moving its texts would cost more than it gains.
-    """
-    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > small_bytes:
-        return files
-    return files.repartition(files.sparkSession.sparkContext.defaultParallelism)
-
-
 def read_directories(spark: SparkSession, roots: DataFrame, parallelism: int | None = None) -> DataFrame:
     """``roots(repo, root)`` on a shared file system -> files table.
 
@@ -80,7 +66,7 @@ def read_directories(spark: SparkSession, roots: DataFrame, parallelism: int | N
     names that begin with a dot or an underscore.
     """
     tasks = parallelism or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    listing = roots.select("repo", "root").mapInPandas(_list_files, _LISTING_SCHEMA)
+    listing = roots.select("repo", "root").repartition(tasks, "root").mapInPandas(_list_files, _LISTING_SCHEMA)
     wanted = listing.filter(within_size(F.col("size"))).filter(has_collected_name(F.col("path")))
     raw = wanted.repartition(tasks, "repo", "path").mapInPandas(_read_files, _RAW_SCHEMA)
     return raw.select("repo", normalize_path(F.col("path")).alias("path"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.sources.files import collected, spread
+from lintlake.sources.files import collected
 
 # Snippet bodies of the code view; {id} is the document id.
 SNIPPETS = {
@@ -137,7 +137,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def docs_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as files: repo = source, path = lang/doc_id.txt."""
-    return spread(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         F.col("source").alias("repo"),
         F.concat("lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"),
         F.col("text").alias("content"),
@@ -147,7 +147,7 @@ def docs_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` as files: repo = host, path = page_id.html."""
-    return spread(table(spark, sf_dir, "pages")).select(
+    return table(spark, sf_dir, "pages").select(
         F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("repo"),
         F.concat("page_id", F.lit(".html")).alias("path"),
         F.col("html").alias("content"),
@@ -165,7 +165,8 @@ def code_files_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(r >= 14, 14).when((r >= 10) & (o % 16 != 0), 14).otherwise((o + r) % 14).cast("int")
     )
     placed = (
-        spread(table(spark, sf_dir, "documents").select("source", "doc_id"))
+        # Two narrow columns become whole files below, so they are dealt out before that.
+        table(spark, sf_dir, "documents").select("source", "doc_id").repartition("doc_id")
         .select(F.col("source").alias("repo"), doc_id, r.alias("r"), o.alias("o"), snippet_no.alias("s"))
         .join(F.broadcast(spark.createDataFrame(list(SNIPPETS.items()), "s int, body string")), "s")
     )

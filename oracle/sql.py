@@ -88,7 +88,7 @@ _KEYS = v.hits("docs", fv.SECRET_PATTERNS[:1])
 add("k3_match_lines", _DOCS, f"""SELECT repo, path, CAST(line AS INTEGER) AS line, count(*) AS n_hits
 FROM (SELECT repo, path, line FROM {_DOTS} UNION ALL SELECT repo, path, line FROM {_KEYS}) GROUP BY ALL""")
 add("k4_indent", v.CODE_LINES, f"""SELECT repo, path, CAST(no AS INTEGER) AS line_no, CAST({v.indent('raw')} AS INTEGER) AS width,
-  CAST({v.indent('raw')} // 4 AS INTEGER) AS depth FROM ln WHERE length(raw) < 1000""")
+  CAST({v.indent('raw')} // 4 AS INTEGER) AS depth FROM ln""")
 add("k5_next_text_line", v.CODE_LINES, """SELECT x.repo, x.path, CAST(x.no AS INTEGER) AS line, CAST(min(y.no) AS INTEGER) AS next_line
 FROM ln x LEFT JOIN ln y ON y.repo = x.repo AND y.path = x.path AND y.no BETWEEN x.no + 1 AND x.no + 4 AND y.txt <> ''
 GROUP BY x.repo, x.path, x.no""")

@@ -369,7 +369,7 @@ def blocks(ln: str = "ln") -> str:
 
 
 def reu1(ln: str = "ln") -> str:
-    frm = f"""(SELECT repo, block, count(*) AS n, string_agg(path, ', ' ORDER BY path) AS files,
+    frm = f"""(SELECT repo, block, count(*) AS n, min(path) || ', and ' || (count(*) - 1) || ' more' AS files,
              min(path) AS first_path, arg_min(idx, path) AS first_idx
       FROM (SELECT repo, block, path, min(idx) AS idx FROM {blocks(ln)} GROUP BY repo, block, path)
       GROUP BY repo, block HAVING count(*) >= 2)"""
@@ -383,7 +383,7 @@ def import_sets(ln: str = "ln") -> str:
 
 
 def reu2(ln: str = "ln") -> str:
-    frm = f"""(SELECT repo, count(*) AS n, string_agg(path, ', ' ORDER BY path) AS files, min(path) AS first_path
+    frm = f"""(SELECT repo, count(*) AS n, min(path) || ', and ' || (count(*) - 1) || ' more' AS files, min(path) AS first_path
       FROM {import_sets(ln)} GROUP BY repo, imports HAVING count(*) >= 3)"""
     return check("REU2", frm, file="files", phase=1, ord_path="first_path", n="n")
 

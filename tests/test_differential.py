@@ -7,8 +7,10 @@ import random
 import pytest
 
 from lintlake import fixed_values as fv
+from lintlake.functions import ranking
 from lintlake.operators import pyfacts, reusability
 from lintlake.operators.findings import file_findings
+from lintlake.options import DEFAULTS
 from lintlake.plans.checks import FILE_CHECKS
 from lintlake.sources.files import FILES_SCHEMA
 from lintlake.sources.fixtures import SNIPPETS
@@ -77,8 +79,8 @@ def test_file_checks(files):
 
 
 def test_shared_blocks(files):
-    got = {r["block"]: r["file"] for r in reusability.duplicate_blocks(files).collect()}
-    want = {b: ", ".join(p) for b, p in plain_rules.shared_blocks(TEXTS).items()}
+    got = {r["block"]: (r["first_file"], r["n_files"]) for r in reusability.duplicate_blocks(files).collect()}
+    want = {b: (p[0], len(p)) for b, p in plain_rules.shared_blocks(TEXTS).items()}
     assert got == want and want
     members = {(r["block"], r["path"]) for r in reusability.block_files(files).collect()}
     assert members == {(b, p) for b, paths in plain_rules.shared_blocks(TEXTS).items() for p in paths}
@@ -89,10 +91,37 @@ def test_large_groups_stay_whole(spark):
     rows = [("hot" if i % 3 else f"r{i % 7}", f"f{i:05d}.py", body, 60) for i in range(6000)]
     files = spark.createDataFrame(rows, FILES_SCHEMA)
     groups = {r["repo"]: r for r in reusability.duplicate_blocks(files).collect()}
-    assert groups["hot"]["n_files"] == 4000
-    assert groups["hot"]["file"] == "f00001.py, and 3999 more files"
-    assert groups["r0"]["file"].count(", ") + 1 == groups["r0"]["n_files"]
-    assert reusability.block_files(files).count() == 6000
+    assert groups["hot"]["n_files"] == 4000 and groups["hot"]["first_file"] == "f00001.py"
+    assert sum(g["n_files"] for g in groups.values()) == 6000
+    labels = {r["repo"]: r["file"] for r in reusability.duplicate_block_findings(files).collect()}
+    assert labels["hot"] == "f00001.py, and 3999 more"
+    members = reusability.block_files(files).filter("repo = 'hot'").select("path").collect()
+    assert sorted(r["path"] for r in members) == sorted(r[1] for r in rows if r[0] == "hot")
+
+
+def test_blocks_travel_as_hashes(files):
+    """No exchange below the hash filter carries a block or a content."""
+    plan = reusability.block_sizes(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [repo" in plan
+    columns = {f.name for f in reusability._block_members(files, DEFAULTS, "repo").schema}
+    assert columns == {"repo", "path", "h", "h2", "idx"}
+
+
+def test_shared_folder_is_asked_for():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ranking.shared_dir(Session())
 
 
 def test_complexity(spark):
