@@ -41,13 +41,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that only a few texts at a time become Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def map_columns(
     df: DataFrame, columns: list[str], schema: str, work: Callable[[list[pa.Array]], dict[str, object] | None]
 ) -> DataFrame:
-    """``work`` gets the named columns of one Arrow batch and returns the result's columns."""
+    """``work`` gets the named columns of a few rows as Arrow arrays and returns the result's columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = work([batch.column(i) for i in range(len(columns))])
             if out is not None:
                 yield pa.RecordBatch.from_pydict(out)

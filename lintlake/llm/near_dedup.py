@@ -233,7 +233,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, have = None, {}
-        for batch in batches:
+        for batch in common.slices(batches, 100):
             xs, ys = [], []
             for b, turn, x, raw, asks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if b != at:
