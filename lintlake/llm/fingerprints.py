@@ -19,7 +19,10 @@ _MARK = 2**63 - 1
 
 
 def with_anchors(rows: DataFrame, body: str, name: str, k: int = K) -> DataFrame:
-    """Add ``name``: array of (pos, hash), the word position of each anchor's first letter (marks are before 0)."""
+    """Add ``name``: array of (pos, hash), the word position of each anchor's first letter (marks are before 0).
+
+    Hashes have 31 bits.
+    """
     words = F.filter(F.split(body, r"\s+", -1), lambda w: w != "")
     hashed = rows.withColumn("_hashes", F.transform(words, lambda w: F.xxhash64(w)))
     marks = F.array(*[F.lit(_MARK)] * (k - 1))
@@ -31,9 +34,9 @@ def with_anchors(rows: DataFrame, body: str, name: str, k: int = K) -> DataFrame
 
     starts = F.filter(F.sequence(F.lit(0), F.size(p) - F.lit(k)), lambda i: closed(i, i))
     anchor = F.transform(
-        starts, lambda i: F.struct((i - F.lit(k - 1)).alias("pos"), F.shiftrightunsigned(F.xxhash64(*[p[i + j] for j in range(k)]), 32).alias("hash"))
+        starts, lambda i: F.struct((i - F.lit(k - 1)).alias("pos"), F.shiftrightunsigned(F.xxhash64(*[p[i + j] for j in range(k)]), 33).cast("int").alias("hash"))
     )
-    none = F.array().cast("array<struct<pos:int,hash:bigint>>")
+    none = F.array().cast("array<struct<pos:int,hash:int>>")
     return marked.withColumn(name, F.when(F.size("_hashes") > 0, anchor).otherwise(none)).drop("_hashes", "_letters")
 
 
@@ -88,33 +91,32 @@ def edited_likeness(documents: DataFrame) -> DataFrame:
     The edited text has its last quarter of characters replaced by the first ones of the next document. Order is by
     doc_id (null last), texts that share an id by their hash; rows that repeat id and text are one document and get the
     same result each. A null text counts as empty; a single document is its own successor. Texts are shuffled
-    once by id, and only the replacing characters travel to the predecessor.
+    once by id, and only the replacing characters and the fingerprint travel to the predecessor. The fingerprint is
+    worked out again rather than moved a second time.
     """
     rows = _documents(documents)
-    own = with_anchors(rows.withColumn("n", F.length("body")), "body", "anchors")
-    own = own.select("id", "h", "n", sketch("anchors").alias("print")).groupBy("id", "h").agg(
-        F.first("n").alias("n"), F.first("print").alias("print")
-    )
-    own = common.stored(own)
-    order = common.stored(in_order(own.select("id", "h", "n")))
-
+    order = common.stored(in_order(rows.select("id", "h", F.length("body").alias("n")).distinct()))
     before = order.select("id", "h", F.col("before.id").alias("p_id"), F.col("before.h").alias("p_h"), F.col("before.n").alias("p_n"))
     lent = (
-        rows.join(before, ["id", "h"])
-        .select(F.col("p_id").alias("id"), F.col("p_h").alias("h"), F.left("body", F.floor(F.col("p_n") / 4)).alias("lent"))
-        .groupBy("id", "h").agg(F.max("lent").alias("lent"))
+        with_anchors(rows.join(before, ["id", "h"]), "body", "anchors")
+        .select(
+            F.col("p_id").alias("id"), F.col("p_h").alias("h"), F.left("body", F.floor(F.col("p_n") / 4)).alias("lent"),
+            sketch("anchors").alias("next_print"),
+        )
+        .groupBy("id", "h").agg(F.max("lent").alias("lent"), F.max("next_print").alias("next_print"))
     )
     n = F.length("body")
     edited = rows.join(lent, ["id", "h"]).select(
-        "id", "h", n.cast("long").alias("n_chars"), F.concat(F.left("body", n - F.floor(n / 4)), "lent").alias("edited")
+        "id", "body", n.cast("long").alias("n_chars"), "next_print",
+        F.concat(F.left("body", n - F.floor(n / 4)), "lent").alias("edited"),
+    )
+    own = with_anchors(edited, "body", "anchors").select(
+        "id", "n_chars", "next_print", "edited", sketch("anchors").alias("print")
     )
-    edited = with_anchors(edited, "edited", "anchors").select(
-        "id", "h", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch("anchors").alias("edited_print")
+    both = with_anchors(own, "edited", "anchors").select(
+        "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "print", "next_print", sketch("anchors").alias("edited_print")
     )
-    after = order.select("id", "h", F.col("after.id").alias("a_id"), F.col("after.h").alias("a_h"))
-    following = own.select(F.col("id").alias("a_id"), F.col("h").alias("a_h"), F.col("print").alias("next_print"))
-    prints = own.join(after, ["id", "h"]).join(following, ["a_id", "a_h"]).select("id", "h", "print", "next_print")
-    return edited.join(prints, ["id", "h"]).select(
+    return both.select(
         F.when(F.col("id") != common.NULL_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256",
         as_text("print").alias("fingerprint"), as_text("edited_print").alias("edited_fingerprint"),
         likeness("print", "edited_print").alias("near_edited"), likeness("print", "next_print").alias("near_next"),
