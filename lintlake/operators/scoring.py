@@ -51,17 +51,28 @@ def _deductions() -> list[Column]:
     ]
 
 
+COUNTS = ["total", "critical", "high"]
+
+
+def _counts() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("severity") == "critical").alias("critical"),
+        F.count_if(F.col("severity") == "high").alias("high"),
+    ]
+
+
 def repos_of(files: DataFrame) -> DataFrame:
     """One row per repo with its number of files; reads no content."""
     return repo_facts(files, ["n_files"])
 
 
 def wide_scores(findings: DataFrame, repos: DataFrame) -> DataFrame:
-    """One row per repo with one score column per analyzer; a clean analyzer scores 10.
+    """One row per repo with one score column per analyzer, and the counts of findings; a clean analyzer scores 10.
 
-    Findings are reduced to one row per (task, repo) before the shuffle.
+    Findings are read once and reduced to one row per (task, repo) before the shuffle.
     """
-    deductions = findings.groupBy("repo").agg(*_deductions())
+    deductions = findings.groupBy("repo").agg(*_deductions(), *_counts())
     ten, one = F.lit(10).cast("decimal(6,1)"), F.lit(1).cast("decimal(6,1)")
     return repos.join(deductions, "repo", "left").select(
         *repos.columns,
@@ -70,6 +81,7 @@ def wide_scores(findings: DataFrame, repos: DataFrame) -> DataFrame:
             .cast("decimal(6,1)").alias(name)
             for name in STATIC_ANALYZERS
         ],
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS],
     )
 
 
@@ -84,10 +96,15 @@ def analyzer_scores(findings: DataFrame, repos: DataFrame) -> DataFrame:
 
 def repo_scores(findings: DataFrame, repos: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Five category scores per repo, one decimal, HALF_UP."""
+    return counted_scores(findings, repos, options).drop(*COUNTS)
+
+
+def counted_scores(findings: DataFrame, repos: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """``repo_scores`` with the counts of findings."""
     one_decimal = lambda c: F.round(c, 1).cast("decimal(4,1)")
     weight = {k: F.lit(v).cast("decimal(4,2)") for k, v in options.weights.items()}
     base = wide_scores(findings, repos).select(
-        *repos.columns,
+        *repos.columns, *COUNTS,
         one_decimal((F.col("Clarity") + F.col("Functionality")) / 2).alias("quality"),
         one_decimal((F.col("Structure") + F.col("Reusability")) / 2).alias("structure"),
         one_decimal(F.col("Security")).alias("security"),
@@ -118,7 +135,14 @@ def tags(files: DataFrame, repo_path: Column | None = None) -> DataFrame:
     A file becomes one 64-bit mask of the keywords it contains and masks are OR-ed, so the aggregate
     has an 8-byte state. No keyword spans a line end, so this equals a search in all texts joined.
     """
-    mask = files.groupBy("repo").agg(F.bit_or(_keyword_mask(F.col("content"))).alias("mask"))
+    return tagged_repos(files, repo_path).select("repo", "tag")
+
+
+def tagged_repos(files: DataFrame, repo_path: Column | None = None) -> DataFrame:
+    """(repo, tag, n_files) in one pass over the files."""
+    mask = files.groupBy("repo").agg(
+        F.bit_or(_keyword_mask(F.col("content"))).alias("mask"), F.count(F.lit(1)).alias("n_files")
+    )
     name = repo_path if repo_path is not None else F.col("repo")
     mask = mask.withColumn("mask", F.col("mask").bitwiseOR(_keyword_mask(name)))
     counts, first = [], 0
@@ -131,8 +155,8 @@ def tags(files: DataFrame, repo_path: Column | None = None) -> DataFrame:
             F.lit(tag).alias("tag"),
         ))
     best = F.array_max(F.array(*counts))
-    return mask.select("repo", best.alias("best")).select(
-        "repo", F.when(F.col("best.n") > 0, F.col("best.tag")).otherwise(fv.DEFAULT_TAG).alias("tag")
+    return mask.select("repo", "n_files", best.alias("best")).select(
+        "repo", "n_files", F.when(F.col("best.n") > 0, F.col("best.tag")).otherwise(fv.DEFAULT_TAG).alias("tag")
     )
 
 
@@ -149,11 +173,7 @@ def recommendation(overall: Column, n_files: Column) -> Column:
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("repo").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("severity") == "critical").alias("critical"),
-        F.count_if(F.col("severity") == "high").alias("high"),
-    )
+    return findings.groupBy("repo").agg(*_counts())
 
 
 def findings_by_file(findings: DataFrame) -> DataFrame:
@@ -173,14 +193,9 @@ def scorecard(
     findings: DataFrame, files: DataFrame, options: Options = DEFAULTS
 ) -> DataFrame:
     """Scores, tag, recommendation, number of files and of findings per repo."""
-    repos = repos_of(files)
-    totals = severity_counts(findings)
-    return (
-        repo_scores(findings, repos, options)
-        .join(tags(files), "repo")
-        .join(totals, "repo", "left")
-        .na.fill(0, ["total", "critical", "high"])
-        .withColumn("recommendation", recommendation(F.col("overall"), F.col("n_files")))
+    repos = tagged_repos(files)
+    return counted_scores(findings, repos, options).withColumn(
+        "recommendation", recommendation(F.col("overall"), F.col("n_files"))
     )
 
 

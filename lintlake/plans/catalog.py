@@ -418,8 +418,9 @@ for _name, _check_id in {
 def _(spark, d):
     docs = fx.docs_files(spark, d)
     found = union_all([_docs_secrets(spark, d), reusability.duplicate_block_findings(docs)])
-    keyed = answers.with_file(found.withColumn("key", answers.file_key(F.col("file"))), docs)
-    return keyed.select("repo", "key", "title", "line", F.length("content").alias("n_chars"))
+    sizes = docs.select("repo", "path", F.length("content").alias("n_chars"))
+    keyed = answers.with_file(found.withColumn("key", answers.file_key(F.col("file"))), sizes)
+    return keyed.select("repo", "key", "title", "line", "n_chars")
 
 
 def _validated(spark: SparkSession, d: str) -> DataFrame:
@@ -635,9 +636,8 @@ def _review_files(spark: SparkSession, d: str) -> DataFrame:
 
 @query("top1_top_findings")
 def _(spark, d):
-    return scoring.top_findings(all_findings(fx.code_files(spark, d))).select(
-        "repo", "rank", "file", "severity", "title", "line"
-    )
+    found = union_all([all_findings(fx.code_files(spark, d)), _docs_secrets(spark, d)])
+    return scoring.top_findings(found).select("repo", "rank", "file", "severity", "title", "line")
 
 
 @query("top2_portfolio_ranking")

@@ -452,8 +452,10 @@ add("agg10_cost_smart", (v.DOCS, _COST.format(i="chars // 4 // 4", o="CAST(2000
 add("agg10_cost_auto_fix", (v.DOCS, _COST.format(i="chars // 4", o="chars // 4 // 2")), _USD)
 
 _RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 99 END"
-add("top1_top_findings", _F, f"""SELECT repo, CAST(rank AS INTEGER) AS rank, file, severity, title, line FROM (
-  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {_RANK}, {v.ORDER}) AS rank FROM findings) WHERE rank <= 5""")
+_F_AND_DOCS = (*_F, v.DOCS, v.findings_cte([v.sec1("docs")], "doc_findings"))
+add("top1_top_findings", _F_AND_DOCS, f"""SELECT repo, CAST(rank AS INTEGER) AS rank, file, severity, title, line FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {_RANK}, {v.ORDER}) AS rank
+  FROM (SELECT * FROM findings UNION ALL BY NAME SELECT * FROM doc_findings)) WHERE rank <= 5""")
 add("top3_first_names", v.CODE_LINES,
     f"SELECT repo, file, title, description FROM ({v.cla3()} UNION ALL {v.fun4()})")
 add("top4_truncation", _DOCS, """SELECT repo, path, md5(left(content, 300)) AS d300, md5(left(content, 8000)) AS d8000,
