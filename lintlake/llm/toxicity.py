@@ -16,8 +16,8 @@ from lintlake.llm import common
 BITS = 20
 #: Labelled rows that the model is fitted on, at most (the rows with the smallest hash of doc_id).
 MAX_ROWS = 24_000
-#: Parts of the sample that are fitted side by side; their weights are averaged.
-SHARDS = 6
+#: Rows in one part of the sample, about; parts are fitted side by side and their weights averaged.
+SHARD_ROWS = 6_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.0
 STEMS = (4, 5, 6)
@@ -126,10 +126,11 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mo
     if n > max_rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
     rows = documents.select(F.col("doc_id").alias("id"), "text").join(known, F.col("id") == F.col("doc_id"))
-    shard = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SHARDS)).alias("shard")
+    parts = max(1, -(-min(n, max_rows) // SHARD_ROWS))
+    shard = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(parts)).alias("shard")
     weights = (
         rows.select(shard, "id", "text", "toxic")
-        .repartition(SHARDS, "shard").sortWithinPartitions("shard", "id", "text")
+        .repartition(parts, "shard").sortWithinPartitions("shard", "id", "text")
         .select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
         .mapInArrow(_fit_shard, "at long, weight double")
         .groupBy("at").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
