@@ -111,7 +111,7 @@ def identify(pages: DataFrame, documents: DataFrame) -> DataFrame:
     count = lambda i: F.sum(F.when(F.col("guess") == i, 1.0).otherwise(0.0))
     counts = F.array(*[count(i) for i in range(n)])
 
-    overall = guessed.agg(counts.alias("c")).first()["c"] or [0.0] * n
+    overall = [x or 0.0 for x in guessed.agg(counts.alias("c")).first()["c"]]
     shares = F.lit([(x + 1.0) / (sum(overall) + n) for x in overall])
     domains = guessed.groupBy("domain").agg(counts.alias("dc")).select("domain", _shares(F.col("dc"), shares, n).alias("domain_shares"))
     hosts = guessed.groupBy("host").agg(counts.alias("host_counts"))
