@@ -128,11 +128,11 @@ def _tagged(check: FileCheck, options: Options) -> Column:
 def file_findings(
     files: DataFrame, checks: Sequence[FileCheck], options: Options = DEFAULTS
 ) -> DataFrame:
-    """Run file checks in one pass."""
-
+    """Run file checks in one pass; ``opt_`` columns of the files are there for options that are columns."""
+    settings = [c for c in files.columns if c.startswith("opt_")]
     arrays = [_tagged(c, options) for c in checks]
     found = text.explode_rows(
-        with_lines(files.select("repo", "path", "content")), ["repo", "path"], F.concat(*arrays), "x"
+        with_lines(files.select("repo", "path", "content", *settings)), ["repo", "path"], F.concat(*arrays), "x"
     )
     return found.select(
         "repo",

@@ -43,14 +43,15 @@ def scan_projects(listing: DataFrame) -> DataFrame:
 
 
 def last_commits(commits: DataFrame, changes: DataFrame | None = None) -> DataFrame:
-    """Date and message of the last commit of each git repo, and whether it has open changes."""
+    """Date, message and branch of the last commit of each git repo, and whether it has open changes."""
     order = F.struct("commit_ts", "commit_id")
     last = commits.filter("is_git").groupBy("repo").agg(
-        F.max_by(F.struct("commit_ts", "message"), order).alias("last")
+        F.max_by(F.struct("commit_ts", "message", "branch"), order).alias("last")
     ).select(
         "repo",
         F.substring(F.col("last.commit_ts").cast("string"), 1, 10).alias("last_commit_date"),
         F.col("last.message").alias("last_commit_msg"),
+        F.col("last.branch").alias("branch"),
     )
     if changes is None:
         return last.withColumn("has_uncommitted", F.lit(False))

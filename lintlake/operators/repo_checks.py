@@ -123,11 +123,16 @@ def _entry(check: RepoCheck, options: Options) -> Column:
 
 
 def repo_findings(
-    files: DataFrame, checks: list[RepoCheck] | None = None, options: Options = DEFAULTS
+    files: DataFrame, checks: list[RepoCheck] | None = None, options: Options = DEFAULTS,
+    settings: DataFrame | None = None,
 ) -> DataFrame:
-    """Findings of the repository-scoped checks: one aggregate, then one explode."""
+    """Findings of the repository-scoped checks: one aggregate, then one explode.
+
+    ``settings``: one row per repo with the ``opt_`` columns, where options are columns.
+    """
     checks = checks or REPO_CHECKS
     facts = repo_facts(files, list(dict.fromkeys(n for c in checks for n in c.facts)))
+    facts = facts.join(settings, "repo", "left") if settings is not None else facts
     entries = [_entry(c, options) for c in checks]
     found = text.explode_rows(facts, ["repo"], F.array_compact(F.array(*entries)), "x")
     return found.select(

@@ -102,6 +102,7 @@ def repo_scores(findings: DataFrame, repos: DataFrame, options: Options = DEFAUL
 def counted_scores(findings: DataFrame, repos: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """``repo_scores`` with the counts of findings."""
     one_decimal = lambda c: F.round(c, 1).cast("decimal(4,1)")
+    # Weights may be columns of ``repos`` (``overrides.column_options``).
     weight = {k: F.lit(v).cast("decimal(4,2)") for k, v in options.weights.items()}
     base = wide_scores(findings, repos).select(
         *repos.columns, *COUNTS,

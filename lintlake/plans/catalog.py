@@ -34,7 +34,7 @@ from lintlake.operators.findings import (
 )
 from lintlake.operators.repo_facts import concern
 from lintlake.options import DEFAULTS
-from lintlake.plans.checks import FILE_CHECKS, all_findings, all_notes
+from lintlake.plans.checks import FILE_CHECKS, all_findings, all_notes, register_check, unregister_check
 from lintlake.sources import files as src
 from lintlake.sources import fixtures as fx
 from lintlake.sources import history, overrides
@@ -146,6 +146,23 @@ def _(spark, d):
     return overrides.option_values(repos, chosen, _OPTION_DEFAULTS)
 
 
+def _settings(spark: SparkSession, d: str) -> DataFrame:
+    repos = scoring.repos_of(fx.code_files(spark, d))
+    return overrides.repo_options(repos, overrides.effective_overrides(repos, fx.override_tables(spark, d)))
+
+
+@query("src8_effective_checks")
+def _(spark, d):
+    code, settings, options = fx.code_files(spark, d), _settings(spark, d), overrides.column_options()
+    checks = [_CHECKS[c] for c in ("CLA2", "CLA5")]
+    root = [c for c in repo_checks.REPO_CHECKS if c.check_id == "STR1"]
+    found = union_all([
+        file_findings(code.join(settings, "repo"), checks, options),
+        repo_checks.repo_findings(code, root, options, settings),
+    ])
+    return found.select("repo", "check_id", "file", "description", "line")
+
+
 @query("src9_portfolio_repos")
 def _(spark, d):
     return projects.portfolio_repos(scoring.repos_of(fx.docs_files(spark, d)), ["src3", "src7"])
@@ -492,6 +509,13 @@ def _(spark, d):
     return scoring.repo_scores(all_findings(code), scoring.repos_of(code)).drop("n_files")
 
 
+@query("agg2_weighted_scores")
+def _(spark, d):
+    code = fx.code_files(spark, d)
+    repos = scoring.repos_of(code).join(_settings(spark, d), "repo")
+    return scoring.repo_scores(all_findings(code), repos, overrides.column_options()).select("repo", "overall")
+
+
 @query("agg3_tags")
 def _(spark, d):
     return scoring.tags(_both(spark, d))
@@ -669,6 +693,28 @@ def _(spark, d):
     return all_findings(fx.code_files(spark, d)).select("analyzer", "category", "check_id", *CHECK_COLUMNS, "code_before")
 
 
+@query("ext1_custom_check")
+def _(spark, d):
+    def long_files(files: DataFrame) -> DataFrame:
+        none = F.lit(None)
+        return files.filter(F.col("size") > 1000).select(
+            "repo", F.lit("Custom").alias("analyzer"), F.lit("custom").alias("category"), F.lit("EXT_LONG").alias("check_id"),
+            F.col("path").alias("file"), F.lit("low").alias("severity"), F.lit("Long file").alias("title"),
+            F.concat("size", F.lit(" bytes")).alias("description"), F.lit("Split it").alias("suggestion"),
+            none.alias("line"), none.alias("code_before"), none.alias("code_after"),
+            F.struct(F.lit(99), F.lit(0), F.col("path"), F.lit(0), F.lit(0)).alias("ord"),
+        )
+
+    register_check("EXT_LONG", "Custom", "file", long_files)
+    try:
+        found = all_findings(fx.code_files(spark, d))
+    finally:
+        unregister_check("EXT_LONG")
+    return found.filter(F.col("check_id") == "EXT_LONG").select(
+        "repo", "analyzer", "check_id", "file", "severity", "title", "description"
+    )
+
+
 @query("set2_missing_ignore_entries")
 def _(spark, d):
     entries = F.array(*[F.lit(e) for e in fv.IGNORE_ENTRIES])

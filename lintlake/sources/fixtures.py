@@ -253,6 +253,7 @@ def event_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("commit_ts"),
         F.col("event_id").alias("commit_id"),
         F.col("event_type").alias("message"),
+        F.when(F.col("event_id") % 4 == 0, "develop").otherwise("main").alias("branch"),
         (F.col("user_id") % 7 != 0).alias("is_git"),
     )
 
@@ -287,7 +288,7 @@ def override_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [
         source(r % 5 == 0, [("clarity", "nesting_threshold", "3")]),
         source(r % 3 == 0, [("clarity", "nesting_threshold", "7"), ("clarity", "max_function_lines", "80")]),
-        source(r % 2 == 0, [("structure", "root_file_threshold", "2")]),
+        source(r % 2 == 0, [("structure", "root_file_threshold", "2"), ("scoring", "security", "0.40")]),
     ]
 
 

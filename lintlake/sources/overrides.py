@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.options import DEFAULTS, Options
+
+#: Settings that checks compare with, by section and key; each is a field of ``Options``.
+NUMERIC = {
+    ("clarity", "max_function_lines"): "max_function_lines",
+    ("clarity", "nesting_threshold"): "nesting_threshold",
+    ("clarity", "magic_number_threshold"): "magic_number_threshold",
+    ("structure", "root_file_threshold"): "root_file_threshold",
+    ("structure", "mixed_concern_threshold"): "mixed_concern_threshold",
+}
+#: Shares of the overall score, section ``scoring``.
+WEIGHTS = ("quality", "structure", "security", "usefulness")
+
 
 def effective_overrides(repos: DataFrame, sources: list[DataFrame]) -> DataFrame:
     """``sources`` in priority order, each (repo, section, key, value).
@@ -33,3 +47,27 @@ def option_values(repos: DataFrame, overrides: DataFrame, defaults: dict[tuple[s
         "repo",
         *[F.coalesce(F.col(f"{s}_{k}"), F.lit(v)).alias(f"{s}_{k}") for (s, k), v in defaults.items()],
     )
+
+
+def repo_options(repos: DataFrame, overrides: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """One row per repo with a typed ``opt_`` column per setting; a value that is no number keeps the default."""
+    defaults = {k: str(getattr(options, f)) for k, f in NUMERIC.items()}
+    defaults |= {("scoring", w): str(options.weights[w]) for w in WEIGHTS}
+    wide = option_values(repos, overrides, defaults)
+
+    def typed(key: tuple[str, str], kind: str, name: str):
+        value = F.coalesce(F.expr(f"try_cast({key[0]}_{key[1]} AS {kind})"), F.lit(defaults[key]).cast(kind))
+        return value.alias(f"opt_{name}")
+
+    return wide.select(
+        "repo", *[typed(k, "int", f) for k, f in NUMERIC.items()],
+        *[typed(("scoring", w), "decimal(4,2)", f"weight_{w}") for w in WEIGHTS],
+    )
+
+
+def column_options(options: Options = DEFAULTS) -> Options:
+    """Options that checks read from the ``opt_`` columns of their rows."""
+    return replace(
+        options, **{f: F.col(f"opt_{f}") for f in NUMERIC.values()},
+        weights={w: F.col(f"opt_weight_{w}") for w in WEIGHTS},
+    )

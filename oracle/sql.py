@@ -64,15 +64,31 @@ add("src8_config_lookup", (*_CODE, "r AS (SELECT source AS repo, min(doc_id) % 2
   CASE WHEN r % 5 = 0 THEN '50' WHEN r % 3 = 0 THEN '80' ELSE '50' END AS clarity_max_function_lines,
   CASE WHEN r % 5 <> 0 AND r % 3 <> 0 AND r % 2 = 0 THEN '2' ELSE '5' END AS structure_root_file_threshold
 FROM r WHERE repo IN (SELECT repo FROM code)""")
+_OPTS = (
+    *v.CODE_LINES, v.repo_facts_cte(), "r AS (SELECT source AS repo, min(doc_id) % 20 AS r FROM documents GROUP BY source)",
+    """opts AS (SELECT repo, CASE WHEN r % 5 = 0 THEN 3 WHEN r % 3 = 0 THEN 7 ELSE 5 END AS nesting,
+    CASE WHEN r % 5 <> 0 AND r % 3 = 0 THEN 80 ELSE 50 END AS fn_lines,
+    CASE WHEN r % 5 <> 0 AND r % 3 <> 0 AND r % 2 = 0 THEN 2 ELSE 5 END AS root_files FROM r)""",
+)
+_EFFECTIVE = [
+    v.check("CLA2", f"(SELECT *, {v._NUM.format(by='no')} AS sub FROM {v.spans()} JOIN opts USING (repo) WHERE len > fn_lines)",
+            line="no", order=1, sub="sub", name="name", n="len", limit="fn_lines"),
+    v.check("CLA5", f"""(SELECT repo, path, max(depth) AS depth, arg_min(no, no - depth * 100000000) AS no
+      FROM (SELECT repo, path, no, {v.indent('raw')} // 4 AS depth FROM ln WHERE txt <> '') JOIN opts USING (repo)
+      GROUP BY repo, path HAVING max(depth) >= max(nesting))""", line="no", order=4, n="depth"),
+    v._repo("STR1", "n_root_code > (SELECT root_files FROM opts o WHERE o.repo = facts.repo)", 0, n="n_root_code"),
+]
+add("src8_effective_checks", _OPTS, " UNION ALL ".join(
+    f"SELECT repo, check_id, file, description, line FROM ({sql})" for sql in _EFFECTIVE))
 add("src9_portfolio_repos", (), """SELECT repo FROM (SELECT DISTINCT source AS repo FROM documents ORDER BY 1 LIMIT 100)
 WHERE repo NOT IN ('src3', 'src7')""")
 add("src10_scan_projects", (), """WITH repos AS (SELECT source AS repo, min(doc_id) AS d FROM documents GROUP BY source)
 SELECT repo AS project, repo AS name, d % 20 % 3 = 0 AS is_git FROM repos
 UNION ALL SELECT repo || '/src', 'src', TRUE FROM repos WHERE d % 20 % 3 = 1""")
 _COMMITS = """commits AS (SELECT 'user_' || user_id AS repo, ts AS commit_ts, event_id AS commit_id,
-  event_type AS message, user_id % 7 <> 0 AS is_git FROM events)"""
+  event_type AS message, CASE WHEN event_id % 4 = 0 THEN 'develop' ELSE 'main' END AS branch, user_id % 7 <> 0 AS is_git FROM events)"""
 _LAST = """last AS (SELECT repo, left(CAST(arg_max(commit_ts, (commit_ts, commit_id)) AS VARCHAR), 10) AS last_commit_date,
-    arg_max(message, (commit_ts, commit_id)) AS last_commit_msg,
+    arg_max(message, (commit_ts, commit_id)) AS last_commit_msg, arg_max(branch, (commit_ts, commit_id)) AS branch,
     coalesce(bool_or(message = 'error' AND commit_id % 3 = 0), FALSE) AS has_uncommitted
   FROM commits WHERE is_git GROUP BY repo)"""
 add("src11_last_commit", (_COMMITS, _LAST), "SELECT * FROM last")
@@ -400,6 +416,11 @@ repo_scores AS (
     {_D('(30 * q + 25 * st + 25 * se + 20 * us + 50) // 100')} AS overall FROM usable)"""
 _SCORED = (*_F, _SCORES, _REPO_SCORES)
 add("agg1_analyzer_scores", (*_F, _SCORES), "SELECT * FROM analyzer_scores")
+_WEIGHTED = _REPO_SCORES.replace("25 * se", "w * se").replace(
+    "AS us FROM tenths)", """AS us,
+  CASE WHEN r % 5 <> 0 AND r % 3 <> 0 AND r % 2 = 0 THEN 40 ELSE 25 END AS w
+  FROM tenths JOIN (SELECT source AS repo, min(doc_id) % 20 AS r FROM documents GROUP BY source) USING (repo))""")
+add("agg2_weighted_scores", (*_F, _SCORES, _WEIGHTED), "SELECT repo, overall FROM repo_scores")
 add("agg2_repo_scores", _SCORED, "SELECT repo, quality, structure, security, usefulness, overall FROM repo_scores")
 
 
@@ -462,6 +483,8 @@ add("top4_truncation", _DOCS, """SELECT repo, path, md5(left(content, 300)) AS d
   md5(left(content, 6000)) AS d6000 FROM docs""")
 add("top5_sorted_files", _DOCS, "SELECT repo, path FROM docs ORDER BY repo, path")
 add("set1_all_findings", _F, f"SELECT analyzer, category, check_id, {OUT}, code_before FROM findings")
+add("ext1_custom_check", _CODE, """SELECT repo, 'Custom' AS analyzer, 'EXT_LONG' AS check_id, path AS file,
+  'low' AS severity, 'Long file' AS title, CAST(size AS VARCHAR) || ' bytes' AS description FROM code WHERE size > 1000""")
 add("set2_missing_ignore_entries", _CODE, f"""SELECT repo, entry FROM (SELECT repo, content, unnest({_ENTRIES}) AS entry
   FROM code WHERE path = '.gitignore' AND content <> '') WHERE NOT contains(content, entry)""")
 add("set3_distinct_kinds", _CODE, f"""SELECT repo, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds
@@ -521,7 +544,7 @@ add("prj1_project_types", _PROJ,
     "SELECT repo, project_type, install_command, launch_command, needs_install, port, status FROM projects")
 add("prj2_content_probe", (v.CODE_RAW,), f"SELECT repo, {_PROBE('import json')} AS found FROM code_raw GROUP BY repo")
 add("prj3_recent_projects", (_COMMITS, _LAST), f"""SELECT * FROM (
-  SELECT repo, bool_or(c.is_git) AS is_git, max(last_commit_date) AS last_commit_date, max(last_commit_msg) AS last_commit_msg
+  SELECT repo, bool_or(c.is_git) AS is_git, max(last_commit_date) AS last_commit_date, max(last_commit_msg) AS last_commit_msg, max(last.branch) AS branch
   FROM commits c LEFT JOIN last USING (repo) GROUP BY repo)
 WHERE coalesce(last_commit_date, '') >= CAST(CAST(DATE '{AS_OF}' + 4 AS DATE) AS VARCHAR) OR NOT is_git""")
 add("prj4_by_name", _PROJ, """SELECT repo, 'named' AS why FROM projects WHERE lower(repo) = 'src4'
