@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 #: Words and word pairs that are features, at most: the most frequent ones of the examples, from so many examples on.
 FEATURES = 8192
 MIN_EXAMPLES = 3
-#: Paragraphs of the corpus used as examples without a licence, at most.
+#: Documents whose paragraphs are examples without a licence, about (those with the smallest hash of doc_id), and
+#: paragraphs taken from them, at most.
+NEGATIVE_DOCUMENTS = 800
 MAX_NEGATIVES = 3_000
 #: Variants made of each template for the fit.
 VARIANTS = 24
@@ -112,12 +114,15 @@ def templates(spark: SparkSession) -> DataFrame:
     return found.withColumn("template_pairs", _pairs(F.col("words")))
 
 
-def examples(spark: SparkSession, lines: DataFrame) -> DataFrame:
+def examples(documents: DataFrame) -> DataFrame:
     """Labelled paragraphs: templates with words left out or put before, and corpus lines without licence wording.
 
-    The corpus lines are those with the smallest hash among lines that share no word triple with a template; equal lines count once.
+    The corpus lines are those of a bounded sample of documents that share no word triple with a template; equal
+    lines count once.
     """
-    known = templates(spark)
+    known = templates(documents.sparkSession)
+    share = int(1_000_000 * NEGATIVE_DOCUMENTS / max(1, documents.count()))
+    lines = paragraphs(documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share))
     drawn = known.select("family", "words", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("v"))
     drop = lambda w, i: (F.col("v") == 0) | (F.pmod(F.xxhash64("v", i, w), F.lit(100)) >= F.col("v"))
     positive = drawn.select("family", F.filter("words", drop).alias("words"), "v")
@@ -127,7 +132,7 @@ def examples(spark: SparkSession, lines: DataFrame) -> DataFrame:
     wording = F.lit([r.t for r in triples.distinct().collect()])
     own = F.transform(F.sequence(F.lit(2), F.greatest(F.size("words") - 1, F.lit(2))), lambda i: F.concat_ws(" ", F.slice("words", i - 1, 3)))
     sampled = lines.select("words", F.xxhash64("line").alias("h")).filter(F.size("words") > 0)
-    sampled = sampled.orderBy("h").limit(4 * MAX_NEGATIVES).dropDuplicates(["h"]).filter(~F.arrays_overlap(own, wording))
+    sampled = sampled.dropDuplicates(["h"]).filter(~F.arrays_overlap(own, wording))
     negative = sampled.orderBy("h").limit(MAX_NEGATIVES).select(F.lit(NONE).alias("family"), "words", F.lit(0).alias("v"))
     return positive.unionByName(negative)
 
@@ -161,7 +166,7 @@ def fit(documents: DataFrame) -> Scanner:
     spark = documents.sparkSession
     families = [NONE, *TEMPLATES]
     number = F.array_position(F.lit(families), F.col("family")).cast("double") - 1
-    known = examples(spark, paragraphs(documents)).withColumn("label", number)
+    known = examples(documents).withColumn("label", number)
     known = known.withColumn("fold", F.pmod(F.xxhash64("words", "v"), F.lit(3))).cache()
     grams = _grams(known.filter("fold > 0"))
     counter = CountVectorizer(vocabSize=FEATURES, minDF=MIN_EXAMPLES, binary=True, inputCol="grams", outputCol="features").fit(grams)
