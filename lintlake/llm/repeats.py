@@ -3,7 +3,7 @@
 A difference cover is a sample of positions such that two equal strings always meet the sample at the same distance.
 Residues modulo 3 are one; here the sample is chosen by content: in every 200-byte window, the first of its byte
 ``GRAM``-grams with the smallest hash. Equal windows have the same sampled position at the same distance, and there is one sample in
-about 90 bytes instead of two in three. The steps are those of the difference-cover algorithm:
+about 70 bytes instead of two in three. The steps are those of the difference-cover algorithm:
 
 * sample: each sampled position stands for the run of windows that it was chosen in (a unit). Its triple is what lies
   before it, its gram, and what lies behind it, as far as its windows reach;
