@@ -169,3 +169,38 @@ def complexity(content):
         f.name: 1 + sum(weight[type(n)](n) if type(n) in weight else isinstance(n, one) for n in ast.walk(f))
         for f in ast.walk(ast.parse(content)) if isinstance(f, (ast.FunctionDef, ast.AsyncFunctionDef))
     }
+
+
+def syntax_findings(content):
+    """{(check, line, name)} of the five syntax checks, by walks of their own."""
+    tree = ast.parse(content)
+    everything = list(ast.walk(tree))
+    ranges = []
+    for n in everything:
+        if isinstance(n, ast.If) and "TYPE_CHECKING" in ast.unparse(n.test).split("."):
+            ranges.append(range(n.lineno, n.end_lineno + 1))
+    bound = {}
+    for n in (n for n in everything if isinstance(n, (ast.Import, ast.ImportFrom))):
+        for a in n.names:
+            if not (isinstance(n, ast.ImportFrom) and a.name == "*") and not any(n.lineno in r for r in ranges):
+                bound[a.asname or a.name] = n.lineno
+    used = {n.id for n in everything if isinstance(n, ast.Name)}
+    for n in tree.body:
+        if isinstance(n, ast.Assign) and any(ast.unparse(t) == "__all__" for t in n.targets):
+            used |= set(ast.literal_eval(n.value))
+    out = {("AST1", line, name) for name, line in bound.items() if name not in used}
+    weights = {}
+    for name, value in complexity(content).items():
+        weights[name] = value
+    for f in everything:
+        if not isinstance(f, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            continue
+        if weights[f.name] > 10:
+            out.add(("AST2", f.lineno, f.name))
+        if f.end_lineno - f.lineno + 1 > 50:
+            out.add(("AST3", f.lineno, f.name))
+        if f.returns is None and not f.name.startswith("_"):
+            out.add(("AST4", f.lineno, f.name))
+        if any(isinstance(d, (ast.List, ast.Dict, ast.Set)) for d in [*f.args.defaults, *filter(None, f.args.kw_defaults)]):
+            out.add(("AST5", f.lineno, f.name))
+    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
@@ -124,6 +125,64 @@ def test_shared_folder_is_asked_for():
         ranking.shared_dir(Session())
 
 
+def random_program(rng: random.Random) -> str:
+    """A valid module with imports, guards, nested functions and branches; names are unique."""
+    lines, count = [], iter(range(10_000))
+
+    def block(depth: int, pad: str) -> None:
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.randrange(9 if depth < 3 else 5)
+            x = rng.choice("abcdef")
+            if kind == 0:
+                lines.append(f"{pad}{x} = {rng.choice(['m1', 'm2', x])} and b or c")
+            elif kind == 1:
+                lines.append(f"{pad}assert {x} if a else b")
+            elif kind == 2:
+                lines.append(f"{pad}import m{rng.randrange(6)}, pkg.m{rng.randrange(4)} as n{rng.randrange(4)}")
+            elif kind == 3:
+                lines.extend([f"{pad}{x} = {i}" for i in range(rng.choice([1, 2, 30]))])
+            elif kind == 4:
+                lines.append(f"{pad}print(n{rng.randrange(4)}, m{rng.randrange(6)})")
+            elif kind in (5, 6):
+                head = rng.choice(["if a:", "while b:", "for d in e:", "with f:"])
+                lines.append(pad + head)
+                block(depth + 1, pad + "    ")
+            else:
+                name = rng.choice(["f", "_g"]) + str(next(count))
+                args = rng.choice(["", "a=[]", "b, *, c={}", "d=None", "e={1}, f=()"])
+                lines.append(f"{pad}{rng.choice(['', 'async '])}def {name}({args}){rng.choice(['', ' -> int'])}:")
+                block(depth + 1, pad + "    ")
+                lines.append(pad + "    return a")
+
+    lines.append("from typing import TYPE_CHECKING")
+    if rng.random() < 0.7:
+        lines += ["if TYPE_CHECKING:", "    import m5", "    from z import hidden"]
+    for _ in range(4):
+        block(0, "")
+    if rng.random() < 0.5:
+        lines.append("__all__ = ['m1', 'n2']")
+    return "\n".join(lines)
+
+
+def test_syntax_checks_against_other_walks(spark):
+    rng = random.Random(11)
+    texts = {f"s{n}.py": body for n, body in SNIPPETS.items()} | {f"p{i}.py": random_program(rng) for i in range(60)}
+    files = spark.createDataFrame([("r", p, c, len(c)) for p, c in texts.items()], FILES_SCHEMA)
+    got = {}
+    for r in pyfacts.fact_findings(pyfacts.syntax_facts(files)).collect():
+        name = re.sub(r"^[^:]*: ?|\(\).*$|^Mutable default argument in ", "", r["title"])
+        got.setdefault(r["file"], set()).add((r["check_id"], r["line"], name))
+    fired = set()
+    for path, body in texts.items():
+        try:
+            want = plain_rules.syntax_findings(body)
+        except SyntaxError:
+            want = set()
+        fired |= {w[0] for w in want}
+        assert got.get(path, set()) == want, path
+    assert fired == {"AST1", "AST2", "AST3", "AST4", "AST5"}
+
+
 def test_complexity(spark):
     body = SNIPPETS[10]
     files = spark.createDataFrame([("r", "a.py", body, 1)], FILES_SCHEMA)
