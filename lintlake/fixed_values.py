@@ -1,7 +1,7 @@
 """Lists, patterns, tables and message texts whose exact content decides the results.
 
 Nothing in this module is logic. Patterns are written in Python ``re`` notation;
-``functions.regex.java_pattern`` turns them into the notation Spark uses.
+``functions.text.java_pattern`` turns them into the notation Spark uses.
 """
 
 # --- Fixed values: file collection -------------------------------------------------------

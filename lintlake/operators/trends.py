@@ -44,11 +44,15 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     )
 
 
+def newest(runs: DataFrame, k: int) -> DataFrame:
+    """The last ``k`` runs of each repo; Spark cuts every task's rows to ``k`` per repo before the shuffle."""
+    order = Window.partitionBy("repo").orderBy(F.desc("run_ts"), F.desc("run_id"))
+    return runs.withColumn("back", F.row_number().over(order)).filter(F.col("back") <= k).drop("back")
+
+
 def trend_rows(runs: DataFrame, latest_only: bool = False) -> DataFrame:
     """Five rows per run that has a previous one: previous, current, delta, arrow, regression."""
-    compared = with_previous(runs)
-    if latest_only:
-        compared = latest_runs(compared)
+    compared = latest_runs(with_previous(newest(runs, 2))) if latest_only else with_previous(runs)
     entries = F.array(*[
         F.struct(
             F.lit(i).alias("category_no"),
@@ -82,7 +86,7 @@ def _label(category: Column) -> Column:
 
 def trend_section(runs: DataFrame) -> DataFrame:
     """Report lines of the newest run: (repo, block, line_no, line)."""
-    latest = latest_runs(with_previous(runs)).join(history_summary(runs), "repo")
+    latest = latest_runs(with_previous(newest(runs, 2))).join(history_summary(runs), "repo")
 
     def per_category(make) -> list[Column]:
         return [make(c, F.col(f"prev.{c}"), F.col(c), (F.col(c) - F.col(f"prev.{c}")).cast("decimal(4,1)"))

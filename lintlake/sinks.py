@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.operators.report import ORDER
@@ -39,23 +39,28 @@ def write_portfolio(rows: DataFrame, path: str) -> None:
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """Report text, one folder per repo; inside a folder the part files are in line order.
+    """Report lines of all repos as one table (repo, section order, line), range-partitioned in line order.
 
-    The range partitioning cuts a very large report into several part files.
+    The number of files follows the data, not the number of repos; ``export_report`` writes one repo's text.
     """
     ordered = lines.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
-    ordered.select("repo", F.col("line").alias("value")).write.mode("overwrite").partitionBy("repo").text(path)
+    ordered.write.mode("overwrite").parquet(path)
 
 
-def append_run(runs: DataFrame, path: str) -> None:
-    runs.write.mode("append").parquet(path)
+def export_report(spark: SparkSession, path: str, repo: str, target: str) -> None:
+    """The report of one repo as text; part files are in line order."""
+    lines = spark.read.parquet(path).filter(F.col("repo") == repo)
+    lines.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).select("line").write.mode("overwrite").text(target)
 
 
-def write_history(runs: DataFrame, path: str) -> None:
-    """History as JSON lines per repo."""
-    run_document(runs).select("repo", F.col("document").alias("value")).write.mode("append").partitionBy(
-        "repo"
-    ).text(path)
+def append_run(runs: DataFrame, path: str, batch: str) -> None:
+    """Add runs under a batch name; writing the same batch again replaces it, so a retry adds nothing twice."""
+    runs.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def write_history(runs: DataFrame, path: str, batch: str) -> None:
+    """History documents as rows (repo, document), a batch at a time like ``append_run``."""
+    run_document(runs).select("repo", "run_ts", "document").write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def write_session(projects: DataFrame, summary: DataFrame, timestamp: str, path: str) -> None:

@@ -321,6 +321,48 @@ def test_sinks(spark, tmp_path):
     assert body == ["b,9.1,ops,promote,1", "a,5.0,biz,maintain,3"]
 
 
+def test_writers_round_trip(spark, tmp_path):
+    from lintlake.operators.report import ORDER
+
+    order = {c: i for i, c in enumerate(ORDER)}
+    rows = [("b", "two"), ("a", "one"), ("a", "three")]
+    columns = [F.col("repo") if c == "repo" else F.lit(order[c]).alias(c) for c in ORDER]
+    lines = spark.createDataFrame(rows, "repo string, line string").select(*columns, "line")
+    sinks.write_report(lines, str(tmp_path / "report"))
+    assert sorted((r.repo, r.line) for r in spark.read.parquet(str(tmp_path / "report")).collect()) == sorted(rows)
+    assert not list((tmp_path / "report").glob("repo=*"))
+    sinks.export_report(spark, str(tmp_path / "report"), "b", str(tmp_path / "one"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "one")).collect()] == ["two"]
+
+    cards = spark.createDataFrame(
+        [("a", D("5.0"), D("1.0"), D("2.0"), D("3.0"), D("4.0"), 7, 3)],
+        "repo string, quality decimal(4,1), structure decimal(4,1), security decimal(4,1), usefulness decimal(4,1), "
+        "overall decimal(4,1), total long, n_files long",
+    )
+    runs = history.new_run(cards, F.lit("2024-01-02 03:04:05").cast("timestamp"), F.lit(1).cast("long"))
+    for _ in range(2):  # a retry
+        sinks.append_run(runs, str(tmp_path / "runs"), "b1")
+        sinks.write_history(runs, str(tmp_path / "documents"), "b1")
+    sinks.append_run(runs, str(tmp_path / "runs"), "b2")
+    assert spark.read.parquet(str(tmp_path / "runs")).count() == 2
+    document = spark.read.parquet(str(tmp_path / "documents")).first().document
+    whole = '{"runs": [' + document + "]}"
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h" / "a.json").write_text(whole)
+    back = history.read_history(spark, str(tmp_path / "h"), F.regexp_extract("file", r"([^/]+)\.json$", 1))
+    shared = [c for c in back.columns if c != "run_id"]
+    assert back.select(*shared).collect() == runs.select(*shared).collect()
+
+    files = files_of(spark, [("r", "a.py", "x = 1")])
+    sinks.write_files(files, str(tmp_path / "files"))
+    assert spark.read.parquet(str(tmp_path / "files")).collect() == files.collect()
+    meta = spark.createDataFrame([("a", 1)], "repo_path string, files_analyzed int")
+    sinks.write_metadata(meta, str(tmp_path / "meta"))
+    assert spark.read.json(str(tmp_path / "meta")).first().repo_path == "a"
+    sinks.write_session(meta, meta.select(F.count("*").alias("total")), "t0", str(tmp_path / "session"))
+    assert spark.read.json(str(tmp_path / "session" / "summary")).first().total == 1
+
+
 def test_streaming_files(spark, tmp_path):
     from lintlake.operators.findings import file_findings
     from lintlake.plans.checks import FILE_CHECKS
