@@ -770,7 +770,7 @@ def _(spark, d):
         found, cards, report.describe(code), durable(all_notes(code, facts)), GENERATED, smart=True,
         extra={report.TESTS: tests, report.TREND: trend},
     )
-    return lines.groupBy("repo", "section").agg(F.count(F.lit(1)).alias("n_lines"))
+    return report.in_order(lines).select("repo", "section", "line")
 
 
 # --- prompts and answers ---------------------------------------------------------------------

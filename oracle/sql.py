@@ -604,3 +604,12 @@ bags AS (
     '*One row set per repository; later runs are compared with this one.*'] FROM card)"""
 add("snk2_report_lines", (*_CARDS, _PARTS),
     "SELECT repo, CAST(section AS INTEGER) AS section, unnest(lines) AS line FROM bags")
+_SMART_PARTS = _PARTS.replace("'**Version:** 1.0.0'", "'**Version:** 2.0.0 (Smart)'")
+_REPO_RUNS = _RUNS.replace("'user_' || user_id AS repo", "'src' || (user_id % 20) AS repo")
+_SPLICED = f"""SELECT repo, CAST(section AS INTEGER) AS section, unnest(lines) AS line FROM (
+  SELECT * FROM bags
+  UNION ALL SELECT repo, 6, ['', '', '## Generated Tests', '', '**' || tests_generated || ' tests** generated across **'
+    || n_files || ' files**', ''] FROM totals
+  UNION ALL SELECT repo, 6, ['### `' || test_path || '`', '```python'] || string_split(code, {LF}) || ['```', ''] FROM generated
+  UNION ALL SELECT repo, 7, ['', ''] || lines FROM section)"""
+add("rep4_spliced_report", (*_CARDS, _SMART_PARTS, _TESTS, _TEST_TOTALS, _REPO_RUNS, _SECTION), _SPLICED)
