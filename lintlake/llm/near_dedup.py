@@ -2,7 +2,7 @@
 
 Documents with equal shingle sets are one class and only its smallest doc_id takes part. A class has ``TOKENS`` minwise
 tokens. The trees of the join start with ``ROOTS`` nodes a class, one for each of so many tokens. The members of a node
-share a path of chosen tokens; a node with at most ``SMALL`` members is compared exhaustively, a larger one is
+share a path of chosen tokens; a node that takes at most ``SMALL`` squared comparisons is compared exhaustively, a larger one is
 branched by further tokens that its path selects, one or two each, which is more than 1 / similarity on average.
 
 Two classes with similarity 0.75 share no node at the start with probability 0.25**16, and a path that they share
@@ -38,7 +38,7 @@ SMALL = 512
 LEAST_EQUAL = 32
 #: Levels of branching; nodes that are still large after so many are compared in blocks.
 LEVELS = 16
-#: Sets held at once while links are confirmed.
+#: Sets held at once while links are confirmed, about.
 BLOCK = 64
 
 _RNG = np.random.default_rng(20)
@@ -179,15 +179,23 @@ def _similar_pairs(members: DataFrame, classes: DataFrame, all_pairs: bool) -> D
             part, node, ids, component = (batch.column(i).to_numpy() for i in range(4))
             tokens = (_matrix(batch.column(4), "<u4", TOKENS) & np.uint32(255)).astype(np.uint8)
             earlier, later, equal = [], [], []
-            i, k = np.arange(len(ids)), 0
+            if all_pairs:
+                first = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (part[1:] != part[:-1]))))
+                for lo, hi in zip(first, np.append(first[1:], len(ids)), strict=True):
+                    kinds, which, counts = np.unique(component[lo:hi], return_inverse=True, return_counts=True)
+                    for j in np.flatnonzero(which != counts.argmax()) if len(kinds) > 1 else ():
+                        n = (tokens[lo:hi] == tokens[lo + j]).sum(axis=1)
+                        hit = np.flatnonzero((n >= LEAST_EQUAL) & (which != which[j]))
+                        earlier.append(lo + hit)
+                        later.append(np.full(len(hit), lo + j))
+                        equal.append(n[hit])
+            i, k = np.arange(0 if all_pairs else len(ids)), 0
             while len(i):
                 k += 1
                 i = i[i + k < len(ids)]
                 i = i[(node[i] == node[i + k]) & (part[i] == part[i + k])]
                 n = (tokens[i] == tokens[i + k]).sum(axis=1)
                 hit = n >= LEAST_EQUAL
-                if all_pairs:
-                    hit &= component[i] != component[i + k]
                 earlier.append(i[hit])
                 later.append(i[hit] + k)
                 equal.append(n[hit])
@@ -216,14 +224,28 @@ def _sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return common.stored(sets.groupBy("id").agg(F.max("shingles").alias("shingles")))
 
 
+def _in_equal_blocks(sets: DataFrame) -> DataFrame:
+    """Deal the sets into blocks of about ``BLOCK``."""
+    blocks = max(1, sets.count() // BLOCK)
+    return sets.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(blocks)))
+
+
+def _in_component_blocks(sets: DataFrame, named: DataFrame) -> DataFrame:
+    """Deal the sets into blocks that stay inside a component: what is like one member is like others of it."""
+    placed = sets.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = placed.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    part = F.pmod(F.xxhash64(F.lit(5), "id"), F.col("parts"))
+    return placed.join(parts, "component").select("id", "shingles", F.xxhash64("component", part).alias("block"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets reach the threshold.
 
-    The sets of the y side are held in blocks of ``BLOCK``, and each x comes once for all its partners in a block.
+    The sets of the y side are held block by block, and each x comes once for all its partners in a block.
     """
-    blocks = max(1, sets.count() // BLOCK)
-    block = F.pmod(F.xxhash64(F.lit(5), "y"), F.lit(blocks)).alias("block")
-    asked = pairs.select("x", "y", block).groupBy("x", "block").agg(F.collect_set("y").alias("ys"))
+    block = F.col("block")
+    placed = pairs.select("x", "y").join(sets.select(F.col("id").alias("y"), "block"), "y")
+    asked = placed.groupBy("x", "block").agg(F.collect_set("y").alias("ys"))
     own = sets.select(F.col("id").alias("x"), "shingles")
     asked = asked.join(own, "x").select("block", F.lit(1).alias("turn"), "x", "shingles", "ys")
     wanted = pairs.select(F.col("y").alias("id")).distinct()
@@ -256,11 +278,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _shared_nodes(members: DataFrame) -> DataFrame:
-    """Members of the nodes that hold several classes (and several components), with the number of members."""
-    sizes = members.groupBy("node").agg(
-        F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")
-    )
-    return members.join(sizes.filter("low < high").select("node", "size"), "node")
+    """Members of the nodes that hold several components, with the number of members and of comparisons.
+
+    Comparisons are those of the members outside the largest component with all members.
+    """
+    parts = members.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = parts.groupBy("node").agg(F.sum("n").alias("size"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("parts"))
+    work = F.col("size") * (F.col("size") - F.col("largest"))
+    return members.join(sizes.filter("parts > 1").select("node", "size", work.alias("work")), "node")
 
 
 def _links(documents: DataFrame, classes: DataFrame) -> DataFrame:
@@ -272,23 +297,24 @@ def _links(documents: DataFrame, classes: DataFrame) -> DataFrame:
     first = common.stored(_similar_pairs(dealt, classes, all_pairs=False))
     touched = first.select(F.col("x").alias("id")).union(nodes.filter(F.col("size") > SMALL).select("id")).distinct()
     sets = _sets(documents, touched)
-    links = common.stored(_confirmed(first.filter("x <> y"), sets))
+    links = common.stored(_confirmed(first.filter("x <> y"), _in_equal_blocks(sets)))
 
     named = components(links)
-    again = nodes.drop("component", "size").join(named, "id", "left")
+    again = nodes.drop("component", "size", "work").join(named, "id", "left")
     nodes = common.stored(_shared_nodes(again.withColumn("component", F.coalesce("component", "id"))))
-    leaves = nodes.filter(F.col("size") <= SMALL).withColumn("part", F.lit(0).cast("long"))
-    large = nodes.filter(F.col("size") > SMALL)
+    few = F.col("work") <= SMALL * SMALL
+    leaves = nodes.filter(few).withColumn("part", F.lit(0).cast("long"))
+    large = nodes.filter(~few)
     for _ in range(LEVELS):
         if large.isEmpty():
             break
         below = common.stored(_shared_nodes(_children(large, classes)))
-        leaves = leaves.unionByName(below.filter(F.col("size") <= SMALL).withColumn("part", F.lit(0).cast("long")))
-        large = below.filter(F.col("size") > SMALL)
+        leaves = leaves.unionByName(below.filter(few).withColumn("part", F.lit(0).cast("long")))
+        large = below.filter(~few)
     else:
         leaves = leaves.unionByName(_in_blocks(large))
-    second = common.stored(_similar_pairs(leaves.drop("used", "size"), classes, all_pairs=True))
-    return links.unionByName(_confirmed(second, sets))
+    second = common.stored(_similar_pairs(leaves.drop("used", "size", "work"), classes, all_pairs=True))
+    return links.unionByName(_confirmed(second, _in_component_blocks(sets, named)))
 
 
 def _in_blocks(large: DataFrame) -> DataFrame:
@@ -296,7 +322,7 @@ def _in_blocks(large: DataFrame) -> DataFrame:
     n = F.ceil(2 * F.col("size") / SMALL)
     mine = F.pmod(F.xxhash64(F.lit(9), "id"), n)
     other = F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other")
-    met = large.select("node", "used", "id", "component", "size", mine.alias("mine"), other)
+    met = large.select("node", "used", "id", "component", "size", "work", mine.alias("mine"), other)
     pair = F.struct(F.least("mine", "other"), F.greatest("mine", "other"))
     return met.withColumn("part", F.xxhash64(pair)).drop("mine", "other")
 
