@@ -13,7 +13,7 @@ MIN_SITES = 10
 SKETCH_LG_K = 12
 #: Estimates within this share of the threshold are counted exactly: six standard errors.
 NEAR = 0.1
-#: A document of which boilerplate is more than this share of the characters is a copy, not a page with boilerplate.
+#: In the report, a document of which boilerplate is more than this share of the characters is left alone.
 MAX_SHARE = 0.5
 
 
@@ -26,14 +26,17 @@ def _lines(documents: DataFrame) -> DataFrame:
     rows = documents.select(
         F.col("doc_id").alias("doc_id"), F.coalesce("source", F.lit("")).alias("site"),
         F.coalesce("text", F.lit("")).alias("body"),
-    ).select("*", F.xxhash64("doc_id", "body").alias("row_a"), F.xxhash64("body", "doc_id").alias("row_b"))
+    ).select(
+        "*", F.xxhash64("doc_id", "body").alias("row_a"), F.xxhash64("body", "doc_id").alias("row_b"),
+        F.xxhash64("body").alias("content"), F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("id"),
+    )
     line = F.col("line")
     return (
-        rows.select("row_a", "row_b", "site", F.posexplode_outer(F.split("body", "\n", -1)).alias("pos", "line"))
+        rows.select("row_a", "row_b", "content", "id", "site", F.posexplode_outer(F.split("body", "\n", -1)).alias("pos", "line"))
         .withColumn("norm", normal_line(line))
         .filter(F.col("norm") != "")
         .select(
-            "row_a", "row_b", "site", "pos", F.length(line).alias("n"),
+            "row_a", "row_b", "content", "id", "site", "pos", F.length(line).alias("n"),
             F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(7), "norm").alias("h2"),
         )
     )
@@ -61,17 +64,36 @@ def boilerplate_lines(documents: DataFrame, min_sites: int = MIN_SITES, near: fl
     return spread.filter(~close).withColumn("counted", F.lit(False)).unionByName(exact)
 
 
-def without_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+def _spread(lines: DataFrame, found: DataFrame, min_contents: int) -> DataFrame:
+    """The occurrences of the lines of ``found`` that go: those of lines in ``min_contents`` distinct texts or more.
+
+    Copies of one text are one content, so their lines are not boilerplate however many sites have them. Of each line
+    the first occurrence stays (smallest doc_id, then row, then position), so no line leaves the corpus altogether.
+    """
+    first = F.min(F.struct("id", "row_a", "row_b", "pos")).alias("first")
+    per_content = lines.join(found, ["h", "h2"], "left_semi").groupBy("h", "h2", "content").agg(first)
+    wide = (
+        per_content.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("contents"), F.min("first").alias("first"))
+        .filter(F.col("contents") >= min_contents)
+        .select("h", "h2", F.col("first.row_a").alias("first_a"), F.col("first.row_b").alias("first_b"), F.col("first.pos").alias("first_pos"))
+    )
+    stays = (F.col("row_a") == F.col("first_a")) & (F.col("row_b") == F.col("first_b")) & (F.col("pos") == F.col("first_pos"))
+    return lines.join(wide, ["h", "h2"]).filter(~stays)
+
+
+def without_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, max_share: float | None = MAX_SHARE) -> DataFrame:
     """Rows (``doc``: the document with boilerplate lines cut from its ``text``, ``n_lines``, ``n_removed``).
 
-    Null texts stay null, blank lines stay, a null source counts as one site. A document is left alone where the
-    lines would take more than ``max_share`` of its characters: such a document is a copy whose lines spread with it,
-    and near-duplicate removal decides on it as a whole. Rows that repeat get the same result each.
+    Null texts stay null, blank lines stay, a null source counts as one site. With ``max_share``, a document is left
+    alone where the lines would take more than that share of its characters. Without it every line is decided by
+    itself: it goes where it is on ``min_sites`` sites and in as many distinct texts, but for its first occurrence.
+    Rows that repeat get the same result each.
     """
     lines = _lines(documents)
+    found = boilerplate_lines(documents, min_sites).select("h", "h2")
+    going = lines.join(found, ["h", "h2"], "left_semi") if max_share is not None else _spread(lines, found, min_sites)
     cut = (
-        lines.join(boilerplate_lines(documents, min_sites).select("h", "h2"), ["h", "h2"], "left_semi")
-        .groupBy("row_a", "row_b").agg(F.collect_set(F.struct("pos", "n")).alias("found"))
+        going.groupBy("row_a", "row_b").agg(F.collect_set(F.struct("pos", "n")).alias("found"))
         .select(
             F.col("row_a").alias("cut_a"), F.col("row_b").alias("cut_b"), F.col("found.pos").alias("cut_lines"),
             F.aggregate("found.n", F.lit(0), lambda x, y: x + y).alias("cut_chars"),
@@ -87,7 +109,9 @@ def without_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, max_sh
     )
     text = F.col("doc.text")
     parts = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    applies = F.col("cut_lines").isNotNull() & (F.col("cut_chars") <= F.lit(max_share) * F.length(text))
+    applies = F.col("cut_lines").isNotNull()
+    if max_share is not None:
+        applies &= F.col("cut_chars") <= F.lit(max_share) * F.length(text)
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("cut_lines", i)), "\n")
     fields = [
         F.when(applies, kept).otherwise(text).alias(c) if c == "text" else F.col(f"doc.{c}").alias(c)
@@ -100,18 +124,18 @@ def without_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, max_sh
 
 
 def line_report(documents: DataFrame) -> DataFrame:
-    """Per document: lines, removed lines, and the digest of the text that stays."""
+    """Per document: lines, removed lines, and the digest of the text that stays, by the rule with ``MAX_SHARE``."""
     kept = without_boilerplate(documents.select("doc_id", "text", "source"))
     digest = F.sha2(F.coalesce("doc.text", F.lit("")), 256).alias("kept_sha256")
     return kept.select("doc.doc_id", "n_lines", "n_removed", digest)
 
 
 def clean_documents(documents: DataFrame) -> DataFrame:
-    """The documents' columns with boilerplate cut; ``n_chars`` is counted anew where a text changed."""
+    """The documents' columns with boilerplate cut line by line; ``n_chars`` is counted anew where a text changed."""
     def field(c: str) -> Column:
         if c != "n_chars":
             return F.col(f"doc.{c}")
         changed = F.when(F.col("n_removed") > 0, F.length("doc.text")).otherwise(F.col("doc.n_chars"))
         return changed.cast(documents.schema[c].dataType).alias(c)
 
-    return without_boilerplate(documents).select(*[field(c) for c in documents.columns])
+    return without_boilerplate(documents, max_share=None).select(*[field(c) for c in documents.columns])
