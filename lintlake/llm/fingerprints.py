@@ -1,9 +1,10 @@
 """Document fingerprints from closed syncmers, with DataFrame expressions only.
 
-The letters are the words of a text, with ``K - 1`` end marks before and after it. A run of ``K`` letters is an anchor
-where its smallest letter, by hash, is its first or its last one. That depends on the run alone, so the same passage
-has the same anchors in every document. A fingerprint is the ``SKETCH`` smallest hashes of the distinct anchors; for up
-to that many anchors two fingerprints give the exact Jaccard similarity, beyond it an estimate with a standard error of at most 0.045.
+The letters are the words of a text, with ``K - 1`` end marks before and after it; a word of more than ``LONG`` characters
+is taken character by character, so a text without spaces has letters too. A run of ``K`` letters is an anchor where
+its smallest letter, by hash, is its first or its last one. That depends on the run alone, so the same passage
+has the same anchors in every document. All anchors of a text with their positions are the result, and similarities are
+those of the whole anchor sets. A fingerprint is a digest of them: the ``SKETCH`` smallest hashes.
 """
 
 from __future__ import annotations
@@ -15,16 +16,21 @@ from lintlake.llm import common
 
 K = 3
 SKETCH = 128
+#: Characters of a word, at most; a longer one is no word of a language with spaces.
+LONG = 32
 _MARK = 2**63 - 1
 
 
 def with_anchors(rows: DataFrame, body: str, name: str, k: int = K) -> DataFrame:
-    """Add ``name``: array of (pos, hash), the word position of each anchor's first letter (marks are before 0).
+    """Add ``name``: array of (pos, hash), the position of each anchor's first letter (marks are before 0).
 
     Hashes have 31 bits.
     """
     words = F.filter(F.split(body, r"\s+", -1), lambda w: w != "")
-    hashed = rows.withColumn("_hashes", F.transform(words, lambda w: F.xxhash64(w)))
+    cut = rows.withColumn("_words", words)
+    characters = lambda w: F.when(F.length(w) > LONG, F.filter(F.split(w, ""), lambda c: c != "")).otherwise(F.array(w))
+    letters = F.when(F.exists("_words", lambda w: F.length(w) > LONG), F.flatten(F.transform("_words", characters))).otherwise(F.col("_words"))
+    hashed = cut.withColumn("_hashes", F.transform(letters, lambda w: F.xxhash64(w))).drop("_words")
     marks = F.array(*[F.lit(_MARK)] * (k - 1))
     marked = hashed.withColumn("_letters", F.concat(marks, "_hashes", marks))
     p = F.col("_letters")
@@ -46,10 +52,16 @@ def sketch(anchors: str) -> Column:
 
 
 def likeness(a: str, b: str) -> Column:
-    """Similarity of two sketches, 0 to 1; two empty ones are alike."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(shared / F.size(union))
+    """Similarity of two anchor arrays, 0 to 1, by all their distinct hashes; two empty ones are alike."""
+    x, y = F.col(a)["hash"], F.col(b)["hash"]
+    union = F.size(F.array_union(x, y))
+    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / union)
+
+
+def placed(a: str, b: str) -> Column:
+    """The number of anchors that two anchor arrays have at the same position."""
+    packed = lambda c: F.transform(c, lambda x: F.shiftleft(x["pos"].cast("long"), 31).bitwiseOR(x["hash"].cast("long")))
+    return F.size(F.array_intersect(packed(a), packed(b)))
 
 
 def as_text(values: str) -> Column:
@@ -86,38 +98,34 @@ def in_order(rows: DataFrame) -> DataFrame:
 
 
 def edited_likeness(documents: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, with both likenesses.
+    """Anchors of every text and of its edited text, their digests, both likenesses, anchors at the same place.
 
     The edited text has its last quarter of characters replaced by the first ones of the next document. Order is by
     doc_id (null last), texts that share an id by their hash; rows that repeat id and text are one document and get the
     same result each. A null text counts as empty; a single document is its own successor. Texts are shuffled
-    once by id, and only the replacing characters and the fingerprint travel to the predecessor. The fingerprint is
-    worked out again rather than moved a second time.
+    by id, once more to their predecessor, and anchors are worked out there rather than moved.
     """
     rows = _documents(documents)
     order = common.stored(in_order(rows.select("id", "h", F.length("body").alias("n")).distinct()))
-    before = order.select("id", "h", F.col("before.id").alias("p_id"), F.col("before.h").alias("p_h"), F.col("before.n").alias("p_n"))
-    lent = (
-        with_anchors(rows.join(before, ["id", "h"]), "body", "anchors")
-        .select(
-            F.col("p_id").alias("id"), F.col("p_h").alias("h"), F.left("body", F.floor(F.col("p_n") / 4)).alias("lent"),
-            sketch("anchors").alias("next_print"),
-        )
-        .groupBy("id", "h").agg(F.max("lent").alias("lent"), F.max("next_print").alias("next_print"))
+    before = order.select("id", "h", F.col("before.id").alias("p_id"), F.col("before.h").alias("p_h"))
+    following = (
+        rows.join(before, ["id", "h"]).select(F.col("p_id").alias("id"), F.col("p_h").alias("h"), F.col("body").alias("following"))
+        .groupBy("id", "h").agg(F.max("following").alias("following"))
     )
     n = F.length("body")
-    edited = rows.join(lent, ["id", "h"]).select(
-        "id", "body", n.cast("long").alias("n_chars"), "next_print",
-        F.concat(F.left("body", n - F.floor(n / 4)), "lent").alias("edited"),
+    edited = rows.join(following, ["id", "h"]).select(
+        "id", "body", "following", n.cast("long").alias("n_chars"),
+        F.concat(F.left("body", n - F.floor(n / 4)), F.left("following", F.floor(n / 4))).alias("edited"),
     )
-    own = with_anchors(edited, "body", "anchors").select(
-        "id", "n_chars", "next_print", "edited", sketch("anchors").alias("print")
-    )
-    both = with_anchors(own, "edited", "anchors").select(
-        "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "print", "next_print", sketch("anchors").alias("edited_print")
-    )
-    return both.select(
+    own = with_anchors(edited, "body", "anchors").drop("body")
+    both = with_anchors(own, "edited", "edited_anchors")
+    both = both.select("id", "n_chars", "following", F.sha2("edited", 256).alias("edited_sha256"), "anchors", "edited_anchors")
+    three = with_anchors(both, "following", "next_anchors").drop("following")
+    digests = three.withColumn("print", sketch("anchors")).withColumn("edited_print", sketch("edited_anchors"))
+    return digests.select(
         F.when(F.col("id") != common.NULL_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256",
         as_text("print").alias("fingerprint"), as_text("edited_print").alias("edited_fingerprint"),
-        likeness("print", "edited_print").alias("near_edited"), likeness("print", "next_print").alias("near_next"),
+        likeness("anchors", "edited_anchors").alias("near_edited"), likeness("anchors", "next_anchors").alias("near_next"),
+        placed("anchors", "edited_anchors").cast("long").alias("n_placed_edited"),
+        placed("anchors", "next_anchors").cast("long").alias("n_placed_next"), "anchors", "edited_anchors",
     )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
-from lintlake.llm import line_dedup
+from lintlake.llm import fingerprints, line_dedup
 
 
 # ---- line dedup
@@ -19,3 +20,26 @@ def test_line_dedup_decides_by_line(spark):
     got = line_dedup.clean_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     want = Counter((i, t if i == 0 or t == copied else "\n".join(x for x in t.split("\n") if x != footer)) for i, t, _ in rows)
     assert Counter((r.doc_id, r.text) for r in got.collect()) == want
+
+
+# ---- fingerprints
+
+
+def test_fingerprints_keep_all_anchors(spark):
+    """A short passage shared by long texts is seen, all anchors are there, and texts without spaces have letters."""
+    rng = random.Random(1)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = words(60)
+    rows = [(1, f"{words(6000)} {passage} {words(50)}"), (2, f"{words(400)} {passage} {words(5600)}"), (3, "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(2000))), (4, "")]
+    got = {r.doc_id: r for r in fingerprints.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in (1, 2, 3):
+        anchors = [(x.pos, x.hash) for x in got[i].anchors]
+        size = len(rows[i - 1][1].split()) if i < 3 else 2000
+        assert 0.5 * size < len(anchors) < 0.85 * size and anchors == sorted(anchors) and anchors[-1][0] <= size
+        smallest = sorted({h for _, h in anchors})[:128]
+        assert got[i].fingerprint == "".join(f"{h:08x}" for h in smallest)
+    a, b = ({x.hash for x in got[i].anchors} for i in (1, 2))
+    assert len(a & b) >= 25 and got[1].near_next == len(a & b) / len(a | b)
+    e = {(x.pos, x.hash) for x in got[1].edited_anchors}
+    assert got[1].n_placed_edited == len(e & {(x.pos, x.hash) for x in got[1].anchors}) > 0.7 * len(got[1].anchors)
+    assert got[3].near_edited > 0.5 and got[4].anchors == []
