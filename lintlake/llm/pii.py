@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm import common
@@ -26,6 +27,14 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _WORD = re.compile(r"\S+")
+#: A word of digits, brackets and separators; runs of such words, as phones and cards are written; a spelt-out address.
+_PART = re.compile(r"\(?[0-9](?:[().+/-]*[0-9])*\)?")
+_RUN = re.compile(
+    rf"(?<![^\s=:\"'<\[{{,;(])\+?{_PART.pattern}(?:[ \t]+(?:[-/.][ \t]+)?{_PART.pattern})+(?![^\s.,;:!?)\]}}>\"'<])"
+)
+_SPELT = re.compile(r"(?<!\S)[A-Za-z0-9._%+-]+ at [A-Za-z0-9-]+(?:(?:\.| dot )[A-Za-z0-9-]+)*(?:\.| dot )[A-Za-z]{2,}")
+#: Digits of a run that is one candidate.
+RUN_DIGITS = (7, 19)
 _EDGE = ".,;:!?()[]{}<>\"'"
 _SPAN = "struct<start:int,kind_no:int,stop:int>"
 _SCAN = (
@@ -84,13 +93,49 @@ def _shape(value: str) -> str:
     return "mixed" if letters else "dotted" if value.count(".") >= 2 else "digits"
 
 
+def _runs(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs of neighbouring number words outside of the spans; one with too many digits is cut between words."""
+    at = 0
+    for m in _RUN.finditer(text):
+        group, digits = [], 0
+        groups = [group]
+        for part in _PART.finditer(text, m.start(), m.end()):
+            n = sum(c in "0123456789" for c in part.group())
+            while at < len(spans) and spans[at][2] <= part.start():
+                at += 1
+            if at < len(spans) and spans[at][0] < part.end():
+                group, digits = [], 0
+                groups.append(group)
+                continue
+            if digits + n > RUN_DIGITS[1]:
+                group, digits = [], 0
+                groups.append(group)
+            group.append(part.span())
+            digits += n
+        for group in groups:
+            if len(group) < 2:
+                continue
+            start, stop = group[0][0], group[-1][1]
+            if text[start] == "(" and ")" not in text[start : stop - 1]:
+                start += 1
+            if text[stop - 1] == ")" and text.count("(", start, stop) < text.count(")", start, stop):
+                stop -= 1
+            if start > m.start() and text[start - 1] == "+":
+                start -= 1
+            if sum(c in "0123456789" for c in text[start:stop]) >= RUN_DIGITS[0]:
+                yield start, stop
+
+
 def _occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
-    """Seeds and identifier-like words outside of them, each with the patterns of its context."""
-    if not _ANY.search(text):
+    """Seeds, and identifier-like words and runs of words outside of them, each with the patterns of its context."""
+    spelt = list(_SPELT.finditer(text)) if " at " in text else []
+    if not spelt and not _ANY.search(text):
         return []
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     plain = [text[s:e].lower().strip(_EDGE) for s, e in words]
     out, taken = [], 0
+    runs = list(_runs(text, spans))
+    runs += [m.span() for m in spelt if not any(s < m.end() and m.start() < e for s, _, e in spans)]
     spans = list(spans)
 
     def add(start: int, stop: int, kind: int, first: int, last: int) -> None:
@@ -123,6 +168,9 @@ def _occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
             stop -= 1
         if stop - start >= 5 and _ANY.search(text, start, stop):
             add(start, stop, -1, i, i)
+    starts = [s for s, _ in words]
+    for start, stop in runs:
+        add(start, stop, -1, bisect_right(starts, start) - 1, bisect_right(starts, stop - 1) - 1)
     return out
 
 
@@ -184,19 +232,21 @@ def find(documents: DataFrame) -> DataFrame:
     """Per row: doc_id, counts of base matches, digest of the base spans, all spans.
 
     A null text is empty. An occurrence outside the base spans is added, in the kind its patterns speak for, where their
-    joint confidence is ``CONFIDENT``. Rows that repeat a document get the same spans each.
+    joint confidence is ``CONFIDENT``; one that lies inside another added one is part of it. Rows that repeat a document get the same spans each.
     """
     scanned = scan(documents)
     seen = scanned.select("a", "b", F.explode("seen").alias("o")).select("a", "b", "o.*")
     scores = pattern_scores(seen)
     doubt = F.exp(F.sum(F.log(F.lit(1.0) - F.least("score", F.lit(0.999)))))
+    before = Window.partitionBy("a", "b").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
     new = (
-        seen.filter("kind_no < 0").dropDuplicates(["a", "b", "start"])
+        seen.filter("kind_no < 0").dropDuplicates(["a", "b", "start", "stop"])
         .select("a", "b", "start", "stop", F.explode("patterns").alias("pattern")).join(scores, "pattern")
         .groupBy("a", "b", "start", "stop", "kind_no").agg((1 - doubt).alias("confidence"))
         .groupBy("a", "b", "start", "stop").agg(F.max(F.struct("confidence", -F.col("kind_no"))).alias("best"))
-        .select("a", "b", "best.confidence", F.struct("start", (-F.col("best.col2")).cast("int").alias("kind_no"), "stop").alias("span"))
+        .select("a", "b", "start", "stop", "best.confidence", F.struct("start", (-F.col("best.col2")).cast("int").alias("kind_no"), "stop").alias("span"))
         .filter(F.col("confidence") >= CONFIDENT)
+        .withColumn("reached", F.max("stop").over(before)).filter(F.col("reached").isNull() | (F.col("reached") < F.col("stop")))
         .groupBy("a", "b").agg(F.collect_list("span").alias("added"))
     )
     names = F.array(*[F.lit(k) for k in KINDS])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
-from lintlake.llm import fingerprints, line_dedup
+from lintlake.llm import fingerprints, line_dedup, pii
 
 
 # ---- line dedup
@@ -43,3 +43,27 @@ def test_fingerprints_keep_all_anchors(spark):
     e = {(x.pos, x.hash) for x in got[1].edited_anchors}
     assert got[1].n_placed_edited == len(e & {(x.pos, x.hash) for x in got[1].anchors}) > 0.7 * len(got[1].anchors)
     assert got[3].near_edited > 0.5 and got[4].anchors == []
+
+
+# ---- personal data
+
+
+def test_personal_data_of_several_words(spark):
+    """Spaced phones, cards that fail the check digit and spelt-out addresses are found, as whole runs."""
+    lead = "ab cd ef gh ij kl mn op qr st".split()
+    rows = [f"lorem {w} please call my desk at +1 (724) 555-70{k} today or later" for k, w in enumerate(lead, 10)]
+    rows += [f"ipsum {w} charge my card number 4111 1111 1111 {c} before noon then" for w, c in zip(lead, "1111 1129 1137 1145 1152 1160 1178 1186 1194 1202".split(), strict=True)]
+    rows += [f"dolor {w} write a letter to {w}@example.com or to me" for w in lead]
+    new = {
+        "so please call my desk at (724) 555-7058 today or later": "phone:(724) 555-7058",
+        "so please call my desk at 724 555 7099 today or later": "phone:724 555 7099",
+        "so please call my desk at (724 555 7098) today or later": "phone:724 555 7098",
+        "so charge my card number 4111 1111 1111 1112 before noon then": "card:4111 1111 1111 1112",
+        "so write a letter to jane at example dot com or to me": "email:jane at example dot com",
+        "in 1999 2001 2003 it was": "", "look at me now or never": "",
+    }
+    df = spark.createDataFrame(list(enumerate([*rows, *new])), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    for i, (text, want) in enumerate(new.items(), len(rows)):
+        found = [x.split(":") for x in got[i].split(",") if x]
+        assert ",".join(f"{k}:{text[int(s) : int(e)]}" for k, s, e in found) == want, text
