@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, NGram, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lintlake.llm import common
+
 #: Words and word pairs that are features, at most: the most frequent ones of the examples, from so many examples on.
 FEATURES = 8192
 MIN_EXAMPLES = 3
@@ -23,6 +25,8 @@ VARIANTS = 24
 #: Confidence from which a family is named, and the share of a template's word pairs that has to be there.
 CONFIDENT = 0.5
 CONFIRMED = 0.6
+#: Words that a window over several lines has besides those of the longest template.
+SLACK = 20
 NONE = "none"
 
 # Usual wordings of licence statements, by family.
@@ -108,6 +112,11 @@ def _pairs(column: Column) -> Column:
     return F.when(n >= 2, F.array_distinct(both)).otherwise(column)
 
 
+def _triples(column: Column) -> Column:
+    """Word triples; fewer words count as one."""
+    return F.transform(F.sequence(F.lit(2), F.greatest(F.size(column) - 1, F.lit(2))), lambda i: F.concat_ws(" ", F.slice(column, i - 1, 3)))
+
+
 def templates(spark: SparkSession) -> DataFrame:
     rows = [(f, t) for f, texts in TEMPLATES.items() for t in texts]
     found = spark.createDataFrame(rows, "family string, line string").withColumn("words", words(F.col("line")))
@@ -137,6 +146,56 @@ def examples(documents: DataFrame) -> DataFrame:
     return positive.unionByName(negative)
 
 
+def wrapped(documents: DataFrame) -> DataFrame:
+    """Notices that run over several lines: (a, b, pos, stop, line, words); pos and stop are the first and last line.
+
+    A paragraph is a run of neighbouring lines with words; comment marks are none, so a line of marks ends it, and so
+    does a line that is a whole template by itself. A window starts at each of its lines. Windows with
+    ``CONFIRMED`` of the word pairs of a template are notices, one for each run of such starts, cut to the words from
+    the first to the last pair found. Only documents with a line that has a part of a template are looked at.
+    """
+    known = templates(documents.sparkSession).select("family", "words", "template_pairs", _triples(F.col("words")).alias("t")).collect()
+    wording = F.lit(sorted({t for r in known for t in r.t}))
+    width = max(len(r.words) for r in known) + SLACK
+    wanted = F.array(*[F.struct(F.lit(r.family).alias("family"), F.lit(r.template_pairs).alias("pairs")) for r in known])
+    share = lambda own: F.array_max(F.transform("wanted", lambda t: F.struct((F.size(F.array_intersect(t["pairs"], own)) / F.size(t["pairs"])).alias("share"), t["family"].alias("family"), t["pairs"].alias("pairs"))))
+    alone = lambda rows: rows.withColumn("wanted", wanted).withColumn("alone", share(_pairs(F.col("words")))["share"] >= CONFIRMED)
+
+    parts = paragraphs(documents).filter(F.size("words") > 0).filter(F.arrays_overlap(_triples(F.col("words")), wording))
+    asked = alone(parts).filter(~F.col("alone")).select("a", "b").distinct()
+    body = F.coalesce("text", F.lit(""))
+    again = documents.withColumn("a", F.xxhash64("doc_id", body)).withColumn("b", F.xxhash64(body, "doc_id"))
+    lines = paragraphs(again.join(asked, ["a", "b"], "left_semi").dropDuplicates(["a", "b"]))
+    lines = alone(lines.filter(F.size("words") > 0)).filter(~F.col("alone"))
+    order = Window.partitionBy("a", "b").orderBy("pos")
+    blocks = (
+        lines.withColumn("block", F.col("pos") - F.row_number().over(order))
+        .groupBy("a", "b", "block").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "words"))).alias("rows"))
+        .filter(F.size("rows") > 1)
+    )
+    windows = (
+        blocks.select("a", "b", "block", F.posexplode("rows").alias("i", "row"), "rows")
+        .withColumn("rows", F.slice("rows", F.col("i") + 1, width))
+        .withColumn("at", F.flatten(F.transform("rows", lambda r, k: F.transform(r["words"], lambda _: k))))
+        .withColumn("w", F.slice(F.flatten("rows.words"), 1, width))
+        .withColumn("wanted", wanted).withColumn("best", share(_pairs(F.col("w")))).filter(F.col("best.share") >= CONFIRMED)
+        .select("a", "b", "block", "i", "rows", "at", "w", "best.share", "best.family", "best.pairs")
+    )
+    run = F.col("i") - F.row_number().over(Window.partitionBy("a", "b", "block", "family").orderBy("i"))
+    best = (
+        windows.withColumn("run", run).groupBy("a", "b", "block", "family", "run")
+        .agg(F.max_by(F.struct("rows", "at", "w", "pairs"), F.struct("share", "i")).alias("n")).select("a", "b", "n.*")
+    )
+    found = F.filter(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.array_contains("pairs", F.concat_ws(" ", F.col("w")[k - 1], F.col("w")[k])))
+    cut = best.withColumn("found", found).withColumn("lo", F.array_min("found")).withColumn("hi", F.array_max("found") + 1)
+    first, last = F.col("at")[F.col("lo") - 1], F.col("at")[F.col("hi") - 1]
+    taken = F.slice("rows", first + 1, last - first + 1)
+    return cut.filter(last > first).select(
+        "a", "b", F.col("rows")[first]["pos"].alias("pos"), F.col("rows")[last]["pos"].alias("stop"),
+        F.array_join(taken["line"], "\n").alias("line"), F.slice("w", F.col("lo"), F.col("hi") - F.col("lo") + 1).alias("words"),
+    )
+
+
 class Scanner:
     """The fitted classifier and its calibration."""
 
@@ -188,16 +247,28 @@ def fit(documents: DataFrame) -> Scanner:
 def statements(documents: DataFrame, scanner: Scanner) -> DataFrame:
     """Licence statements: (a, b, pos, line, family, confidence, share); family 'unknown' where doubt is left.
 
-    A paragraph is a statement where the classifier's guess is a family. The family is confirmed where the confidence is at
-    least ``CONFIDENT`` and ``CONFIRMED`` of the word pairs of one of its templates are there.
+    A line, or a notice wrapped over several, is a statement where the classifier's guess is a family. The family is
+    confirmed where the confidence is at least ``CONFIDENT`` and ``CONFIRMED`` of the word pairs of one of its templates
+    are there. Doubtful lines inside a notice are part of it.
     """
-    guessed = scanner.classified(paragraphs(documents)).filter(F.col("guess") != NONE)
+    notices = common.stored(wrapped(documents))
+    single = _judged(documents, scanner.classified(paragraphs(documents)).filter(F.col("guess") != NONE), scanner)
+    several = _judged(documents, scanner.classified(notices.drop("stop")), scanner)
+    inside = notices.select(F.col("a").alias("na"), F.col("b").alias("nb"), F.col("pos").alias("start"), "stop")
+    within = (F.col("a") == F.col("na")) & (F.col("b") == F.col("nb")) & F.col("pos").between(F.col("start"), F.col("stop"))
+    own = single.join(inside, within & (F.col("family") == "unknown"), "left_anti")
+    return own.unionByName(several)
+
+
+def _judged(documents: DataFrame, guessed: DataFrame, scanner: Scanner) -> DataFrame:
+    """The guesses, with the confidence and the share of the family's best template; ``unknown`` where one is too low."""
     spark = documents.sparkSession
     by_family = {r.family: r.t for r in templates(spark).groupBy("family").agg(F.collect_list("template_pairs").alias("t")).collect()}
     literal = F.create_map(*[x for f, t in by_family.items() for x in (F.lit(f), F.array(*[F.lit(p) for p in t]))])
-    rows = scanner.confident(guessed).withColumn("own", _pairs(F.col("words"))).withColumn("wanted", literal[F.col("guess")])
+    rows = scanner.confident(guessed).withColumn("own", _pairs(F.col("words")))
+    rows = rows.withColumn("wanted", F.coalesce(literal[F.col("guess")], F.array().cast("array<array<string>>")))
     share = F.array_max(F.transform("wanted", lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.size(t)))
-    sure = (F.col("confidence") >= CONFIDENT) & (F.col("share") >= CONFIRMED)
+    sure = (F.col("guess") != NONE) & (F.col("confidence") >= CONFIDENT) & (F.col("share") >= CONFIRMED)
     return rows.withColumn("share", share).select(
         "a", "b", "pos", "line", F.when(sure, F.col("guess")).otherwise("unknown").alias("family"), "confidence", "share"
     )

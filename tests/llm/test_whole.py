@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import random
+import textwrap
 from collections import Counter
 
-from lintlake.llm import fingerprints, line_dedup, pii
+from lintlake.llm import fingerprints, license_scan, line_dedup, pii
 
 
 # ---- line dedup
@@ -67,3 +68,31 @@ def test_personal_data_of_several_words(spark):
     for i, (text, want) in enumerate(new.items(), len(rows)):
         found = [x.split(":") for x in got[i].split(",") if x]
         assert ",".join(f"{k}:{text[int(s) : int(e)]}" for k, s, e in found) == want, text
+
+
+# ---- licences
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions:"""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:"""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""
+
+
+def test_wrapped_licenses(spark):
+    """Notices wrapped at 50 to 80 columns are one statement of their family, with and without comment marks."""
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows, want = [], {}
+    for family, notice in (("mit", MIT), ("bsd", BSD), ("gpl", GPL)):
+        for k, (columns, mark) in enumerate([(50, ""), (70, "# "), (80, " * "), (76, "// ")]):
+            body = [mark + x for x in textwrap.wrap(" ".join(notice.split()), columns)]
+            before = [[], ["Lore dorem anest."], [mark, mark + "Copyright (c) 2020 Jane"], ["Lore dorem anest.", ""]][k]
+            rows.append((10**6 + len(rows), "\n".join([*before, *body, mark, "Thand whof and thed."])))
+            want[rows[-1][0]] = family
+    rows.append((2 * 10**6, rows[0][1] + "\n\nReleased under the MIT License.\n\n" + rows[0][1]))
+    got = {r.doc_id: r for r in license_scan.license_report(documents.unionByName(spark.createDataFrame(rows, documents.schema))).collect()}
+    assert {i: got[i].families for i in want} == want
+    assert all(got[i].n_statements == 1 for i in want) and got[2 * 10**6].n_statements == 3
