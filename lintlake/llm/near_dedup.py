@@ -1,6 +1,7 @@
 """Near duplicates by a chosen-path similarity join over minwise tokens, then connected components.
 
-Documents with equal shingle sets are one class and only its smallest doc_id takes part. A class has ``TOKENS`` minwise
+Documents with equal shingle sets are one class, named by a hash of the set, and only its first row (smallest doc_id, then
+hash of the text) takes part. A class has ``TOKENS`` minwise
 tokens. The trees of the join start with ``ROOTS`` nodes a class, one for each of so many tokens. The members of a node
 share a path of chosen tokens; a node that takes at most ``SMALL`` squared comparisons is compared exhaustively, a larger one is
 branched by further tokens that its path selects, one or two each, which is more than 1 / similarity on average.
@@ -22,7 +23,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm import common
@@ -45,7 +46,7 @@ _RNG = np.random.default_rng(20)
 _MULTIPLY = (_RNG.integers(0, 2**63, TOKENS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, TOKENS, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_SIGNED = "doc_id long, n_shingles long, key binary, tokens binary"
+_SIGNED = "doc_id long, h long, n_shingles long, key binary, tokens binary"
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -70,21 +71,25 @@ def minwise_tokens(shingles: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
+def _row() -> list[Column]:
+    """doc_id (``NULL_ID`` for null) and a hash of the text: they name a row by what it holds."""
+    return [F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("h")]
+
+
 def _signed(documents: DataFrame) -> DataFrame:
     def work(columns: list[pa.Array]) -> dict[str, object]:
         n, keys, tokens = [], [], []
-        for text in common.as_bytes(columns[1]):
+        for text in common.as_bytes(columns[2]):
             found = shingle_set(text)
             n.append(len(found))
             keys.append(blake2b(found.tobytes(), digest_size=16).digest())
             tokens.append(minwise_tokens(found).tobytes())
         return {
-            "doc_id": columns[0], "n_shingles": pa.array(n, pa.int64()), "key": pa.array(keys, pa.binary()),
+            "doc_id": columns[0], "h": columns[1], "n_shingles": pa.array(n, pa.int64()), "key": pa.array(keys, pa.binary()),
             "tokens": pa.array(tokens, pa.binary()),
         }
 
-    rows = documents.select(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("doc_id"), "text")
-    return common.map_columns(rows, ["doc_id", "text"], _SIGNED, work)
+    return common.map_columns(documents.select(*_row(), "text"), ["doc_id", "h", "text"], _SIGNED, work)
 
 
 def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
@@ -212,9 +217,10 @@ def _similar_pairs(members: DataFrame, classes: DataFrame, all_pairs: bool) -> D
     return rows.mapInArrow(run, "x long, y long").distinct()
 
 
-def _sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """Full shingle sets of the classes named by ``ids``: their documents' texts are read again."""
-    rows = documents.select(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("id"), "text").join(ids, "id", "left_semi")
+def _sets(documents: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """Full shingle sets of the classes named by ``ids``: the texts of their first rows are read again."""
+    wanted = classes.select("id", "doc_id", "h").join(ids, "id", "left_semi")
+    rows = documents.select(*_row(), "text").join(wanted, ["doc_id", "h"]).select("id", "text")
 
     def work(columns: list[pa.Array]) -> dict[str, object]:
         found = [shingle_set(text).tobytes() for text in common.as_bytes(columns[1])]
@@ -296,7 +302,7 @@ def _links(documents: DataFrame, classes: DataFrame) -> DataFrame:
     dealt = nodes.withColumn("part", F.pmod(F.xxhash64("node", "id"), parts))
     first = common.stored(_similar_pairs(dealt, classes, all_pairs=False))
     touched = first.select(F.col("x").alias("id")).union(nodes.filter(F.col("size") > SMALL).select("id")).distinct()
-    sets = _sets(documents, touched)
+    sets = _sets(documents, classes, touched)
     links = common.stored(_confirmed(first.filter("x <> y"), _in_equal_blocks(sets)))
 
     named = components(links)
@@ -327,35 +333,43 @@ def _in_blocks(large: DataFrame) -> DataFrame:
     return met.withColumn("part", F.xxhash64(pair)).drop("mine", "other")
 
 
+def _grouped(documents: DataFrame) -> DataFrame:
+    """Per row: doc_id (``NULL_ID`` for null), h, n_shingles, and ``first``: the doc_id and h of the first row of its component."""
+    signed = common.stored(_signed(documents))
+    classes = signed.filter("n_shingles > 0").groupBy("key").agg(
+        F.min(F.struct("doc_id", "h")).alias("first"), F.min("tokens").alias("tokens")
+    )
+    classes = common.stored(classes.select(F.xxhash64("key").alias("id"), "key", "first", "first.doc_id", "first.h", "tokens"))
+    named = components(_links(documents, classes))
+    least = classes.select("id", "first").join(named, "id").groupBy("component").agg(F.min("first").alias("least"))
+    of_class = named.join(least, "component").select("id", "least")
+    of_key = classes.select("id", "key", "first").join(of_class, "id", "left").select("key", F.coalesce("least", "first").alias("first"))
+    found = signed.select("doc_id", "h", "n_shingles", "key").join(of_key, "key", "left")
+    return found.select("doc_id", "h", "n_shingles", F.coalesce("first", F.struct("doc_id", "h")).alias("first"))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.
 
-    A text without words (null, empty) is linked with nothing. Rows that share a doc_id count as linked through it
-    where they have partners. A null doc_id is the largest id, so it never names a component that has another id.
+    A text without words (null, empty) is linked with nothing. Rows are linked by their texts alone: texts that share a
+    doc_id, or have none, are each judged by themselves, and rows that repeat both get the same answer. A null
+    doc_id is the largest id, so it never names a component that has another id.
     """
-    signed = common.stored(_signed(documents))
-    classes = signed.filter("n_shingles > 0").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.min_by("tokens", "doc_id").alias("tokens")
-    )
-    classes = common.stored(classes)
-    single = classes.groupBy(F.col("rep").alias("id")).agg(F.min("tokens").alias("tokens"))
-    named = components(_links(documents, common.stored(single)))
-    of_key = classes.select("key", "rep").join(named, F.col("rep") == F.col("id"), "left")
-    of_key = of_key.select("key", F.coalesce("component", "rep").alias("component_id"))
-    found = signed.select("doc_id", "n_shingles", "key").join(of_key, "key", "left")
-    component = F.coalesce("component_id", "doc_id")
     real = lambda c: F.when(c != common.NULL_ID, c)
-    return found.select(
-        real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(component).alias("component_id"),
-        (component == F.col("doc_id")).alias("kept"),
+    return _grouped(documents).select(
+        real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.col("first.doc_id")).alias("component_id"),
+        (F.col("first") == F.struct("doc_id", "h")).alias("kept"),
     )
 
 
 def representatives(documents: DataFrame) -> DataFrame:
-    """The documents that stay, one of each group, all columns as they were; repeated rows of one id stay once."""
-    gone = near_duplicates(documents).filter(~F.col("kept")).select(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("gone"))
+    """The rows that stay, one of each group, all columns as they were; rows that repeat id and text stay once."""
+    gone = _grouped(documents).filter(F.col("first") != F.struct("doc_id", "h"))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
+    doc_id, h = _row()
     packed = documents.select(
-        F.struct(*documents.columns).alias("doc"), F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("id")
+        F.struct(*documents.columns).alias("doc"), doc_id.alias("id"), h, F.xxhash64(*documents.columns).alias("order")
     )
-    kept = packed.join(gone.distinct(), F.col("id") == F.col("gone"), "left_anti")
-    return kept.select(*[F.col(f"doc.{c}").alias(c) for c in documents.columns])
+    kept = packed.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("h") == F.col("gone_h")), "left_anti")
+    one = kept.groupBy("id", "h").agg(F.min_by("doc", "order").alias("doc"))
+    return one.select(*[F.col(f"doc.{c}").alias(c) for c in documents.columns])

@@ -6,7 +6,7 @@ import random
 import textwrap
 from collections import Counter
 
-from lintlake.llm import fingerprints, license_scan, line_dedup, pii
+from lintlake.llm import fingerprints, license_scan, line_dedup, near_dedup, pii
 
 
 # ---- line dedup
@@ -96,3 +96,25 @@ def test_wrapped_licenses(spark):
     got = {r.doc_id: r for r in license_scan.license_report(documents.unionByName(spark.createDataFrame(rows, documents.schema))).collect()}
     assert {i: got[i].families for i in want} == want
     assert all(got[i].n_statements == 1 for i in want) and got[2 * 10**6].n_statements == 3
+
+
+# ---- near duplicates
+
+
+def test_representatives_by_row(spark):
+    """Null ids and shared ids are judged text by text, and repeated rows stay once."""
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    near = lambda t: t + " end"
+    rows = [
+        (1, a), (None, a), (None, b), (None, near(b)), (None, c), (None, ""), (None, None),
+        (7, d), (7, text()), (9, near(d)), (7, near(a)), (8, text()), (8, rng.choice([text()])),
+    ]
+    rows += [rows[11], rows[4], rows[5]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in near_dedup.representatives(df).collect())
+    alone = Counter({(1, a): 1, (None, c): 1, (None, ""): 1, (None, None): 1, (7, d): 1, rows[8]: 1, rows[11]: 1, rows[12]: 1})
+    assert sum((got - alone).values()) == 1 and set(got - alone) < {(None, b), (None, near(b))} and not alone - got
+    flags = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect())
+    assert flags[(9, 7, False)] == 1 and flags[(7, 1, False)] == 1 and flags[(None, 1, False)] == 1
