@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm import common
@@ -82,6 +82,11 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
         yield [(r.item, bytes(r.body)) for r in part.toLocalIterator()]
 
 
+def _row() -> list[Column]:
+    """Two hashes that name a row by its id and text."""
+    return [F.xxhash64("doc_id", "text").alias("row_a"), F.xxhash64("text", "doc_id").alias("row_b")]
+
+
 def benchmark_hits(
     documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
@@ -91,10 +96,13 @@ def benchmark_hits(
     no words. A null item_id counts as the item ''. Rows that repeat a document are merged in the blocked case only
     after all of them were scanned, so each keeps the same figures.
     """
+    return _row_hits(documents, benchmark, window, block_bytes).drop("row_a", "row_b")
+
+
+def _row_hits(documents: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """The hits with the hashes that name the row."""
     spark = documents.sparkSession
-    keyed = documents.select("doc_id", "text").select(
-        "doc_id", F.xxhash64("doc_id", "text").alias("row_a"), F.xxhash64("text", "doc_id").alias("row_b"), "text"
-    )
+    keyed = documents.select("doc_id", *_row(), "text")
 
     def scanned(index) -> DataFrame:
         def work(columns: list[pa.Array]) -> dict[str, object]:
@@ -116,7 +124,7 @@ def benchmark_hits(
         scanned(spark.sparkContext.broadcast(WindowIndex(block, window))) for block in _blocks(benchmark, block_bytes)
     ]
     if len(parts) <= 1:
-        return (parts[0] if parts else scanned(None)).drop("row_a", "row_b")
+        return parts[0] if parts else scanned(None)
     merged = parts[0]
     for more in parts[1:]:
         one = more.groupBy("row_a", "row_b").agg(F.first("hits").alias("h"), F.first("items").alias("i"))
@@ -124,7 +132,12 @@ def benchmark_hits(
             "doc_id", "row_a", "row_b", "n_words",
             F.array_sort(F.array_union("hits", "h")).alias("hits"), F.array_union("items", "i").alias("items"),
         )
-    return merged.drop("row_a", "row_b")
+    return merged
+
+
+def _contaminated() -> Column:
+    n_hit = F.size("hits").cast("long")
+    return (n_hit > 0) & (20 * n_hit >= F.col("n_words"))
 
 
 def contamination(hits: DataFrame) -> DataFrame:
@@ -133,7 +146,7 @@ def contamination(hits: DataFrame) -> DataFrame:
     return hits.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        _contaminated().alias("contaminated"),
     )
 
 
@@ -160,10 +173,8 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, block_bytes: int
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return documents.mapInArrow(keep, documents.schema)
-    bad = contamination(benchmark_hits(documents, benchmark, block_bytes=block_bytes)).filter("contaminated")
-    bad = bad.select(F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("bad_id")).distinct()
-    packed = documents.select(
-        F.struct(*documents.columns).alias("doc"), F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("key")
-    )
-    kept = packed.join(bad, F.col("key") == F.col("bad_id"), "left_anti")
+    bad = _row_hits(documents, benchmark, WINDOW, block_bytes).filter(_contaminated())
+    bad = bad.select(F.col("row_a").alias("bad_a"), F.col("row_b").alias("bad_b")).distinct()
+    packed = documents.select(F.struct(*documents.columns).alias("doc"), *_row())
+    kept = packed.join(bad, (F.col("row_a") == F.col("bad_a")) & (F.col("row_b") == F.col("bad_b")), "left_anti")
     return kept.select(*[F.col(f"doc.{c}") for c in documents.columns])

@@ -6,7 +6,7 @@ import random
 import textwrap
 from collections import Counter
 
-from lintlake.llm import fingerprints, license_scan, line_dedup, near_dedup, pii
+from lintlake.llm import decontaminate, fingerprints, license_scan, line_dedup, near_dedup, pii
 
 
 # ---- line dedup
@@ -118,3 +118,17 @@ def test_representatives_by_row(spark):
     assert sum((got - alone).values()) == 1 and set(got - alone) < {(None, b), (None, near(b))} and not alone - got
     flags = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect())
     assert flags[(9, 7, False)] == 1 and flags[(7, 1, False)] == 1 and flags[(None, 1, False)] == 1
+
+
+# ---- decontamination
+
+
+def test_decontamination_by_row(spark):
+    """A benchmark of several blocks drops the same rows as one of a single block, where ids are null or shared."""
+    items = [(k, f"item {k} asks what number {k * 7} has to do with the word w{k} of the list") for k in range(20)]
+    rows = [(None, items[0][1]), (None, "a clean text"), (None, None), (3, items[1][1]), (3, "clean too"), (3, "clean too"), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block_bytes in (decontaminate.BLOCK_BYTES, 400):
+        got = Counter(map(tuple, decontaminate.clean_documents(df, bench, block_bytes).collect()))
+        assert got == Counter(r for r in rows if r not in (rows[0], rows[3]))
