@@ -70,12 +70,12 @@ class Ftrl:
 class Model:
     """Sparse weights; a score is the logistic of the bias and the weights of the distinct features."""
 
-    def __init__(self, at: np.ndarray, weight: np.ndarray, bias: float):
-        self.at, self.weight, self.bias = at, weight, bias
+    def __init__(self, at: np.ndarray, weight: np.ndarray, bias: float, learnt: bool = True):
+        self.at, self.weight, self.bias, self.learnt = at, weight, bias, learnt
         self._dense: np.ndarray | None = None
 
     def __getstate__(self):
-        return {"at": self.at, "weight": self.weight, "bias": self.bias, "_dense": None}
+        return {"at": self.at, "weight": self.weight, "bias": self.bias, "learnt": self.learnt, "_dense": None}
 
     def score(self, text: bytes) -> float:
         if self._dense is None:
@@ -137,7 +137,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mo
     )
     found = weights.toPandas()
     if found.empty:
-        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
+        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, learnt=False)
     shards = int(found.loc[found["at"] == -1, "n"].iloc[0])
     bias = float(found.loc[found["at"] == -1, "weight"].iloc[0]) / shards
     found = found[found["at"] >= 0]
@@ -165,8 +165,11 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score below 0.5, all columns as they were."""
-    shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
+    """The documents that score below 0.5, all columns as they were; without any labelled document nothing is rejected."""
+    model = fit(documents, labels)
+    if not model.learnt:
+        return documents
+    shared = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ import random
 import textwrap
 from collections import Counter
 
-from lintlake.llm import decontaminate, fingerprints, license_scan, line_dedup, near_dedup, pii
+from lintlake.llm import decontaminate, fingerprints, license_scan, line_dedup, near_dedup, pii, toxicity
 
 
 # ---- line dedup
@@ -132,3 +132,13 @@ def test_decontamination_by_row(spark):
     for block_bytes in (decontaminate.BLOCK_BYTES, 400):
         got = Counter(map(tuple, decontaminate.clean_documents(df, bench, block_bytes).collect()))
         assert got == Counter(r for r in rows if r not in (rows[0], rows[3]))
+
+
+# ---- toxicity
+
+
+def test_nothing_is_rejected_without_labels(spark, documents, corpus):
+    """Empty labels, labels of other documents and null labels reject no document."""
+    for labels in ([], [(10**9, 1)], [(3, None), (None, 1)]):
+        got = toxicity.without_toxic(documents, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        assert got.dtypes == documents.dtypes and got.count() == len(corpus)
