@@ -161,23 +161,28 @@ def wrapped(documents: DataFrame) -> DataFrame:
     share = lambda own: F.array_max(F.transform("wanted", lambda t: F.struct((F.size(F.array_intersect(t["pairs"], own)) / F.size(t["pairs"])).alias("share"), t["family"].alias("family"), t["pairs"].alias("pairs"))))
     alone = lambda rows: rows.withColumn("wanted", wanted).withColumn("alone", share(_pairs(F.col("words")))["share"] >= CONFIRMED)
 
-    parts = paragraphs(documents).filter(F.size("words") > 0).filter(F.arrays_overlap(_triples(F.col("words")), wording))
+    # Filters are not moved below an explode, so they do not evaluate words once per element.
+    held = lambda rows, c: rows.withColumn(c, F.array(c)).withColumn(c, F.explode_outer(c))
+    parts = held(paragraphs(documents).select("a", "b", "words"), "words").filter(F.size("words") > 0).filter(F.arrays_overlap(_triples(F.col("words")), wording))
     asked = alone(parts).filter(~F.col("alone")).select("a", "b").distinct()
     body = F.coalesce("text", F.lit(""))
     again = documents.withColumn("a", F.xxhash64("doc_id", body)).withColumn("b", F.xxhash64(body, "doc_id"))
     lines = paragraphs(again.join(asked, ["a", "b"], "left_semi").dropDuplicates(["a", "b"]))
-    lines = alone(lines.filter(F.size("words") > 0)).filter(~F.col("alone"))
+    lines = alone(held(lines, "words").filter(F.size("words") > 0)).filter(~F.col("alone"))
     order = Window.partitionBy("a", "b").orderBy("pos")
     blocks = (
         lines.withColumn("block", F.col("pos") - F.row_number().over(order))
         .groupBy("a", "b", "block").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "words"))).alias("rows"))
         .filter(F.size("rows") > 1)
     )
-    windows = (
+    windows = held(
         blocks.select("a", "b", "block", F.posexplode("rows").alias("i", "row"), "rows")
         .withColumn("rows", F.slice("rows", F.col("i") + 1, width))
         .withColumn("at", F.flatten(F.transform("rows", lambda r, k: F.transform(r["words"], lambda _: k))))
-        .withColumn("w", F.slice(F.flatten("rows.words"), 1, width))
+        .withColumn("w", F.slice(F.flatten("rows.words"), 1, width)), "w"
+    )
+    windows = (
+        windows
         .withColumn("wanted", wanted).withColumn("best", share(_pairs(F.col("w")))).filter(F.col("best.share") >= CONFIRMED)
         .select("a", "b", "block", "i", "rows", "at", "w", "best.share", "best.family", "best.pairs")
     )
