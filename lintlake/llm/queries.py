@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-from lintlake.llm import decontaminate, fingerprints, language_id, license_scan, line_dedup, near_dedup, packing, pii, repeats, toxicity
+from lintlake.llm import alignment, decontaminate, fingerprints, language_id, license_scan, line_dedup, near_dedup, ngram_join, packing
+from lintlake.llm import periodic, pii, repeats, toxicity
 from lintlake.llm.common import table
 
 
@@ -52,6 +52,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens; texts without tokens give zeros."""
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the texts of which a tenth get a period planted; texts without words have no run."""
+    planted = periodic.with_planted_period(table(spark, sf_dir, "documents"))
+    return periodic.run_digest(periodic.periodic_runs(planted))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of linked texts; texts without words are linked with nothing."""
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_fingerprints": op2_fingerprints,
@@ -63,7 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
-
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_ngram_join": op13_ngram_join,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -79,6 +97,17 @@ e AS (SELECT x, y FROM p JOIN z a ON x = a.doc_id JOIN z b ON y = b.doc_id WHERE
 r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.c = e.x),
 m AS (SELECT doc_id, min(c) c FROM r GROUP BY 1)
 SELECT doc_id, coalesce(z, 0)::BIGINT n_shingles, c component_id, doc_id = c kept FROM m LEFT JOIN z USING (doc_id)
+""",
+    "op13_ngram_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, {_AZ}), '[^\x20\x09-\x0D]+'), []) w FROM documents),
+n AS (SELECT doc_id, w, least(4, len(w)) n FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + n], ' ') s FROM (SELECT *, unnest(range(len(w) - n + 1)) i FROM n)),
+z AS (SELECT doc_id, count(*) z FROM s GROUP BY 1),
+p AS (SELECT a.doc_id x, b.doc_id y, count(*) i FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN z a ON x = a.doc_id JOIN z b ON y = b.doc_id WHERE 100 * i >= 85 * (a.z + b.z - i)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.c = e.x),
+m AS (SELECT doc_id, min(c) c FROM r GROUP BY 1)
+SELECT doc_id, coalesce(z, 0)::BIGINT n_shingles, c component_id FROM m LEFT JOIN z USING (doc_id)
 """,
     "op9_decontamination": rf"""
 WITH b AS (SELECT item_id, regexp_extract_all(translate(text, {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
