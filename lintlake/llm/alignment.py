@@ -14,8 +14,10 @@ so the parts are encoded one by one and remembered. Where B's pieces don't allow
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from functools import cache, reduce
 from hashlib import sha256
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +27,15 @@ from pyspark.sql import functions as F
 from lintlake.llm import common
 
 #: Parts of texts that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
+#: Characters of the texts that are looked at together, about (a text is never cut).
+TOGETHER = 1_000_000
 #: Id pairs of one broadcast block (16 bytes and a flag each).
 BLOCK_PAIRS = 2_000_000
 _MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 _ALIGNED = "ka long, kb long, weight long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
 _PARTS = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_ODD = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
 
 
 def default_tokenizers() -> tuple[str, str]:
@@ -40,6 +45,11 @@ def default_tokenizers() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
+def spaced(part: str) -> str:
+    """The bytes that a part stands for."""
+    return part if part[0] in " \n" else " " + part
+
+
 def byte_letters() -> dict[str, int]:
     """The characters that byte-level vocabularies use: printable Latin-1 stands for itself, the rest follows from 256 on."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -48,19 +58,27 @@ def byte_letters() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers: ids and token bytes of a part, and its alignment."""
+    """Both tokenizers: ids and token bytes of parts, and their alignment."""
 
     def __init__(self, path_a: str, path_b: str):
+        import json
+
+        import public_tokenizers
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        letters = byte_letters()
-        self.bytes_a = {
-            i: bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-            for token, i in self.a.get_vocab().items()
-        }
+        import tiktoken
+
+        with open(path_a, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        letters, size_a = byte_letters(), max(model["vocab"].values()) + 1
+        self.bytes_a = [b""] * size_a
+        for token, i in model["vocab"].items():
+            self.bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        if [model["vocab"][t] for t in merged] != list(range(256, 256 + len(merged))):
+            raise ValueError("the ids of A are not in the order of its merges")
+        ranks = {self.bytes_a[i]: i for i in range(256 + len(merged))}
+        self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._encode_a = self.a.encode_ordinary
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.size_b = self.b.vocab_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.size_b)]
@@ -68,66 +86,103 @@ class Pair:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
         self.separable = not any("\n" in p or "▁" in p.lstrip("▁") for p in pieces)
-        self.kind = "<u4" if max(self.bytes_a, default=0) * self.size_b + self.size_b < 2**32 else "<u8"
-        self.known: dict[str, int] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.known.clear()
-        self.numbers: list[tuple[int, int, int]] = []
-        self.groups: list[str | None] = []
-        self.pairs: list[np.ndarray] = []
-
-    def ids(self, part: str) -> tuple[list[int], list[int]]:
-        """Ids of A and B for a part that starts with a space (B adds its own) or with a line break."""
-        ids_a = self.a.encode(part, add_special_tokens=False).ids
-        if part[0] == " ":
-            return ids_a, self.b.encode(part[1:])
-        return ids_a, self.b.encode("x" + part)[1:]  # "x" stands for what comes before; no piece reaches over the break
-
-    def align(self, part: str) -> tuple[tuple[int, int, int], str | None, np.ndarray]:
-        """(tokens of A, tokens of B, groups), the groups written out (None: bytes differ) and the codes of linked pairs."""
-        ids_a, ids_b = self.ids(part)
-        bytes_a, bytes_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if not (b"".join(bytes_a) == b"".join(bytes_b) == part.encode()):
-            return (0, 0, 0), None, np.zeros(0, dtype=self.kind)
-        ends_a, ends_b = np.cumsum([len(x) for x in bytes_a]), np.cumsum([len(x) for x in bytes_b])
-        cuts = np.union1d(ends_a, ends_b)  # between two of them lies the overlap of one token of A and one of B
-        link = np.array(ids_a)[np.searchsorted(ends_a, cuts)] * self.size_b + np.array(ids_b)[np.searchsorted(ends_b, cuts)]
-        common_ends = np.intersect1d(ends_a, ends_b)
-        written, i, j = [], 0, 0
-        for to_a, to_b in zip(np.searchsorted(ends_a, common_ends) + 1, np.searchsorted(ends_b, common_ends) + 1, strict=True):
-            written.append(",".join(map(str, ids_a[i:to_a])) + "|" + ",".join(map(str, ids_b[j:to_b])))
-            i, j = to_a, to_b
-        return (len(ids_a), len(ids_b), len(written)), ";".join(written), link.astype(self.kind)
-
-    def _at(self, part: str) -> int:
-        at = self.known.get(part)
-        if at is None:
-            at = self.known[part] = len(self.groups)
-            numbers, groups, pairs = self.align(part)
-            self.numbers.append(numbers)
-            self.groups.append(groups)
-            self.pairs.append(pairs)
-        return at
-
-    def text(self, text: str) -> tuple[int, int, int, int, str, bytes, bytes]:
-        """Numbers of tokens, groups and links, the groups' digest, distinct linked pairs and how often each is linked."""
-        if len(self.groups) > REMEMBERED:
-            self.clear()
-        whole = " " + text
-        at = [self._at(p) for p in (_PARTS.split(whole) if self.separable else [whole])]
-        groups = [self.groups[i] for i in at]
-        if None in groups:
-            return 0, 0, 0, 0, "", b"", b""
-        used, times = np.unique(np.array(at), return_counts=True)
-        numbers = times @ np.array([self.numbers[i] for i in used])
-        pairs = [self.pairs[i] for i in used]
-        weight = np.repeat(times, [len(x) for x in pairs])
-        codes, place = np.unique(np.concatenate(pairs), return_inverse=True)
-        linked = np.bincount(place, weight).astype("<u4")
-        digest = sha256(";".join(groups).encode()).hexdigest()
-        return (*map(int, numbers), int(weight.sum()), digest, codes.tobytes(), linked.tobytes())
+        self.kind = "<u4" if size_a * self.size_b < 2**32 else "<u8"
+        self.lengths = [np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b)]
+        self.known: dict[str, tuple] = {}
+
+    def parts(self, text: str) -> list[str]:
+        """The parts of a text. A space before a part is left out, so that one is written with it where it has more."""
+        if not self.separable:
+            return [" " + text]
+        if _ODD.search(text):
+            return _PARTS.split(" " + text)
+        return text.replace("\n", " \n").split(" ")
+
+    def ids(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of A and B for parts with a space before them (B adds its own) or a line break at their start.
+
+        Before a break, "x" stands for what comes before it; no piece reaches over the break.
+        """
+        asked = [p[1:] if p[0] == " " else "x" + p if p[0] == "\n" else p for p in parts]
+        ids_b = self.b.encode(asked, num_threads=1)
+        ids_b = [i[1:] if p[0] == "\n" else i for i, p in zip(ids_b, parts, strict=True)]
+        return list(map(self._encode_a, map(spaced, parts))), ids_b
+
+    def align(self, parts: list[str]) -> list[tuple[int, int, int, str, bytes] | None]:
+        """Per part: tokens of A, tokens of B, groups, the groups written out, codes of linked pairs. None: the bytes differ."""
+        ids = self.ids(parts)
+        joined = [[b"".join(map(table.__getitem__, i)) for i in of] for table, of in ((self.bytes_a, ids[0]), (self.bytes_b, ids[1]))]
+        good = [k for k, p in enumerate(parts) if joined[0][k] == joined[1][k] == spaced(p).encode()]
+        out: list = [None] * len(parts)
+        if not good:
+            return out
+        # The good parts lie one after another; an end at which both have a border ends a group, and every part.
+        sizes = [np.array([len(of[k]) for k in good]) for of in ids]
+        flat = [np.fromiter(chain.from_iterable(of[k] for k in good), dtype=np.int64, count=int(n.sum())) for of, n in zip(ids, sizes, strict=True)]
+        end = [np.cumsum(self.lengths[side][flat[side]]) for side in (0, 1)]
+        cuts = np.union1d(end[0], end[1])  # between two of them lies the overlap of one token of A and one of B
+        link = (flat[0][np.searchsorted(end[0], cuts)] * self.size_b + flat[1][np.searchsorted(end[1], cuts)]).astype(self.kind)
+        borders = np.intersect1d(end[0], end[1], assume_unique=True)
+        last = np.cumsum([len(joined[0][k]) for k in good])
+        to_link = np.searchsorted(cuts, last, "right").tolist()
+        to_group = np.searchsorted(borders, last, "right")
+        # Written out: by group, the ids of A, then those of B, each with what stands behind it.
+        group = [np.searchsorted(borders, e) for e in end]
+        sign = [np.where(np.append(g[1:] != g[:-1], True), end_sign, 0) for g, end_sign in zip(group, (1, 2), strict=True)]
+        order = np.lexsort((np.concatenate([np.zeros(len(group[0])), np.ones(len(group[1]))]), np.concatenate(group)))
+        signs = np.array([",", "|", ";"], dtype=object)[np.concatenate(sign)[order]]
+        written = [f"{i}{c}" for i, c in zip(np.concatenate(flat)[order].tolist(), signs.tolist(), strict=True)]
+        to_token = np.cumsum(sizes[0] + sizes[1]).tolist()
+        n_groups = np.diff(to_group, prepend=0).tolist()
+        raw, width, at, token = link.tobytes(), link.dtype.itemsize, 0, 0
+        for j, k in enumerate(good):
+            groups = "".join(written[token : to_token[j]])[:-1]
+            out[k] = (len(ids[0][k]), len(ids[1][k]), n_groups[j], groups, raw[at * width : to_link[j] * width])
+            at, token = to_link[j], to_token[j]
+        return out
+
+    def texts(self, texts: list[str]) -> list[tuple[int, int, int, int, str, bytes, bytes]]:
+        """Per text: numbers of tokens, groups and links, the groups' digest, distinct linked pairs and how often each is linked."""
+        number: dict[str, int] = defaultdict(count().__next__)
+        at = [list(map(number.__getitem__, self.parts(t))) for t in texts]
+        used = list(number)
+        entry = list(map(self.known.get, used, repeat(0)))
+        missing = [k for k, e in enumerate(entry) if e == 0]
+        for k, found in zip(missing, self.align([used[k] for k in missing]) if missing else (), strict=True):
+            entry[k] = found
+            if len(self.known) < REMEMBERED:
+                self.known[used[k]] = found
+        none = (0, 0, 0, "", b"")
+        n_a, n_b, n_groups, written, raw = zip(*[e or none for e in entry], strict=True)
+        bad = np.array([e is None for e in entry])
+        per_part = np.array((n_a, n_b, n_groups)).T
+        codes, stop = np.frombuffer(b"".join(raw), dtype=self.kind), np.cumsum([len(x) for x in raw]) // np.dtype(self.kind).itemsize
+
+        # All parts of all texts in a row; each text's distinct pairs lie together after the sort.
+        size = np.array([len(x) for x in at])
+        flat, text = np.fromiter(chain.from_iterable(at), dtype=np.int64, count=int(size.sum())), np.repeat(np.arange(len(at)), size)
+        wrong = np.bincount(text, bad[flat], minlength=len(at)) > 0
+        totals = np.stack([np.bincount(text, per_part[flat, k], minlength=len(at)).astype(np.int64) for k in range(3)], axis=1)
+        own, times = np.unique(text * len(used) + flat, return_counts=True)
+        text, part = own // len(used), own % len(used)
+        links = np.diff(stop, prepend=0)[part]
+        place = np.arange(links.sum()) + np.repeat(stop[part] - np.cumsum(links), links)
+        weight, text, linked = np.repeat(times, links), np.repeat(text, links), codes[place]
+        order = np.lexsort((linked, text))
+        text, linked = text[order], linked[order]
+        first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (linked[1:] != linked[:-1]))))
+        often = np.add.reduceat(weight[order], first) if len(linked) else weight
+        ends = np.searchsorted(text[first] if len(linked) else text, np.arange(len(at) + 1)).tolist()
+        pairs, often = linked[first] if len(linked) else linked, often.astype("<u4")
+        out = []
+        for k, mine in enumerate(at):
+            if wrong[k]:
+                out.append((0, 0, 0, 0, "", b"", b""))
+                continue
+            lo, hi = ends[k], ends[k + 1]
+            digest = sha256(";".join(map(written.__getitem__, mine)).encode()).hexdigest()
+            out.append((*totals[k].tolist(), int(often[lo:hi].sum()), digest, pairs[lo:hi].tobytes(), often[lo:hi].tobytes()))
+        return out
 
 
 @cache
@@ -141,8 +196,14 @@ def _aligned(documents: DataFrame, paths: tuple[str, str]) -> DataFrame:
     rows = texts.select(common.row_key("text").alias("key"), "weight", "text").select("key.a", "key.b", "weight", "text")
 
     def work(columns: list[pa.Array]) -> dict[str, object]:
-        both = _pair(*paths)
-        found = [both.text(t) for t in columns[3].to_pylist()]
+        both, found, held, size = _pair(*paths), [], [], 0
+        for text in columns[3].to_pylist():
+            held.append(text)
+            size += len(text)
+            if size > TOGETHER:
+                found += both.texts(held)
+                held, size = [], 0
+        found += both.texts(held) if held else []
         n_a, n_b, n_groups, n_links, digest, pairs, times = zip(*found, strict=True)
         return {
             "ka": columns[0], "kb": columns[1], "weight": columns[2], "n_a": pa.array(n_a, pa.int64()), "n_b": pa.array(n_b, pa.int64()),

@@ -227,13 +227,20 @@ def test_ngram_join_of_empty_tables(empty):
 # ---- alignment
 
 
+def plain_tokenizer():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(alignment.default_tokenizers()[0])
+    whole.encode_special_tokens = True
+    return whole
+
+
 def plain_alignment(rows):
-    a, b = alignment.default_tokenizers()
-    both = alignment.Pair(a, b)
+    both, whole_a = alignment.Pair(*alignment.default_tokenizers()), plain_tokenizer()
     per_doc, counts = [], Counter()
     for i, text, *_ in rows:
         whole = " " + (text or "")
-        ids_a, ids_b = both.a.encode(whole, add_special_tokens=False).ids, both.b.encode(text or "")
+        ids_a, ids_b = whole_a.encode(whole, add_special_tokens=False).ids, both.b.encode(text or "")
         bytes_a, bytes_b = [both.bytes_a[t] for t in ids_a], [both.bytes_b[t] for t in ids_b]
         if not text or b"".join(bytes_a) != whole.encode() or b"".join(bytes_b) != whole.encode():
             per_doc.append((i, 0, 0, [], ""))
@@ -300,22 +307,22 @@ def test_parts_encode_as_whole_texts():
 
     folder = "/root/testdata/sf0.01/documents.parquet"
     texts = [t for (t,) in duckdb.sql(f"select text from '{folder}'").fetchall()] if os.path.exists(folder) else []
-    both = alignment.Pair(*alignment.default_tokenizers())
+    both, whole_a = alignment.Pair(*alignment.default_tokenizers()), plain_tokenizer()
     rng = random.Random(4)
     texts += ODD + ["".join(rng.choice(["a", "Ber", " ", "\n", "'s", "1", "é", ".", "\t", "▁", "日", " "]) for _ in range(40)) for _ in range(500)]
     for text in filter(None, texts):
-        whole = " " + text
-        parts = [both.ids(p) for p in alignment._PARTS.split(whole)]
-        assert sum((a for a, _ in parts), []) == both.a.encode(whole, add_special_tokens=False).ids
+        ids_a, ids_b = both.ids(both.parts(text))
+        assert sum(ids_a, []) == whole_a.encode(" " + text, add_special_tokens=False).ids
         if "▁" not in text:
-            assert sum((b for _, b in parts), []) == both.b.encode(text)
+            assert sum(ids_b, []) == both.b.encode(text)
 
 
-def test_alignment_memory_is_cleared(monkeypatch):
+def test_alignment_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(alignment, "REMEMBERED", 3)
     both = alignment.Pair(*alignment.default_tokenizers())
-    first = [both.text(t) for t in ("one two three", "four five six", "one two three")]
-    assert first[0] == first[2] and len(both.groups) <= 7
+    first = [both.texts([t])[0] for t in ("one two three", "four five six", "one two three", "▁ one")]
+    assert first[0] == first[2] and len(both.known) == 3 and first[3] == (0, 0, 0, 0, "", b"", b"")
+    assert both.texts(["one two three", "four five six"]) == first[:2]
 
 
 def test_empty_table(empty):
