@@ -13,8 +13,6 @@ MIN_SITES = 10
 SKETCH_LG_K = 12
 #: Estimates within this share of the threshold are counted exactly: six standard errors.
 NEAR = 0.1
-#: In the report, a document of which boilerplate is more than this share of the characters is left alone.
-MAX_SHARE = 0.5
 
 
 def normal_line(line: Column) -> Column:
@@ -30,13 +28,12 @@ def _lines(documents: DataFrame) -> DataFrame:
         "*", F.xxhash64("doc_id", "body").alias("row_a"), F.xxhash64("body", "doc_id").alias("row_b"),
         F.xxhash64("body").alias("content"), F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("id"),
     )
-    line = F.col("line")
     return (
         rows.select("row_a", "row_b", "content", "id", "site", F.posexplode_outer(F.split("body", "\n", -1)).alias("pos", "line"))
-        .withColumn("norm", normal_line(line))
+        .withColumn("norm", normal_line(F.col("line")))
         .filter(F.col("norm") != "")
         .select(
-            "row_a", "row_b", "content", "id", "site", "pos", F.length(line).alias("n"),
+            "row_a", "row_b", "content", "id", "site", "pos",
             F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(7), "norm").alias("h2"),
         )
     )
@@ -46,7 +43,7 @@ def boilerplate_lines(documents: DataFrame, min_sites: int = MIN_SITES, near: fl
     """Hashes of the lines on ``min_sites`` sites or more, with the estimate and whether it was counted exactly.
 
     First every (line, site) is pre-aggregated, so a line that fills a third of all rows is one row per task and site.
-    Lines with fewer rows of that kind than sites asked for cannot be boilerplate and get no sketch.
+    Sketches of a line are merged by aggregation; one near the threshold is counted exactly.
     """
     per_site = _lines(documents).groupBy("h", "h2", "site").agg(F.count(F.lit(1)).alias("rows"))
     spread = (
@@ -81,23 +78,19 @@ def _spread(lines: DataFrame, found: DataFrame, min_contents: int) -> DataFrame:
     return lines.join(wide, ["h", "h2"]).filter(~stays)
 
 
-def without_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, max_share: float | None = MAX_SHARE) -> DataFrame:
+def without_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Rows (``doc``: the document with boilerplate lines cut from its ``text``, ``n_lines``, ``n_removed``).
 
-    Null texts stay null, blank lines stay, a null source counts as one site. With ``max_share``, a document is left
-    alone where the lines would take more than that share of its characters. Without it every line is decided by
-    itself: it goes where it is on ``min_sites`` sites and in as many distinct texts, but for its first occurrence.
+    Null texts stay null, blank lines stay, a null source counts as one site. Every line is decided by itself: it goes
+    where it is on ``min_sites`` sites and in as many distinct texts, but for its first occurrence (smallest doc_id).
     Rows that repeat get the same result each.
     """
     lines = _lines(documents)
     found = boilerplate_lines(documents, min_sites).select("h", "h2")
-    going = lines.join(found, ["h", "h2"], "left_semi") if max_share is not None else _spread(lines, found, min_sites)
+    going = _spread(lines, found, min_sites)
     cut = (
-        going.groupBy("row_a", "row_b").agg(F.collect_set(F.struct("pos", "n")).alias("found"))
-        .select(
-            F.col("row_a").alias("cut_a"), F.col("row_b").alias("cut_b"), F.col("found.pos").alias("cut_lines"),
-            F.aggregate("found.n", F.lit(0), lambda x, y: x + y).alias("cut_chars"),
-        )
+        going.groupBy("row_a", "row_b").agg(F.collect_set("pos").alias("cut_lines"))
+        .select(F.col("row_a").alias("cut_a"), F.col("row_b").alias("cut_b"), "cut_lines")
     )
     body = F.coalesce("text", F.lit(""))
     packed = documents.select(
@@ -110,8 +103,6 @@ def without_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, max_sh
     text = F.col("doc.text")
     parts = F.split(F.coalesce(text, F.lit("")), "\n", -1)
     applies = F.col("cut_lines").isNotNull()
-    if max_share is not None:
-        applies &= F.col("cut_chars") <= F.lit(max_share) * F.length(text)
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("cut_lines", i)), "\n")
     fields = [
         F.when(applies, kept).otherwise(text).alias(c) if c == "text" else F.col(f"doc.{c}").alias(c)
@@ -124,7 +115,7 @@ def without_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, max_sh
 
 
 def line_report(documents: DataFrame) -> DataFrame:
-    """Per document: lines, removed lines, and the digest of the text that stays, by the rule with ``MAX_SHARE``."""
+    """Per document: lines, removed lines, and the digest of the text that stays."""
     kept = without_boilerplate(documents.select("doc_id", "text", "source"))
     digest = F.sha2(F.coalesce("doc.text", F.lit("")), 256).alias("kept_sha256")
     return kept.select("doc.doc_id", "n_lines", "n_removed", digest)
@@ -138,4 +129,4 @@ def clean_documents(documents: DataFrame) -> DataFrame:
         changed = F.when(F.col("n_removed") > 0, F.length("doc.text")).otherwise(F.col("doc.n_chars"))
         return changed.cast(documents.schema[c].dataType).alias(c)
 
-    return without_boilerplate(documents, max_share=None).select(*[field(c) for c in documents.columns])
+    return without_boilerplate(documents).select(*[field(c) for c in documents.columns])

@@ -9,10 +9,12 @@ branched by further tokens that its path selects, one or two each, which is more
 Two classes with similarity 0.75 share no node at the start with probability 0.25**16, and a path that they share
 goes on with probability above one half at each larger node; 12 of the 16 are shared on average.
 
-Two passes keep the work linear inside large groups of copies. The first deals the members of a large node into
-random parts of at most about ``SMALL`` and links each member with its most similar one before it. The second does
-the branching for nodes that hold several components, and compares only members of different components. Similarity
-is estimated from 8 bits of each token to reject pairs far below the threshold; every link is confirmed on the full sets.
+Rounds keep the work linear inside large groups of copies. The first two deal the members of a large node into random
+parts of at most about ``SMALL``; each member asks the most similar one of another component that it meets, one in all its
+nodes, links are confirmed and components contracted. The last one does the branching for nodes that still hold several
+components, and compares all members of different components, each pair once. Pairs are compared by a bound that no linked
+pair fails: sizes, and parities of hashed shingles (``parity``), which differ in no more bits than the sets do in
+shingles. So pairs well below the threshold never become rows. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 
 from lintlake.llm import common
 from lintlake.llm.components import components
+from lintlake.llm.parity import Parities, parities
 
 SHINGLE = 5
 #: A link needs 100 * intersection >= PERCENT * union.
@@ -35,8 +38,10 @@ PERCENT = 75
 TOKENS = 64
 ROOTS = 16
 SMALL = 512
-#: Equal tokens, of TOKENS, below which a pair is not looked at: 4.6 standard errors under the threshold.
-LEAST_EQUAL = 32
+#: Bits of the parities for a shingle, at least.
+BITS = 2
+#: Rounds in which each member asks one other.
+ROUNDS = 2
 #: Levels of branching; nodes that are still large after so many are compared in blocks.
 LEVELS = 16
 #: Sets held at once while links are confirmed, about.
@@ -46,7 +51,7 @@ _RNG = np.random.default_rng(20)
 _MULTIPLY = (_RNG.integers(0, 2**63, TOKENS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, TOKENS, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_SIGNED = "doc_id long, h long, n_shingles long, key binary, tokens binary"
+_SIGNED = "doc_id long, h long, n_shingles long, key binary, tokens binary, parity binary"
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -78,15 +83,16 @@ def _row() -> list[Column]:
 
 def _signed(documents: DataFrame) -> DataFrame:
     def work(columns: list[pa.Array]) -> dict[str, object]:
-        n, keys, tokens = [], [], []
+        n, keys, tokens, bits = [], [], [], []
         for text in common.as_bytes(columns[2]):
             found = shingle_set(text)
             n.append(len(found))
             keys.append(blake2b(found.tobytes(), digest_size=16).digest())
             tokens.append(minwise_tokens(found).tobytes())
+            bits.append(parities(found, BITS))
         return {
             "doc_id": columns[0], "h": columns[1], "n_shingles": pa.array(n, pa.int64()), "key": pa.array(keys, pa.binary()),
-            "tokens": pa.array(tokens, pa.binary()),
+            "tokens": pa.array(tokens, pa.binary()), "parity": pa.array(bits, pa.binary()),
         }
 
     return common.map_columns(documents.select(*_row(), "text"), ["doc_id", "h", "text"], _SIGNED, work)
@@ -169,52 +175,59 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield kept[0]
 
 
+def _most_different(m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The largest symmetric difference of linked sets of these sizes."""
+    return (100 - PERCENT) * (m + n) // (100 + PERCENT)
+
+
+def _in_order(first: np.ndarray, last: np.ndarray, main: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j), i < j and i not main, of the rows of each group (first, last), some millions at a time."""
+    own = np.flatnonzero(~main)
+    rest = np.repeat(last, last - first)[own] - 1 - own
+    at = 0
+    while at < len(own):
+        stop = max(at + 1, int(np.searchsorted(np.cumsum(rest[at:]), 1 << 22)) + at)
+        n = rest[at:stop]
+        i = np.repeat(own[at:stop], n)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        at = stop
+
+
 def _similar_pairs(members: DataFrame, classes: DataFrame, all_pairs: bool) -> DataFrame:
-    """Compare the members of each (part, node) exhaustively by their tokens.
+    """(x, y, gap): members of one (part, node) and of different components that the bound does not rule out.
 
-    With ``all_pairs``: the pairs of members of different components. Otherwise each member with the most similar one
-    before it, and (x, x) for every member that has a similar one.
+    With ``all_pairs`` all of them, x > y. Otherwise the most similar one for each x.
     """
-    short = classes.select("id", "tokens")
-    rows = members.join(short, "id").select("part", "node", "id", "component", "tokens")
-    rows = rows.repartition("part", "node").sortWithinPartitions("part", "node", "id")
+    short = classes.select("id", F.col("n_shingles").alias("n"), "parity")
+    rows = members.join(short, "id").select("part", "node", "id", "component", "n", "parity", "main")
+    rows = rows.repartition("part", "node").sortWithinPartitions("part", "node", "main", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches):
-            part, node, ids, component = (batch.column(i).to_numpy() for i in range(4))
-            tokens = (_matrix(batch.column(4), "<u4", TOKENS) & np.uint32(255)).astype(np.uint8)
-            earlier, later, equal = [], [], []
-            if all_pairs:
-                first = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (part[1:] != part[:-1]))))
-                for lo, hi in zip(first, np.append(first[1:], len(ids)), strict=True):
-                    kinds, which, counts = np.unique(component[lo:hi], return_inverse=True, return_counts=True)
-                    for j in np.flatnonzero(which != counts.argmax()) if len(kinds) > 1 else ():
-                        n = (tokens[lo:hi] == tokens[lo + j]).sum(axis=1)
-                        hit = np.flatnonzero((n >= LEAST_EQUAL) & (which != which[j]))
-                        earlier.append(lo + hit)
-                        later.append(np.full(len(hit), lo + j))
-                        equal.append(n[hit])
-            i, k = np.arange(0 if all_pairs else len(ids)), 0
-            while len(i):
-                k += 1
-                i = i[i + k < len(ids)]
-                i = i[(node[i] == node[i + k]) & (part[i] == part[i + k])]
-                n = (tokens[i] == tokens[i + k]).sum(axis=1)
-                hit = n >= LEAST_EQUAL
-                earlier.append(i[hit])
-                later.append(i[hit] + k)
-                equal.append(n[hit])
-            if not earlier:
+            part, node, ids, component, n = (batch.column(i).to_numpy() for i in range(5))
+            bits, main = Parities(batch.column(5).to_pylist()), batch.column(6).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (part[1:] != part[:-1]))))
+            last = np.append(first[1:], len(ids))
+            xs, ys, gaps = [], [], []
+            for i, j in _in_order(first, last, main):
+                other = (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
+                i, j = i[other], j[other]
+                gap = bits.gaps(i, j)
+                near = gap <= _most_different(n[i], n[j])
+                xs.append(j[near])
+                ys.append(i[near])
+                gaps.append(1000 * gap[near] // (n[i[near]] + n[j[near]]))
+            if not xs:
                 continue
-            x, y, n = np.concatenate(later), np.concatenate(earlier), np.concatenate(equal)
+            x, y, gap = np.concatenate(xs), np.concatenate(ys), np.concatenate(gaps)
             if not all_pairs:
-                seen = np.unique(np.concatenate((x, y)))
-                best = np.lexsort((-y, -n, x))
+                x, y, gap = np.concatenate((x, y)), np.concatenate((y, x)), np.concatenate((gap, gap))
+                best = np.lexsort((y, gap, x))
                 best = best[np.concatenate(([True], x[best][1:] != x[best][:-1]))[: len(best)]]
-                x, y = np.concatenate((x[best], seen)), np.concatenate((y[best], seen))
-            yield pa.RecordBatch.from_pydict({"x": pa.array(ids[x]), "y": pa.array(ids[y])})
+                x, y, gap = x[best], y[best], gap[best]
+            yield pa.RecordBatch.from_pydict({"x": pa.array(ids[x]), "y": pa.array(ids[y]), "gap": pa.array(gap)})
 
-    return rows.mapInArrow(run, "x long, y long").distinct()
+    return rows.mapInArrow(run, "x long, y long, gap long")
 
 
 def _sets(documents: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -230,12 +243,6 @@ def _sets(documents: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame
     return common.stored(sets.groupBy("id").agg(F.max("shingles").alias("shingles")))
 
 
-def _in_equal_blocks(sets: DataFrame) -> DataFrame:
-    """Deal the sets into blocks of about ``BLOCK``."""
-    blocks = max(1, sets.count() // BLOCK)
-    return sets.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(blocks)))
-
-
 def _in_component_blocks(sets: DataFrame, named: DataFrame) -> DataFrame:
     """Deal the sets into blocks that stay inside a component: what is like one member is like others of it."""
     placed = sets.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -286,28 +293,45 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _shared_nodes(members: DataFrame) -> DataFrame:
     """Members of the nodes that hold several components, with the number of members and of comparisons.
 
-    Comparisons are those of the members outside the largest component with all members.
+    Comparisons are those of the members outside the largest component (``main``) with all members.
     """
     parts = members.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = parts.groupBy("node").agg(F.sum("n").alias("size"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("parts"))
-    work = F.col("size") * (F.col("size") - F.col("largest"))
-    return members.join(sizes.filter("parts > 1").select("node", "size", work.alias("work")), "node")
+    sizes = parts.groupBy("node").agg(
+        F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")
+    )
+    work = F.col("size") * (F.col("size") - F.col("largest.n"))
+    sizes = sizes.filter("parts > 1").select("node", "size", work.alias("work"), F.col("largest.component").alias("main"))
+    return members.join(sizes, "node").withColumn("main", F.col("component") == F.col("main"))
 
 
 def _links(documents: DataFrame, classes: DataFrame) -> DataFrame:
-    roots = _roots(classes).withColumn("component", F.col("id"))
-    nodes = common.stored(_shared_nodes(roots))
-
-    parts = F.ceil(F.col("size") / SMALL)
-    dealt = nodes.withColumn("part", F.pmod(F.xxhash64("node", "id"), parts))
-    first = common.stored(_similar_pairs(dealt, classes, all_pairs=False))
-    touched = first.select(F.col("x").alias("id")).union(nodes.filter(F.col("size") > SMALL).select("id")).distinct()
-    sets = _sets(documents, classes, touched)
-    links = common.stored(_confirmed(first.filter("x <> y"), _in_equal_blocks(sets)))
-
-    named = components(links)
-    again = nodes.drop("component", "size", "work").join(named, "id", "left")
-    nodes = common.stored(_shared_nodes(again.withColumn("component", F.coalesce("component", "id"))))
+    roots = common.stored(_roots(classes))
+    links, sets, named = None, None, None
+    for turn in range(ROUNDS + 1):
+        mine = roots.withColumn("component", F.col("id"))
+        if turn:
+            named = components(links)
+            mine = roots.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        nodes = common.stored(_shared_nodes(mine))
+        if turn < ROUNDS:
+            parts = F.ceil(F.col("size") / SMALL)
+            dealt = nodes.withColumn("part", F.pmod(F.xxhash64(F.lit(turn), "node", "id"), parts))
+            asked = common.stored(_similar_pairs(dealt, classes, all_pairs=False))
+            if sets is None:  # of all members that a later pair can name: those that met a similar one, or not all others
+                touched = asked.select(F.explode(F.array("x", "y")).alias("id")).union(nodes.filter(F.col("size") > SMALL).select("id"))
+                sets = _sets(documents, classes, touched.distinct())
+            pairs = asked.groupBy("x").agg(F.min_by("y", F.struct("gap", "y")).alias("y"))
+        else:
+            pairs = _similar_pairs(_leaves(nodes, classes), classes, all_pairs=True)
+        pairs = common.stored(pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+        blocks = _in_component_blocks(sets, named) if named is not None else sets.withColumn("block", F.xxhash64("id"))
+        found = _confirmed(pairs, blocks)
+        links = common.stored(links.unionByName(found) if links is not None else found)
+    return links
+
+
+def _leaves(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """Nodes that are compared exhaustively: small ones, and large ones branched until they are small."""
     few = F.col("work") <= SMALL * SMALL
     leaves = nodes.filter(few).withColumn("part", F.lit(0).cast("long"))
     large = nodes.filter(~few)
@@ -319,8 +343,7 @@ def _links(documents: DataFrame, classes: DataFrame) -> DataFrame:
         large = below.filter(~few)
     else:
         leaves = leaves.unionByName(_in_blocks(large))
-    second = common.stored(_similar_pairs(leaves.drop("used", "size", "work"), classes, all_pairs=True))
-    return links.unionByName(_confirmed(second, _in_component_blocks(sets, named)))
+    return leaves.drop("used", "size", "work")
 
 
 def _in_blocks(large: DataFrame) -> DataFrame:
@@ -328,7 +351,7 @@ def _in_blocks(large: DataFrame) -> DataFrame:
     n = F.ceil(2 * F.col("size") / SMALL)
     mine = F.pmod(F.xxhash64(F.lit(9), "id"), n)
     other = F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other")
-    met = large.select("node", "used", "id", "component", "size", "work", mine.alias("mine"), other)
+    met = large.select("node", "used", "id", "component", "size", "work", "main", mine.alias("mine"), other)
     pair = F.struct(F.least("mine", "other"), F.greatest("mine", "other"))
     return met.withColumn("part", F.xxhash64(pair)).drop("mine", "other")
 
@@ -337,9 +360,11 @@ def _grouped(documents: DataFrame) -> DataFrame:
     """Per row: doc_id (``NULL_ID`` for null), h, n_shingles, and ``first``: the doc_id and h of the first row of its component."""
     signed = common.stored(_signed(documents))
     classes = signed.filter("n_shingles > 0").groupBy("key").agg(
-        F.min(F.struct("doc_id", "h")).alias("first"), F.min("tokens").alias("tokens")
-    )
-    classes = common.stored(classes.select(F.xxhash64("key").alias("id"), "key", "first", "first.doc_id", "first.h", "tokens"))
+        F.min(F.struct("doc_id", "h")).alias("first"), F.min("tokens").alias("tokens"), F.min("parity").alias("parity"),
+        F.min("n_shingles").alias("n_shingles"),
+    )
+    columns = ["key", "first", "first.doc_id", "first.h", "tokens", "parity", "n_shingles"]
+    classes = common.stored(classes.select(F.xxhash64("key").alias("id"), *columns))
     named = components(_links(documents, classes))
     least = classes.select("id", "first").join(named, "id").groupBy("component").agg(F.min("first").alias("least"))
     of_class = named.join(least, "component").select("id", "least")
@@ -353,12 +378,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     A text without words (null, empty) is linked with nothing. Rows are linked by their texts alone: texts that share a
     doc_id, or have none, are each judged by themselves, and rows that repeat both get the same answer. A null
-    doc_id is the largest id, so it never names a component that has another id.
+    doc_id is the largest id, so it never names a component that has another id. Rows whose doc_id is their component's
+    are kept; two such rows can share an id.
     """
     real = lambda c: F.when(c != common.NULL_ID, c)
     return _grouped(documents).select(
         real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.col("first.doc_id")).alias("component_id"),
-        (F.col("first") == F.struct("doc_id", "h")).alias("kept"),
+        (F.col("first.doc_id") == F.col("doc_id")).alias("kept"),
     )
 
 

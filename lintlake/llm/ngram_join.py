@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from lintlake.llm import common
 from lintlake.llm.components import components
+from lintlake.llm.parity import folded, parities
 
 #: Words of a shingle.
 SHINGLE = 4
@@ -86,21 +87,6 @@ def signatures(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def parities(shingles: np.ndarray) -> bytes:
-    """A bit for the parity of the number of shingles with each value of the last bits; four to eight bits a shingle."""
-    width = max(64, 4 << len(shingles).bit_length())
-    odd = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def _folded(rows: list[bytes], width: int) -> np.ndarray:
-    """Parities cut down to ``width`` bytes (64-bit words, a row each)."""
-    out = np.zeros((len(rows), width // 8), dtype=np.uint64)
-    for i, row in enumerate(rows):
-        out[i] = np.bitwise_xor.reduce(np.frombuffer(row, dtype=np.uint64).reshape(-1, width // 8), axis=0)
-    return out
-
-
 def _row() -> list[Column]:
     """doc_id (``NULL_ID`` for null) and a hash of the text: they name a row by what it holds."""
     return [F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("h")]
@@ -220,7 +206,7 @@ def _possible(groups: DataFrame, shapes: DataFrame, best: bool) -> DataFrame:
     def compared(held: tuple, i: int, component: int, n: int, parity: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids and gaps of the held members that the asking one may be linked with."""
         ids, components, sizes, words, width = held
-        own = _folded([parity], min(width, len(parity)))[0]
+        own = folded([parity], min(width, len(parity)))[0]
         if len(parity) < width:
             words = np.bitwise_xor.reduce(words.reshape(len(ids), -1, len(parity) // 8), axis=1)
         gap = np.bitwise_count(words ^ own).sum(axis=1, dtype=np.int64)
@@ -243,7 +229,7 @@ def _possible(groups: DataFrame, shapes: DataFrame, best: bool) -> DataFrame:
                         continue
                     width = min(len(w[3]) for w in waiting)
                     ids, components, sizes = (np.array([w[k] for w in waiting]) for k in range(3))
-                    held = (ids, components, sizes, _folded([w[3] for w in waiting], width), width)
+                    held = (ids, components, sizes, folded([w[3] for w in waiting], width), width)
                 found, gap = compared(held, i, component, n, parity)
                 if best and len(found):
                     one = np.lexsort((found, gap))[:1]

@@ -33,6 +33,10 @@ _RUN = re.compile(
     rf"(?<![^\s=:\"'<\[{{,;(])\+?{_PART.pattern}(?:[ \t]+(?:[-/.][ \t]+)?{_PART.pattern})+(?![^\s.,;:!?)\]}}>\"'<])"
 )
 _SPELT = re.compile(r"(?<!\S)[A-Za-z0-9._%+-]+ at [A-Za-z0-9-]+(?:(?:\.| dot )[A-Za-z0-9-]+)*(?:\.| dot )[A-Za-z]{2,}")
+#: Characters of its own word before an occurrence that are part of its patterns, at most (the last ones).
+KEY = 24
+#: Characters of a neighbouring word in a pattern, at most.
+NEIGHBOUR = 64
 #: Digits of a run that is one candidate.
 RUN_DIGITS = (7, 19)
 _EDGE = ".,;:!?()[]{}<>\"'"
@@ -132,17 +136,16 @@ def _occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
     if not spelt and not _ANY.search(text):
         return []
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    plain = [text[s:e].lower().strip(_EDGE) for s, e in words]
-    out, taken = [], 0
+    plain = [text[s : min(e, s + NEIGHBOUR)].lower().strip(_EDGE) for s, e in words]
+    out, taken, at = [], 0, 0
     runs = list(_runs(text, spans))
     runs += [m.span() for m in spelt if not any(s < m.end() and m.start() < e for s, _, e in spans)]
-    spans = list(spans)
 
     def add(start: int, stop: int, kind: int, first: int, last: int) -> None:
         value = text[start:stop]
         before = [plain[i] if i >= 0 else "^" for i in (first - 2, first - 1)]
         after = plain[last + 1] if last + 1 < len(plain) else "$"
-        key = text[words[first][0] : start].lower().lstrip(_EDGE)
+        key = text[max(words[first][0], start - KEY) : start].lower().lstrip(_EDGE)
         shape = _shape(value)
         patterns = [f"2 {before[0]} {before[1]} {key}|{shape}", f"1 {before[1]} {key}_{after}|{shape}"]
         if key:
@@ -150,8 +153,9 @@ def _occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
         out.append((start, stop, kind, value, patterns))
 
     for i, (s, e) in enumerate(words):
-        while spans and spans[0][0] < e:
-            start, kind, stop = spans.pop(0)
+        while at < len(spans) and spans[at][0] < e:
+            start, kind, stop = spans[at]
+            at += 1
             last = i
             while last + 1 < len(words) and words[last + 1][0] < stop:
                 last += 1

@@ -128,13 +128,12 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 """,
     "op10_line_dedup": """
 WITH d AS (SELECT doc_id, coalesce(source, '') site, coalesce(text, '') body, string_split(coalesce(text, ''), chr(10)) w FROM documents),
-l AS (SELECT doc_id, site, unnest(w) line, unnest(range(len(w))) pos FROM d),
-f AS (SELECT *, lower(trim(line)) norm FROM l WHERE lower(trim(line)) <> ''),
-bad AS (SELECT norm FROM f GROUP BY norm HAVING count(DISTINCT site) >= 10),
-cut AS (SELECT doc_id, list(pos) cut, sum(length(line)) n FROM f WHERE norm IN (SELECT norm FROM bad) GROUP BY 1),
-j AS (SELECT d.*, cut, cut IS NOT NULL AND n <= 0.5 * length(body) applies FROM d LEFT JOIN cut USING (doc_id))
-SELECT doc_id, len(w)::BIGINT n_lines, CASE WHEN applies THEN len(cut) ELSE 0 END::BIGINT n_removed,
-       sha256(CASE WHEN applies THEN array_to_string(list_filter(w, lambda x, i: NOT list_contains(cut, i - 1)), chr(10)) ELSE body END) kept_sha256
-FROM j
+l AS (SELECT doc_id, site, body, unnest(w) line, unnest(range(len(w))) pos FROM d),
+f AS (SELECT doc_id, site, md5(body) content, pos, lower(trim(line)) norm FROM l WHERE lower(trim(line)) <> ''),
+bad AS (SELECT norm, min((doc_id, pos)) first FROM f GROUP BY norm HAVING count(DISTINCT site) >= 10 AND count(DISTINCT content) >= 10),
+cut AS (SELECT doc_id, list(pos) cut FROM f JOIN bad USING (norm) WHERE (doc_id, pos) <> first GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT n_lines, coalesce(len(cut), 0)::BIGINT n_removed,
+       sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(cut, []), i - 1)), chr(10))) kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
 """,
 }

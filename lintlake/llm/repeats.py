@@ -1,4 +1,4 @@
-"""Removal of repeated 200-byte strings by a difference cover over suffixes.
+"""Removal of repeated 200-byte strings by a sample of suffixes that is chosen by content, in the manner of a difference cover.
 
 A difference cover is a sample of positions such that two equal strings always meet the sample at the same distance.
 Residues modulo 3 are one; here the sample is chosen by content: in every 200-byte window, the first of its byte
@@ -38,7 +38,7 @@ MERGE_UNITS = 20_000
 
 _POSITION = np.uint64(SEGMENT * 2 - 1)
 _CONSTANTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
-_UNIT = "g long, u long, doc_id long, h int, start int, n int, at int"
+_UNIT = "g long, u long, doc_id long, h long, start int, n int, at int"
 _LABELLED = _UNIT + ", label int, part int, inner_u boolean, inner_g boolean"
 _DUP, _OPEN, _EDGE, _WITNESS = 1, 2, 3, 4
 
@@ -103,7 +103,7 @@ def _units(texts: DataFrame) -> DataFrame:
             for part in sampled_units(text):
                 found.append(part)
                 doc.append(np.full(len(part[0]), doc_id))
-                h.append(np.full(len(part[0]), text_hash, dtype=np.int32))
+                h.append(np.full(len(part[0]), text_hash, dtype=np.int64))
         if not found:
             return None
         start, windows, at, gram, triple = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -173,7 +173,7 @@ def _labelled_units(texts: DataFrame) -> DataFrame:
     edges = _edges(all_rows.filter(F.col("label") == _EDGE).collect())
     columns = ["doc_id", "h", "start", "n", "at", "g", "label"]
     rest = all_rows.filter(F.col("label") != _EDGE).select(*columns)
-    resolved = texts.sparkSession.createDataFrame(edges, "doc_id long, h int, start int, n int, at int, g long, label int")
+    resolved = texts.sparkSession.createDataFrame(edges, "doc_id long, h long, start int, n int, at int, g long, label int")
     return rest.unionByName(resolved)
 
 
@@ -194,7 +194,7 @@ def _figures(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int,
 
 
 _DONE = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_HALF = _DONE + ", h int, body binary, spans array<struct<a:int,b:int>>, open array<struct<g:long,start:int,n:int,at:int>>"
+_HALF = _DONE + ", h long, body binary, spans array<struct<a:int,b:int>>, open array<struct<g:long,start:int,n:int,at:int>>"
 _SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 _OPENS = pa.list_(pa.struct([("g", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("at", pa.int32())]))
 
@@ -205,7 +205,7 @@ def _result(doc, h, text, spans, opens) -> dict[str, object]:
         "doc_id": pa.array(doc, pa.int64()), "n_bytes": pa.array([f[0] for f in figures], pa.int64()),
         "n_removed": pa.array([f[1] for f in figures], pa.int64()), "n_spans": pa.array([f[2] for f in figures], pa.int64()),
         "kept_sha256": pa.array([None if f[3] is None else sha256(f[3]).hexdigest() for f in figures], pa.string()),
-        "h": pa.array(h, pa.int32()), "body": pa.array([t if o else None for t, o in zip(text, opens, strict=True)], pa.binary()),
+        "h": pa.array(h, pa.int64()), "body": pa.array([t if o else None for t, o in zip(text, opens, strict=True)], pa.binary()),
         "spans": pa.array([[{"a": a, "b": b} for a, b in s] if o else None for s, o in zip(spans, opens, strict=True)], _SPANS),
         "open": pa.array([o or None for o in opens], _OPENS),
     }
@@ -309,7 +309,7 @@ def _merge(pieces: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict(found)
 
     usual = pieces.join(many, "g", "left_anti").repartition("g").sortWithinPartitions("g")
-    usual = usual.select("g", "doc_id", "h", "start", "n", "at", "piece").mapInArrow(inside, "doc_id long, h int, a int, b int")
+    usual = usual.select("g", "doc_id", "h", "start", "n", "at", "piece").mapInArrow(inside, "doc_id long, h long, a int, b int")
     if many.isEmpty():
         return usual
 
@@ -325,7 +325,7 @@ def _merge(pieces: DataFrame) -> DataFrame:
 
     rows = common.map_columns(
         pieces.join(many, "g", "left_semi"), ["g", "doc_id", "h", "start", "n", "at", "piece"],
-        "g long, name long, doc_id long, h int, a int, b int", windows,
+        "g long, name long, doc_id long, h long, a int, b int", windows,
     )
     often = rows.groupBy("g", "name").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("g", "name")
     return usual.unionByName(rows.join(often, ["g", "name"], "left_semi").select("doc_id", "h", "a", "b"))
@@ -335,11 +335,12 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A null text is empty; texts under 200 bytes lose nothing. Rows that repeat a document are copies of each other, so
-    they lose every byte if they have 200. All 200-byte strings are judged on the input.
+    they lose every byte if they have 200. All 200-byte strings are judged on the input. A text is named by its id and
+    64 bits of its hash, so texts that share an id, or have none, are each judged by themselves.
     """
     body = F.coalesce("text", F.lit(""))
     texts = documents.select(
-        F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("doc_id"), F.hash(body).alias("h"), body.cast("binary").alias("body")
+        F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("doc_id"), F.xxhash64(body).alias("h"), body.cast("binary").alias("body")
     )
     half = _first_figures(texts, _labelled_units(texts))
     spans = _merge(_pieces(half)).groupBy("doc_id", "h").agg(F.collect_set(F.struct("a", "b")).alias("more"))

@@ -15,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lintlake.llm import alignment, ngram_join, periodic, queries
+from lintlake.llm.parity import Parities, folded, parities
 
 AZ = {k: k + 32 for k in range(65, 91)}
 SF = "/root/testdata/sf0.001"
@@ -215,9 +216,10 @@ def test_linked_sets_share_a_signature():
             assert len(np.intersect1d(ngram_join.signatures(x), ngram_join.signatures(y)))
             d = len(x) + len(y) - 2 * both
             assert d <= ngram_join.most_different(len(x), len(y))
-            a, b = ngram_join.parities(x), ngram_join.parities(y)
+            a, b = parities(x), parities(y)
             width = min(len(a), len(b))
-            assert np.bitwise_count(ngram_join._folded([a], width) ^ ngram_join._folded([b], width)).sum() <= d
+            gap = np.bitwise_count(folded([a], width) ^ folded([b], width)).sum()
+            assert gap <= d and Parities([a, b]).gaps(np.array([0, 1]), np.array([1, 0])).tolist() == [gap, gap]
 
 
 def test_ngram_join_of_empty_tables(empty):
