@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm import common
 
-#: Labelled documents that the text model is fitted on, at most about (those with the smallest hash of doc_id).
-MODEL_ROWS = 6_000
-#: Affixes in the text model, at most: the most frequent ones, so its broadcast is bounded.
-MODEL_FEATURES = 20_000
-#: Languages that are told apart, at most.
-MAX_LANGUAGES = 64
+#: Labelled documents of each language that the text model is fitted on, about (those with the smallest hash of doc_id).
+LANGUAGE_ROWS = 1_500
+#: Affixes of each language in the text model: its most frequent ones.
+LANGUAGE_AFFIXES = 5_000
+#: Numbers in the text model up to which it is broadcast; a larger one is joined by a shuffle.
+BROADCAST_NUMBERS = 4_000_000
 #: Affixes are not independent: a page's text counts as at most so many of them.
 TEXT_WEIGHT = 40
 #: Pages that a parent's shares count for when they smooth a host or domain.
@@ -28,28 +28,34 @@ def affixes(text: Column) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    # Possessive steps, so an element without an end costs its length once; it reaches to the end of the page.
+    mark = r"(?is)<script\b(?:(?!</script).)*+(?:</script\s*>?|\z)|<style\b(?:(?!</style).)*+(?:</style\s*>?|\z)|<!--(?:(?!-->).)*+(?:-->|\z)"
+    text = F.regexp_replace(html, mark, " ")
     return F.regexp_replace(text, r"<[^>]*>|&[A-Za-z0-9#]+;", " ")
 
 
-def text_model(documents: DataFrame, max_rows: int = MODEL_ROWS) -> tuple[list[str], DataFrame]:
-    """Languages, and per affix an array with the log likelihood under each of them."""
+def text_model(documents: DataFrame, language_rows: int = LANGUAGE_ROWS) -> tuple[list[str], DataFrame]:
+    """Languages, and per affix an array with the log likelihood under each of them.
+
+    Languages are those of all labelled documents, counted by a grouped aggregation; each has a sample and affixes of
+    its own, so a rare one is not crowded out.
+    """
     known = documents.select("doc_id", "text", F.lower("lang").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    n = documents.count()
-    if n > max_rows:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
+    rows = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages = sorted(rows)
+    if not languages:
+        return [], documents.sparkSession.createDataFrame([], "affix string, likely array<double>")
+    shares = documents.sparkSession.createDataFrame([(x, min(10**6, 10**6 * language_rows // n + 1)) for x, n in rows.items()], "lang string, share long")
+    sample = known.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(10**6)) < F.col("share"))
     counts = common.stored(
-        known.select("lang", F.explode(affixes(F.col("text"))).alias("affix")).groupBy("lang", "affix").agg(F.count(F.lit(1)).alias("n"))
-    )
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r.lang for r in totals)
-    total = {r.lang: r.n for r in totals}
-    one = counts.groupBy("affix").agg(
-        F.sum("n").alias("all"), *[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(languages)]
+        sample.select("lang", F.explode(affixes(F.col("text"))).alias("affix")).groupBy("lang", "affix").agg(F.count(F.lit(1)).alias("n"))
     )
-    one = one.orderBy(F.desc("all"), "affix").limit(MODEL_FEATURES)
-    likely = [F.log((F.col(f"n{i}") + 0.5) / F.lit(float(total[x] + MODEL_FEATURES))) for i, x in enumerate(languages)]
-    return languages, one.select("affix", F.array(*likely).alias("likely") if likely else F.array().cast("array<double>").alias("likely"))
+    total = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "affix")
+    chosen = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= LANGUAGE_AFFIXES).select("affix").distinct()
+    seen = counts.join(chosen, "affix").groupBy("affix").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
+    likely = [F.log((F.coalesce(F.col("n")[x], F.lit(0)) + 0.5) / F.lit(float(total.get(x, 0) + LANGUAGE_AFFIXES * len(languages)))) for x in languages]
+    return languages, common.stored(seen.select("affix", F.array(*likely).alias("likely")))
 
 
 def _address(url: Column) -> dict[str, Column]:
@@ -67,14 +73,16 @@ def evidence(pages: DataFrame, languages: list[str], model: DataFrame) -> DataFr
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(*_key(), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
     declared = F.lower(F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
-    found = rows.select("a", "b", *[c.alias(n) for n, c in _address(F.col("url")).items()], declared.alias("declared"), affixes(visible_text(F.col("html"))).alias("affixes"))
-    each = found.select("a", "b", "host", "domain", "suffix", "declared", F.posexplode_outer("affixes").alias("pos", "affix"))
-    joined = each.join(F.broadcast(model), "affix", "left")
+    each = rows.select("a", "b", F.posexplode_outer(affixes(visible_text(F.col("html")))).alias("pos", "affix"))
+    small = model.count() * len(languages) <= BROADCAST_NUMBERS
+    joined = each.join(F.broadcast(model) if small else model, "affix", "left")
     sums = [F.coalesce(F.sum(F.col("likely")[i]), F.lit(0.0)).alias(f"t{i}") for i in range(len(languages))]
     repeats = F.greatest(F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, 1).otherwise(0)), F.lit(1))
     page = joined.groupBy("a", "b").agg(
-        *[F.first(c).alias(c) for c in ("host", "domain", "suffix", "declared")], F.count("likely").alias("n"), repeats.alias("m"), *sums
+        F.count("likely").alias("n"), repeats.alias("m"), *sums
     )
+    place = rows.select("a", "b", *[c.alias(n) for n, c in _address(F.col("url")).items()], declared.alias("declared")).dropDuplicates(["a", "b"])
+    page = page.join(place, ["a", "b"])
     n = F.col("n") / F.col("m")
     scale = F.least(F.lit(1.0), F.lit(float(TEXT_WEIGHT)) / F.greatest(n, F.lit(1.0))) / F.col("m")
     texts = F.array(*[F.col(f"t{i}") * scale for i in range(len(languages))])

@@ -5,12 +5,16 @@ Only DataFrame expressions and the JVM estimators of ``pyspark.ml`` are used.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, NGram, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lintlake.functions import text
 from lintlake.llm import common
 
 #: Words and word pairs that are features, at most: the most frequent ones of the examples, from so many examples on.
@@ -87,8 +91,8 @@ TEMPLATES = {
 }
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9.]+|\.(?![0-9])", -1), lambda w: w != "")
+def words(line: Column) -> Column:
+    return F.filter(F.split(F.lower(line), r"[^a-z0-9.]+|\.(?![0-9])", -1), lambda w: w != "")
 
 
 def paragraphs(documents: DataFrame) -> DataFrame:
@@ -146,14 +150,38 @@ def examples(documents: DataFrame) -> DataFrame:
     return positive.unionByName(negative)
 
 
-def wrapped(documents: DataFrame) -> DataFrame:
+def anchor_words() -> set[str]:
+    """Words of which every word triple of a template has at least one; the triples' rarest words are taken first."""
+    import re
+
+    texts = [[w for w in re.split(r"[^a-z0-9.]+|\.(?![0-9])", t.lower()) if w] for ts in TEMPLATES.values() for t in ts]
+    triples = {tuple(w[i : i + 3]) for w in texts for i in range(max(1, len(w) - 2))}
+    chosen: set[str] = set()
+    while open_ := [t for t in triples if not chosen & set(t)]:
+        often = Counter(w for t in open_ for w in set(t))
+        chosen.add(max(often, key=lambda w: (len(w) > 4, often[w], w)))
+    return chosen
+
+
+def candidate_lines(documents: DataFrame, wanted: set[str] | None) -> DataFrame:
+    """Stored table of the lines with one of the ``wanted`` words (None: of all lines): a, b, pos, line, words."""
+    lines = paragraphs(documents).withColumn("words", F.explode_outer(F.array("words")))  # evaluated once
+    if wanted is not None:
+        lines = lines.filter(F.arrays_overlap("words", F.lit(sorted(wanted))))
+    return common.stored(lines)
+
+
+def wrapped(documents: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """Notices that run over several lines: (a, b, pos, stop, line, words); pos and stop are the first and last line.
 
     A paragraph is a run of neighbouring lines with words; comment marks are none, so a line of marks ends it, and so
     does a line that is a whole template by itself. A window starts at each of its lines. Windows with
     ``CONFIRMED`` of the word pairs of a template are notices, one for each run of such starts, cut to the words from
-    the first to the last pair found. Only documents with a line that has a part of a template are looked at.
+    the first to the last pair found. Only documents with a line that has a part of a template are looked at; such lines
+    are among ``candidates``.
     """
+    if candidates is None:
+        candidates = candidate_lines(documents, anchor_words())
     known = templates(documents.sparkSession).select("family", "words", "template_pairs", _triples(F.col("words")).alias("t")).collect()
     wording = F.lit(sorted({t for r in known for t in r.t}))
     width = max(len(r.words) for r in known) + SLACK
@@ -163,7 +191,7 @@ def wrapped(documents: DataFrame) -> DataFrame:
 
     # Filters are not moved below an explode, so they do not evaluate words once per element.
     held = lambda rows, c: rows.withColumn(c, F.array(c)).withColumn(c, F.explode_outer(c))
-    parts = held(paragraphs(documents).select("a", "b", "words"), "words").filter(F.size("words") > 0).filter(F.arrays_overlap(_triples(F.col("words")), wording))
+    parts = candidates.select("a", "b", "words").filter(F.size("words") > 0).filter(F.arrays_overlap(_triples(F.col("words")), wording))
     asked = alone(parts).filter(~F.col("alone")).select("a", "b").distinct()
     body = F.coalesce("text", F.lit(""))
     again = documents.withColumn("a", F.xxhash64("doc_id", body)).withColumn("b", F.xxhash64(body, "doc_id"))
@@ -176,8 +204,7 @@ def wrapped(documents: DataFrame) -> DataFrame:
         .filter(F.size("rows") > 1)
     )
     windows = held(
-        blocks.select("a", "b", "block", F.posexplode("rows").alias("i", "row"), "rows")
-        .withColumn("rows", F.slice("rows", F.col("i") + 1, width))
+        text.inline_rows(blocks, ["a", "b", "block"], F.transform("rows", lambda _, i: F.struct(i.alias("i"), F.slice("rows", i + 1, width).alias("rows"))))
         .withColumn("at", F.flatten(F.transform("rows", lambda r, k: F.transform(r["words"], lambda _: k))))
         .withColumn("w", F.slice(F.flatten("rows.words"), 1, width)), "w"
     )
@@ -217,6 +244,19 @@ class Scanner:
         )
         return named
 
+    def suspects(self) -> set[str] | None:
+        """Words of which a line has to have one to be taken as any family; None: there is no such set.
+
+        A gram speaks for a family where it has a larger weight there than for none. Without any such gram no family
+        can reach none, given that none has the largest intercept; a pair of words counts by its first one.
+        """
+        intercept = self.model.interceptVector.toArray()
+        if intercept[1:].max(initial=-np.inf) >= intercept[0]:
+            return None
+        weight = self.model.coefficientMatrix.toArray()
+        speaking = np.flatnonzero((weight[1:] > weight[0]).any(axis=0))
+        return {self.counter.vocabulary[i].split(" ")[0] for i in speaking}
+
     def confident(self, rows: DataFrame) -> DataFrame:
         scored = self.calibration.transform(VectorAssembler(inputCols=["margin"], outputCol="features").transform(rows))
         return scored.select(*rows.columns, vector_to_array("probability")[1].alias("confidence"))
@@ -256,8 +296,10 @@ def statements(documents: DataFrame, scanner: Scanner) -> DataFrame:
     confirmed where the confidence is at least ``CONFIDENT`` and ``CONFIRMED`` of the word pairs of one of its templates
     are there. Doubtful lines inside a notice are part of it.
     """
-    notices = common.stored(wrapped(documents))
-    single = _judged(documents, scanner.classified(paragraphs(documents)).filter(F.col("guess") != NONE), scanner)
+    suspects = scanner.suspects()
+    candidates = candidate_lines(documents, None if suspects is None else suspects | anchor_words())
+    notices = common.stored(wrapped(documents, candidates))
+    single = _judged(documents, scanner.classified(candidates).filter(F.col("guess") != NONE), scanner)
     several = _judged(documents, scanner.classified(notices.drop("stop")), scanner)
     inside = notices.select(F.col("a").alias("na"), F.col("b").alias("nb"), F.col("pos").alias("start"), "stop")
     within = (F.col("a") == F.col("na")) & (F.col("b") == F.col("nb")) & F.col("pos").between(F.col("start"), F.col("stop"))
