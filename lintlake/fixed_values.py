@@ -286,3 +286,4 @@ NOTE_GITIGNORE = ".gitignore could also cover: {entries}"
 NOTE_CLI = "{path}: add CLI argument parsing (argparse/click/typer)"
 NOTE_API = "{path}: {n} functions — consider exposing key ones via API"
 NOTE_SYNTAX = "Skipped {path}: syntax error"
+NOTE_TOO_DEEP = "Skipped {path}: nested too deeply to be parsed"

@@ -14,7 +14,7 @@ from lintlake.operators.findings import (
     item,
     next_text_line,
 )
-from lintlake.options import Options
+from lintlake.options import Options, is_column
 
 _DEF = text.java_pattern(fv.DEF_PATTERN)
 _DEF_OR_CLASS = text.java_pattern(fv.DEF_OR_CLASS_PATTERN)
@@ -24,7 +24,8 @@ _QUOTES = ['"""', "'''"]
 
 
 def single_letters(options: Options) -> Column:
-    allowed = list(options.allowed_single_letter_vars)
+    letters = options.allowed_single_letter_vars
+    allowed = (lambda m: F.contains(letters, m)) if is_column(letters) else (lambda m: m.isin(list(letters)))
     candidates = F.filter(
         F.col("ln"),
         lambda x: x["raw"].contains("=") & ~text.starts_with_any(x["txt"], ["#", "def "]),
@@ -34,7 +35,7 @@ def single_letters(options: Options) -> Column:
         lambda x: F.struct(
             x["no"].alias("no"),
             F.filter(
-                F.regexp_extract_all(x["raw"], F.lit(_LETTER), F.lit(1)), lambda m: ~m.isin(allowed)
+                F.regexp_extract_all(x["raw"], F.lit(_LETTER), F.lit(1)), lambda m: ~allowed(m)
             ).alias("names"),
         ),
     )
@@ -103,14 +104,17 @@ def missing_docstrings(options: Options) -> Column:
 
 def magic_numbers(options: Options) -> Column:
     ignored = ["#", "def ", "class ", "import", "from"]
-    whitelist = [float(v) for v in options.magic_number_whitelist]
+    numbers = options.magic_number_whitelist
+    listed = (
+        (lambda x: F.array_contains(numbers, x)) if is_column(numbers) else (lambda x: x.isin([float(v) for v in numbers]))
+    )
     lines = F.filter(F.col("ln"), lambda x: ~text.starts_with_any(x["txt"], ignored))
     magic = F.aggregate(
         lines,
         F.lit(0),
         lambda n, x: n + F.size(F.filter(
             F.regexp_extract_all(x["txt"], F.lit(_NUMBER), F.lit(1)),
-            lambda m: F.coalesce(~m.try_cast("double").isin(whitelist), F.lit(True)),
+            lambda m: F.coalesce(~listed(m.try_cast("double")), F.lit(True)),
         )),
     )
     found = F.flatten(F.transform(

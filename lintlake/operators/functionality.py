@@ -14,14 +14,14 @@ from lintlake.operators.findings import (
     item,
     next_text_line,
 )
-from lintlake.options import Options
+from lintlake.options import Options, is_column
 
 _QUOTES = ['"""', "'''"]
 _DEF = text.java_pattern(fv.DEF_PATTERN)
 
 
 def open_markers(options: Options) -> Column:
-    markers = F.array(*[F.lit(m) for m in options.todo_markers])
+    markers = options.todo_markers if is_column(options.todo_markers) else F.array(*[F.lit(m) for m in options.todo_markers])
 
     def on_line(x: Column) -> Column:
         upper = F.upper(x["raw"])

@@ -21,7 +21,7 @@ from lintlake.functions.memo import per_application
 from lintlake.operators.findings import ANALYZER_NO, CATEGORY, item
 
 FACTS_SCHEMA = """
-    repo string, path string, parsed boolean,
+    repo string, path string, parsed boolean, too_deep boolean,
     imports array<struct<name:string,line:int>>,
     names array<string>,
     exports array<string>,
@@ -30,7 +30,7 @@ FACTS_SCHEMA = """
                        typed:boolean,decisions:int,source:string>>,
     mutable array<struct<name:string,line:int,kind:string>>
 """
-_COLUMNS = ["repo", "path", "parsed", "imports", "names", "exports", "guarded", "funcs", "mutable"]
+_COLUMNS = ["repo", "path", "parsed", "too_deep", "imports", "names", "exports", "guarded", "funcs", "mutable"]
 _BRANCHES = (ast.If, ast.IfExp, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With,
              ast.AsyncWith, ast.Assert)
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -58,12 +58,14 @@ def _facts_of(content: str, with_source: bool) -> tuple:
     """Flatten one syntax tree, breadth first, into lists of plain facts."""
     try:
         tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError):
-        return (False, [], [], [], [], [], [])
+    except (SyntaxError, ValueError):
+        return (False, False, [], [], [], [], [], [])
+    except RecursionError:
+        return (False, True, [], [], [], [], [], [])
     except MemoryError as error:  # the parser's own nesting limit says so; real shortage has no text
         if "stack" not in str(error).lower():
             raise
-        return (False, [], [], [], [], [], [])
+        return (False, True, [], [], [], [], [], [])
     lines = content.split("\n") if with_source else []
     imports, names, exports, guarded, funcs, mutable = [], {}, [], [], [], []
     queue = deque([(tree, None, ())])
@@ -98,7 +100,7 @@ def _facts_of(content: str, with_source: bool) -> tuple:
             if any(isinstance(t, ast.Name) and t.id == "__all__" for t in node.targets):
                 exports += [e.value for e in node.value.elts
                             if isinstance(e, ast.Constant) and isinstance(e.value, str)]
-    return (True, imports, list(names), exports, guarded, funcs, mutable)
+    return (True, False, imports, list(names), exports, guarded, funcs, mutable)
 
 
 # --- checks on one facts row ------------------------------------------------------------------
@@ -212,7 +214,8 @@ def fact_findings(facts: DataFrame, check_ids: list[str] | None = None) -> DataF
 def syntax_notes(facts: DataFrame) -> DataFrame:
     return facts.filter(~F.col("parsed")).select(
         "repo", F.lit("AST Analysis").alias("analyzer"), "path", F.lit(0).alias("sub"),
-        text.fill(fv.NOTE_SYNTAX, path=F.col("path")).alias("note"),
+        F.when(F.col("too_deep"), text.fill(fv.NOTE_TOO_DEEP, path=F.col("path")))
+        .otherwise(text.fill(fv.NOTE_SYNTAX, path=F.col("path"))).alias("note"),
     )
 
 

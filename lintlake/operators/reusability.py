@@ -15,8 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions import text
+from lintlake.functions.ranking import durable
 from lintlake.operators.findings import FileCheck, finding_rows, gated, item
-from lintlake.options import DEFAULTS, Options
+from lintlake.options import DEFAULTS, Options, is_column
+
+#: Files of one block that are joined under one key, about.
+SPLIT = 1000
 
 
 def _code_lines() -> Column:
@@ -26,7 +30,7 @@ def _code_lines() -> Column:
     )
 
 
-def _windows(code: Column, options: Options) -> Column:
+def windows(code: Column, options: Options) -> Column:
     """Sliding blocks of ``block_size`` lines: array of (idx, block), short blocks dropped."""
     size = options.block_size
     blocks = F.when(
@@ -41,6 +45,10 @@ def _windows(code: Column, options: Options) -> Column:
     return F.filter(blocks, lambda b: F.length(b["block"]) >= options.min_block_length)
 
 
+def _value(setting: int | Column) -> Column:
+    return setting if is_column(setting) else F.lit(setting)
+
+
 def _scoped(files: DataFrame, scope: str) -> DataFrame:
     if scope == "repo":
         return files
@@ -55,22 +63,30 @@ _BLOCK = ["repo", "h", "h2"]
 
 
 def _block_members(files: DataFrame, options: Options, scope: str) -> DataFrame:
-    """(repo, h, h2, path, idx): every distinct block of a file by its two hashes, first position in the file."""
-    hashed = F.transform(
-        _windows(_code_lines(), options),
-        lambda b: F.struct(
-            F.xxhash64(b["block"]).alias("h"), F.xxhash64(F.lit(1), b["block"]).alias("h2"), b["idx"].alias("idx")
-        ),
-    )
-    in_order = _scoped(files, scope).select("repo", "path", F.array_sort(hashed).alias("sorted"))
-    blocks = F.col("sorted")
-    first = F.filter(
-        blocks, lambda b, i: (i == 0) | (blocks[i - 1]["h"] != b["h"]) | (blocks[i - 1]["h2"] != b["h2"])
+    """(repo, h, h2, path, idx, width): every distinct block of a file by its two hashes, first position in the file.
+
+    Lines are hashed once; a block's hashes are those of its lines' hashes, so no block is built as a text. The
+    width may differ by row.
+    """
+    scoped = _scoped(files, scope)
+    line = lambda t: F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b"), F.length(t).alias("n"))
+    width = _value(options.block_size)
+    hashed = scoped.select("repo", "path", width.alias("width"), _value(options.min_block_length).alias("least"),
+                           F.transform(_code_lines(), line).alias("code"))
+    part = lambda name, i: F.slice(F.col("code")[name], i, F.col("width"))
+    chars = lambda i: F.aggregate(part("n", i), F.col("width") - 1, lambda x, y: x + y)
+    starts = F.when(F.size("code") >= F.col("width"), F.sequence(F.lit(1), F.size("code") - F.col("width") + 1))
+    blocks = F.transform(
+        F.filter(starts, lambda i: chars(i) >= F.col("least")),
+        lambda i: F.struct(F.xxhash64(part("a", i)).alias("h"), F.xxhash64(part("b", i)).alias("h2"), i.alias("idx")),
     )
-    return text.inline_rows(in_order, ["repo", "path"], first)
+    in_order = hashed.select("repo", "path", "width", F.array_sort(blocks).alias("sorted"))
+    row = F.col("sorted")
+    first = F.filter(row, lambda b, i: (i == 0) | (row[i - 1]["h"] != b["h"]) | (row[i - 1]["h2"] != b["h2"]))
+    return text.inline_rows(in_order, ["repo", "path", "width"], first)
 
 
-def _sizes(members: DataFrame, key: list[str], least: int) -> DataFrame:
+def _sizes(members: DataFrame, key: list[str], least: int | Column) -> DataFrame:
     """Groups of at least ``least`` files: size and first (path, idx), as partial aggregates."""
     return members.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_files"), F.min(F.struct("path", "idx")).alias("first")
@@ -87,23 +103,38 @@ def duplicate_blocks(files: DataFrame, options: Options = DEFAULTS, scope: str =
 
     The blocks are cut out of the first files, which are joined once with the list of what to cut.
     """
-    wanted = block_sizes(files, options, scope).groupBy("repo", F.col("first.path").alias("path")).agg(
+    return _cut(files, block_sizes(files, options, scope), options, scope)
+
+
+def _cut(files: DataFrame, sizes: DataFrame, options: Options, scope: str) -> DataFrame:
+    wanted = sizes.groupBy("repo", F.col("first.path").alias("path")).agg(
         F.collect_list(F.struct("h", "h2", "n_files", F.col("first.idx").alias("idx"))).alias("wanted")
     )
-    cut = _scoped(files, scope).select("repo", "path", "content").join(wanted, ["repo", "path"])
-    one = cut.select("repo", "path", _code_lines().alias("code"), "wanted").select(
-        "repo", "path", "code", F.explode("wanted").alias("w")
+    rows = _scoped(files, scope).select("repo", "path", "content", _value(options.block_size).alias("width"))
+    one = rows.join(wanted, ["repo", "path"]).select("repo", "path", "width", _code_lines().alias("code"), "wanted").select(
+        "repo", "path", "width", "code", F.explode("wanted").alias("w")
     )
     return one.select(
-        "repo", "w.h", "w.h2", F.array_join(F.slice("code", F.col("w.idx"), options.block_size), "\n").alias("block"),
-        "w.n_files", F.col("path").alias("first_file"), F.col("w.idx").alias("first_idx"),
+        "repo", "w.h", "w.h2", F.array_join(F.slice("code", F.col("w.idx"), F.col("width")), "\n").alias("block"),
+        "w.n_files", F.col("path").alias("first_file"), F.col("w.idx").alias("first_idx"), F.col("width").alias("block_size"),
     )
 
 
 def block_files(files: DataFrame, options: Options = DEFAULTS, scope: str = "repo") -> DataFrame:
-    """Every (repo, block, path) whose block occurs in at least two files of the repo."""
-    shared = duplicate_blocks(files, options, scope).select(*_BLOCK, "block", "n_files")
-    return _block_members(files, options, scope).join(shared, _BLOCK).drop("h", "h2")
+    """Every (repo, block, path) whose block occurs in at least two files of the repo.
+
+    Members are worked out once and stored as hashes; a block that very many files have is dealt over as many keys as
+    it has thousands of files, and its text is copied to each.
+    """
+    members = durable(_block_members(files, options, scope))
+    sizes = durable(_sizes(members, _BLOCK, 2))
+    salts = F.ceil(F.col("n_files") / SPLIT)
+    shared = _cut(files, sizes, options, scope).select(*_BLOCK, "block", "n_files")
+    copies = shared.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+    hot = sizes.filter(F.col("n_files") > SPLIT).select(*_BLOCK, salts.alias("salts"))
+    salt = F.coalesce(F.pmod(F.xxhash64("path"), F.col("salts")), F.lit(0).cast("long"))
+    dealt = members.join(hot, _BLOCK, "left").withColumn("salt", salt)
+    return dealt.join(copies, [*_BLOCK, "salt"]).select("repo", "path", "idx", "block", "n_files")
 
 
 def _label(first: Column, n_files: Column) -> Column:
@@ -112,7 +143,7 @@ def _label(first: Column, n_files: Column) -> Column:
 
 
 def duplicate_block_findings(files: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    found = item("REU1", block_size=F.lit(options.block_size), n=F.col("n_files"),
+    found = item("REU1", block_size=F.col("block_size"), n=F.col("n_files"),
                  code_before=F.col("block"))
     label = _label(F.col("first_file"), F.col("n_files"))
     return finding_rows(duplicate_blocks(files, options), "REU1", "Reusability", 0, label,
@@ -122,27 +153,29 @@ def duplicate_block_findings(files: DataFrame, options: Options = DEFAULTS) -> D
 _IMPORTS = ["repo", "h", "h2"]
 
 
-def _import_members(files: DataFrame) -> DataFrame:
-    """(repo, h, h2, path, idx, imports) of files with import lines."""
+def _import_members(files: DataFrame, options: Options) -> DataFrame:
+    """(repo, h, h2, path, idx, imports, least) of files with import lines."""
     lines = F.array_sort(F.filter(
         F.transform(text.split_lines(F.col("content")), text.strip),
         lambda t: text.starts_with_any(t, ["import ", "from "]),
     ))
     with_imports = files.filter(text.contains_any(F.col("content"), ["import ", "from "]))
+    with_imports = with_imports.withColumn("least", _value(options.import_repetition_threshold))
     joined = F.transform(F.array(lines), lambda a: F.when(F.size(a) > 0, F.array_join(a, "\n")))
-    rows = text.explode_rows(with_imports, ["repo", "path"], joined, "imports")
-    return rows.select("repo", "path", "imports", F.xxhash64("imports").alias("h"),
+    rows = text.explode_rows(with_imports, ["repo", "path", "least"], joined, "imports")
+    return rows.select("repo", "path", "imports", "least", F.xxhash64("imports").alias("h"),
                        F.xxhash64(F.lit(1), "imports").alias("h2"), F.lit(0).alias("idx"))
 
 
 def import_sets(files: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """One row per set that ``import_repetition_threshold`` files have: hashes, size, first file."""
-    return _sizes(_import_members(files).drop("imports"), _IMPORTS, options.import_repetition_threshold)
+    members = _import_members(files, options).drop("imports")
+    return _sizes(members, [*_IMPORTS, "least"], F.col("least")).drop("least")
 
 
 def import_set_files(files: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Every (repo, import set, path) whose set occurs in ``import_repetition_threshold`` files."""
-    members = _import_members(files)
+    members = _import_members(files, options).drop("least")
     return members.join(import_sets(files, options).drop("first"), _IMPORTS).drop("h", "h2")
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lintlake import fixed_values as fv
 from lintlake.functions import text
-from lintlake.operators.findings import FileCheck, empty, item
+from lintlake.functions.prefilter import may_match
+from lintlake.operators.findings import FileCheck, empty, gated, item
 from lintlake.options import Options
 
 
@@ -16,7 +17,8 @@ def _pattern_items(patterns: list[tuple[str, str]], message: str) -> Column:
 
     def hits(pattern: str, title: str) -> Column:
         lines = text.match_lines(F.col("content"), pattern)
-        return F.transform(lines, lambda line: item(message, line=line, title=F.lit(title)))
+        found = F.transform(lines, lambda line: item(message, line=line, title=F.lit(title)))
+        return gated(may_match(F.col("content"), pattern), found)
 
     return F.concat(*[hits(pattern, title) for pattern, title in patterns])
 

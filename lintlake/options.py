@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from decimal import Decimal
 
+from pyspark.sql import Column
+
 from lintlake import fixed_values as fv
 
 
@@ -30,3 +32,8 @@ class Options:
 
 
 DEFAULTS = Options()
+
+
+def is_column(value: object) -> bool:
+    """Whether a setting is read from the rows (``overrides.column_options``) rather than the same for all."""
+    return isinstance(value, Column)

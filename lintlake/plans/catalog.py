@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from lintlake import fixed_values as fv
 from lintlake import sinks
 from lintlake.functions import text
-from lintlake.functions.ranking import durable
+from lintlake.functions.ranking import durable, shared_dir
 from lintlake.operators import (
     answers,
     cost,
@@ -34,10 +35,11 @@ from lintlake.operators.findings import (
 )
 from lintlake.operators.repo_facts import concern
 from lintlake.options import DEFAULTS
+from lintlake.plans import smart
 from lintlake.plans.checks import FILE_CHECKS, all_findings, all_notes, register_check, unregister_check
 from lintlake.sources import files as src
 from lintlake.sources import fixtures as fx
-from lintlake.sources import history, overrides
+from lintlake.sources import folder, history, overrides
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,6 +100,23 @@ def _(spark, d):
     return fx.docs_files(spark, d).select("repo", "path", "size", F.md5("content").alias("content_md5"))
 
 
+def _ingested(spark: SparkSession, d: str) -> DataFrame:
+    """The documents, written as files and read back through the folder source, stored once."""
+    place = f"{shared_dir(spark).removeprefix('file://')}/tree-{uuid.uuid4().hex}"
+    folder.ingest(spark, fx.document_tree(spark, d, f"{place}/files"), f"{place}/rows", parts=100)
+    return spark.read.parquet(f"{place}/rows")
+
+
+@query("src1_directory")
+def _(spark, d):
+    return folder.taken(_ingested(spark, d)).select("repo", "path", "size", F.md5("content").alias("content_md5"))
+
+
+@query("src1_refused_files")
+def _(spark, d):
+    return folder.refused(_ingested(spark, d))
+
+
 @query("src2_suffix_filter")
 def _(spark, d):
     return fx.code_files_raw(spark, d).filter(src.has_collected_name(F.col("path"))).select("repo", "path")
@@ -163,6 +182,29 @@ def _(spark, d):
     return found.select("repo", "check_id", "file", "description", "line")
 
 
+def _style(spark: SparkSession, files: DataFrame, d: str) -> DataFrame:
+    """The files with the settings of their repo as columns."""
+    return files.join(overrides.repo_options(scoring.repos_of(files), fx.style_overrides(spark, d)), "repo")
+
+
+@query("src8_style_checks")
+def _(spark, d):
+    code, options = _style(spark, fx.code_files(spark, d), d), overrides.column_options()
+    found = union_all([
+        file_findings(code, [_CHECKS[c] for c in ("CLA1", "CLA4", "FUN1")], options),
+        reusability.repeated_import_findings(code, options),
+    ])
+    return found.select("repo", "check_id", "file", "description", "line")
+
+
+@query("reu1_per_repo_blocks")
+def _(spark, d):
+    docs = _style(spark, fx.docs_files(spark, d), d)
+    return reusability.duplicate_blocks(docs, overrides.column_options()).select(
+        "repo", F.md5("block").alias("block_md5"), "n_files", "first_file", "first_idx", "block_size"
+    )
+
+
 @query("src9_portfolio_repos")
 def _(spark, d):
     return projects.portfolio_repos(scoring.repos_of(fx.docs_files(spark, d)), ["src3", "src7"])
@@ -451,6 +493,33 @@ def _(spark, d):
     return _validated(spark, d).select(*CHECK_COLUMNS)
 
 
+def _smart(spark: SparkSession, d: str) -> smart.SmartRun:
+    code = fx.code_files(spark, d)
+    return smart.smart_run(code, fx.verdict_answers, fx.review_answers(code), f"{shared_dir(spark)}/smart-{uuid.uuid4().hex}")
+
+
+@query("jn2_all_findings_validated")
+def _(spark, d):
+    return _smart(spark, d).validated.select("check_id", *CHECK_COLUMNS)
+
+
+@query("e1_smart_scorecard")
+def _(spark, d):
+    return _smart(spark, d).cards.select(
+        "repo", "overall", "tag", "recommendation", "n_files", "total", "critical", "high", "n_before", "n_dismissed", "n_added", "ai_score"
+    )
+
+
+@query("e1_smart_top_findings")
+def _(spark, d):
+    return scoring.top_findings(_smart(spark, d).kept).select("repo", "rank", "analyzer", "file", "severity", "title", "description", "line")
+
+
+@query("agg1_ai_score")
+def _(spark, d):
+    return smart.review_scores(_smart(spark, d).review)
+
+
 @query("jn3_fixable")
 def _(spark, d):
     docs = fx.docs_files(spark, d)
@@ -622,7 +691,7 @@ def _(spark, d):
 @query("win2_blocks")
 def _(spark, d):
     cut = fx.docs_files(spark, d).select("repo", "path", reusability._code_lines().alias("code"))
-    rows = text.inline_rows(cut, ["repo", "path"], reusability._windows(F.col("code"), DEFAULTS))
+    rows = text.inline_rows(cut, ["repo", "path"], reusability.windows(F.col("code"), DEFAULTS))
     return rows.select("repo", "path", "idx", F.md5("block").alias("block_md5"))
 
 

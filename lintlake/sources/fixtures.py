@@ -292,6 +292,51 @@ def override_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     ]
 
 
+def style_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of blocks, imports, letters, numbers and markers by the repo's number; some values are unusable."""
+    repos = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("repo")).agg((F.min("doc_id") % 20).alias("r"))
+    own = {
+        0: [("reusability", "block_size", "2"), ("reusability", "min_block_length", "20"), ("clarity", "allowed_single_letter_vars", "qw")],
+        1: [("reusability", "block_size", "4"), ("clarity", "magic_number_whitelist", "3.5, 42,7"), ("reusability", "import_repetition_threshold", "2")],
+        2: [("reusability", "block_size", "5"), ("reusability", "min_block_length", "60"), ("functionality", "todo_markers", "HACK, NOTHING,")],
+        3: [("reusability", "block_size", "0"), ("reusability", "min_block_length", "many"), ("clarity", "magic_number_whitelist", "1,x")],
+    }
+    rows = [(k, *row) for k, settings in own.items() for row in settings]
+    known = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(row, ("k", "section", "key", "value"), strict=True)]) for row in rows])
+    return repos.select("repo", "r", F.inline(known)).filter(F.col("r") % 4 == F.col("k")).select("repo", "section", "key", "value")
+
+
+def document_tree(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, str]:
+    """Write the documents as files below ``folder`` (a task writes its own), and return the root of each repo.
+
+    By doc_id % 50: 7 ends in a byte that is no UTF-8, 8 is too large, 9 is a link to nothing.
+    """
+
+    def write(batches):
+        import os
+
+        for batch in batches:
+            for repo, path, doc_id, content in batch[["repo", "path", "doc_id", "content"]].itertuples(index=False):
+                full = os.path.join(folder, repo, path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                kind = doc_id % 50
+                if kind == 9:
+                    if not os.path.islink(full):
+                        os.symlink(full + ".missing", full)
+                    continue
+                with open(full, "wb") as handle:
+                    handle.write(content.encode() + (b"\xff" if kind == 7 else b""))
+                    if kind == 8:
+                        handle.truncate(500_001)
+            yield batch[["repo"]].drop_duplicates()
+
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("repo"), F.concat("lang", F.lit("/"), "doc_id", F.lit(".md")).alias("path"), "doc_id", F.col("text").alias("content")
+    )
+    repos = rows.repartition("path").mapInPandas(write, "repo string").distinct().collect()
+    return {r.repo: f"{folder}/{r.repo}" for r in repos}
+
+
 def history_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History documents with one run each; some are broken, empty or without runs."""
     runs = event_runs(spark, sf_dir)

@@ -17,6 +17,15 @@ NUMERIC = {
     ("clarity", "magic_number_threshold"): "magic_number_threshold",
     ("structure", "root_file_threshold"): "root_file_threshold",
     ("structure", "mixed_concern_threshold"): "mixed_concern_threshold",
+    ("reusability", "block_size"): "block_size",
+    ("reusability", "min_block_length"): "min_block_length",
+    ("reusability", "import_repetition_threshold"): "import_repetition_threshold",
+}
+#: Settings that are lists (written with commas) or sets of letters, and their types.
+LISTS = {
+    ("clarity", "magic_number_whitelist"): "array<double>",
+    ("clarity", "allowed_single_letter_vars"): "string",
+    ("functionality", "todo_markers"): "array<string>",
 }
 #: Shares of the overall score, section ``scoring``.
 WEIGHTS = ("quality", "structure", "security", "usefulness")
@@ -50,24 +59,44 @@ def option_values(repos: DataFrame, overrides: DataFrame, defaults: dict[tuple[s
 
 
 def repo_options(repos: DataFrame, overrides: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """One row per repo with a typed ``opt_`` column per setting; a value that is no number keeps the default."""
+    """One row per repo with a typed ``opt_`` column per setting.
+
+    A value that is no number, or a list with an entry that is none, keeps the default; so does a block size under 1.
+    """
     defaults = {k: str(getattr(options, f)) for k, f in NUMERIC.items()}
     defaults |= {("scoring", w): str(options.weights[w]) for w in WEIGHTS}
+    for section, key in LISTS:
+        value = getattr(options, key)
+        defaults[section, key] = value if isinstance(value, str) else ",".join(map(str, value))
     wide = option_values(repos, overrides, defaults)
 
     def typed(key: tuple[str, str], kind: str, name: str):
         value = F.coalesce(F.expr(f"try_cast({key[0]}_{key[1]} AS {kind})"), F.lit(defaults[key]).cast(kind))
+        if name == "block_size":
+            value = F.when(value >= 1, value).otherwise(F.lit(defaults[key]).cast(kind))
         return value.alias(f"opt_{name}")
 
+    def listed(key: tuple[str, str], kind: str):
+        own, name = F.col(f"{key[0]}_{key[1]}"), f"opt_{key[1]}"
+        if kind == "string":
+            return own.alias(name)
+        entries = lambda c: F.transform(F.split(c, ",", -1), lambda x: F.trim(x))
+        if kind == "array<string>":
+            return F.filter(entries(own), lambda x: x != "").alias(name)
+        numbers = lambda c: F.transform(entries(c), lambda x: x.try_cast("double"))
+        usable = ~F.exists(numbers(own), lambda x: x.isNull())
+        return F.when(usable, numbers(own)).otherwise(numbers(F.lit(defaults[key]))).alias(name)
+
     return wide.select(
         "repo", *[typed(k, "int", f) for k, f in NUMERIC.items()],
         *[typed(("scoring", w), "decimal(4,2)", f"weight_{w}") for w in WEIGHTS],
+        *[listed(k, kind) for k, kind in LISTS.items()],
     )
 
 
 def column_options(options: Options = DEFAULTS) -> Options:
     """Options that checks read from the ``opt_`` columns of their rows."""
     return replace(
-        options, **{f: F.col(f"opt_{f}") for f in NUMERIC.values()},
+        options, **{f: F.col(f"opt_{f}") for f in [*NUMERIC.values(), *[key for _, key in LISTS]]},
         weights={w: F.col(f"opt_weight_{w}") for w in WEIGHTS},
     )

@@ -36,6 +36,12 @@ def add(name: str, ctes: tuple[str, ...], select: str) -> None:
 # --- sources ---------------------------------------------------------------------------------
 
 add("src1_files_table", _DOCS, "SELECT repo, path, size, md5(content) AS content_md5 FROM docs")
+_TREE = """tree AS (SELECT source AS repo, lang || '/' || doc_id || '.md' AS path, doc_id % 50 AS kind,
+  CASE WHEN doc_id % 50 = 7 THEN text || chr(65533) ELSE text END AS content,
+  CAST(octet_length(encode(text)) + CASE WHEN doc_id % 50 = 7 THEN 1 ELSE 0 END AS BIGINT) AS size FROM documents)"""
+add("src1_directory", (_TREE,), "SELECT repo, path, size, md5(content) AS content_md5 FROM tree WHERE kind NOT IN (8, 9)")
+add("src1_refused_files", (_TREE,), """SELECT repo, path, CASE kind WHEN 8 THEN 500001 WHEN 7 THEN size END AS size,
+  CASE kind WHEN 7 THEN 'invalid bytes' WHEN 8 THEN 'too large' ELSE 'unreadable' END AS error FROM tree WHERE kind IN (7, 8, 9)""")
 add("src2_suffix_filter", (v.CODE_RAW,), f"SELECT repo, path FROM code_raw WHERE {v.NAME_OK}")
 add("src3_skip_dirs", (v.CODE_RAW,), f"SELECT repo, path FROM code_raw WHERE {v.DIR_OK}")
 add("src4_size_guard", (v.CODE_RAW, v.DOCS),
@@ -80,6 +86,30 @@ _EFFECTIVE = [
 ]
 add("src8_effective_checks", _OPTS, " UNION ALL ".join(
     f"SELECT repo, check_id, file, description, line FROM ({sql})" for sql in _EFFECTIVE))
+_NUMBERED = "r AS (SELECT source AS repo, min(doc_id) % 20 AS r FROM documents GROUP BY source)"
+_STYLE = f"""opts AS (SELECT repo,
+    CASE r % 4 WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 5 ELSE 3 END AS width, CASE r % 4 WHEN 0 THEN 20 WHEN 2 THEN 60 ELSE 30 END AS least_chars,
+    CASE WHEN r % 4 = 1 THEN 2 ELSE 3 END AS least_files, CASE WHEN r % 4 = 0 THEN 'qw' ELSE {lit(fv.ALLOWED_SINGLE_LETTERS)} END AS letters,
+    CASE WHEN r % 4 = 1 THEN [3.5::DOUBLE, 42, 7] ELSE {[float(x) for x in fv.MAGIC_NUMBER_WHITELIST]}::DOUBLE[] END AS numbers,
+    CASE WHEN r % 4 = 2 THEN ['HACK', 'NOTHING'] ELSE {fv.TODO_MARKERS} END AS markers FROM r)"""
+_STYLED = "(SELECT * FROM ln JOIN opts USING (repo))"
+_STYLE_CHECKS = [
+    v.cla1(_STYLED).replace(f"m NOT IN {v.values(list(fv.ALLOWED_SINGLE_LETTERS))}", "NOT contains(letters, m)"),
+    v.cla4(_STYLED).replace(
+        "CAST(m AS DOUBLE) NOT IN (" + ", ".join(str(float(x)) for x in fv.MAGIC_NUMBER_WHITELIST) + ")", "NOT list_contains(numbers, CAST(m AS DOUBLE))"),
+    v.fun1(_STYLED).replace("(VALUES ", "(VALUES (9, 'NOTHING'), ").replace("WHERE contains(", "WHERE list_contains(markers, m) AND contains("),
+    v.reu2().replace(f"FROM {v.import_sets()} GROUP BY", f"FROM {v.import_sets()} JOIN opts USING (repo) GROUP BY").replace(
+        "HAVING count(*) >= 3", "HAVING count(*) >= max(least_files)"),
+]
+add("src8_style_checks", (*v.CODE_LINES, _NUMBERED, _STYLE), " UNION ALL ".join(
+    f"SELECT repo, check_id, file, description, line FROM ({sql})" for sql in _STYLE_CHECKS))
+add("reu1_per_repo_blocks", (*_DOC_LINES, _NUMBERED, _STYLE, f"""texts AS (
+  SELECT repo, path, list(txt ORDER BY no) AS w FROM ln WHERE txt <> '' AND NOT starts_with(txt, '#') GROUP BY repo, path)""",
+  f"""windows AS (SELECT repo, path, width, idx, array_to_string(w[idx:idx + width - 1], {LF}) AS block, least_chars
+  FROM (SELECT *, unnest(range(1, len(w) - width + 2)) AS idx FROM texts JOIN opts USING (repo) WHERE len(w) >= width))""",
+  """members AS (SELECT repo, path, width, block, min(idx) AS idx FROM windows WHERE length(block) >= least_chars GROUP BY ALL)"""),
+    """SELECT repo, md5(block) AS block_md5, count(*) AS n_files, min(path) AS first_file, arg_min(idx, path) AS first_idx, max(width) AS block_size
+FROM members GROUP BY repo, block HAVING count(*) >= 2""")
 add("src9_portfolio_repos", (), """SELECT repo FROM (SELECT DISTINCT source AS repo FROM documents ORDER BY 1 LIMIT 100)
 WHERE repo NOT IN ('src3', 'src7')""")
 add("src10_scan_projects", (), """WITH repos AS (SELECT source AS repo, min(doc_id) AS d FROM documents GROUP BY source)
@@ -613,3 +643,28 @@ _SPLICED = f"""SELECT repo, CAST(section AS INTEGER) AS section, unnest(lines) A
   UNION ALL SELECT repo, 6, ['### `' || test_path || '`', '```python'] || string_split(code, {LF}) || ['```', ''] FROM generated
   UNION ALL SELECT repo, 7, ['', ''] || lines FROM section)"""
 add("rep4_spliced_report", (*_CARDS, _SMART_PARTS, _TESTS, _TEST_TOTALS, _REPO_RUNS, _SECTION), _SPLICED)
+
+
+# --- the reviewed run ------------------------------------------------------------------------
+
+_ALL_VERDICTS = _VERDICTS.replace("  SELECT repo, analyzer,", "  SELECT check_id, o_analyzer, o_phase, o_path, o_check, o_sub, repo, analyzer,")
+_AI = _REVIEWS.format(files="code")
+_AI_POINTS = next(row[2:] for row in fv.ANALYZERS if row[0] == "AI Deep Review")
+_AI_SCORE = "ai_score AS (SELECT repo, CAST(greatest(1, 10 - sum(CASE severity " + " ".join(
+    f"WHEN {lit(s)} THEN {p}" for s, p in zip(fv.SEVERITIES, _AI_POINTS)) + f" ELSE {_AI_POINTS[-1]} END)) AS DECIMAL(6,1)) AS score FROM ai GROUP BY repo)"  # noqa: B905
+_KEPT = """kept AS (
+  SELECT repo, analyzer, file, severity, title, description, line, o_analyzer, o_phase, o_path, o_check, o_sub FROM validated
+  UNION ALL SELECT repo, 'AI Deep Review', file, severity, title, description, line, 7, 0, '', 0, CASE WHEN title = 'Only title' THEN 1 ELSE 0 END FROM ai)"""
+add("jn2_all_findings_validated", (*v.ALL_FINDINGS, _ALL_VERDICTS), f"SELECT check_id, {OUT} FROM validated")
+add("agg1_ai_score", (*_CODE, _AI, _AI_SCORE), "SELECT repo, score FROM ai_score")
+add("e1_smart_scorecard", (*_CARDS, _ALL_VERDICTS, _AI, _AI_SCORE, _KEPT), """SELECT repo, overall, tag, recommendation, n_files,
+  coalesce(k, 0) AS total, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(b, 0) AS n_before,
+  coalesce(b, 0) - coalesce(a, 0) AS n_dismissed, coalesce(c, 0) AS n_added, score AS ai_score
+FROM card LEFT JOIN (SELECT repo, count(*) AS k, count(*) FILTER (WHERE severity = 'critical') AS critical,
+                       count(*) FILTER (WHERE severity = 'high') AS high FROM kept GROUP BY repo) USING (repo)
+LEFT JOIN (SELECT repo, count(*) AS b FROM findings GROUP BY repo) USING (repo)
+LEFT JOIN (SELECT repo, count(*) AS a FROM validated GROUP BY repo) USING (repo)
+LEFT JOIN (SELECT repo, count(*) AS c FROM ai GROUP BY repo) USING (repo) LEFT JOIN ai_score USING (repo)""")
+add("e1_smart_top_findings", (*v.ALL_FINDINGS, _ALL_VERDICTS, _AI, _KEPT), f"""SELECT repo, CAST(rank AS INTEGER) AS rank, analyzer, file,
+  severity, title, description, line
+FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {_RANK}, {v.ORDER}) AS rank FROM kept) WHERE rank <= 5""")

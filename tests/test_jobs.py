@@ -241,8 +241,10 @@ def test_report_text(spark, tmp_path):
     assert "### `a.py`\n*3 finding(s)*\n\n" in bad
     assert bad.index("### 1. 🟠 [HIGH] No tests found\n**File:** `(repo root)`\n\n1 code files but no test files.\n\n**Suggestion:** ") > 0
     sinks.write_report(lines, str(tmp_path / "reports"))
-    parts = sorted((tmp_path / "reports" / "repo=ok").glob("part-*"))
-    assert "".join(p.read_text() for p in parts) == ok + "\n"
+    for repo, want in (("ok", ok), ("bad", bad)):
+        sinks.export_report(spark, str(tmp_path / "reports"), repo, str(tmp_path / repo))
+        parts = sorted((tmp_path / repo).glob("part-*"))
+        assert "".join(p.read_text() for p in parts) == want + "\n"
 
 
 # --- projects, overrides, sources --------------------------------------------------------------------
