@@ -3,8 +3,8 @@
 Documents with equal shingle sets are one class, named by a hash of the set, and only its first row (smallest doc_id, then
 hash of the text) takes part. A class has ``TOKENS`` minwise
 tokens. The trees of the join start with ``ROOTS`` nodes a class, one for each of so many tokens. The members of a node
-share a path of chosen tokens; a node that takes at most ``SMALL`` squared comparisons is compared exhaustively, a larger one is
-branched by further tokens that its path selects, one or two each, which is more than 1 / similarity on average.
+share a path of chosen tokens; a node that takes at most ``COMPARISONS`` times ``SMALL`` squared comparisons is compared
+exhaustively, a larger one is branched by further tokens that its path selects, one or two each, which is more than 1 / similarity on average.
 
 Two classes with similarity 0.75 share no node at the start with probability 0.25**16, and a path that they share
 goes on with probability above one half at each larger node; 12 of the 16 are shared on average.
@@ -42,6 +42,8 @@ SMALL = 512
 BITS = 2
 #: Rounds in which each member asks one other.
 ROUNDS = 2
+#: A node is compared exhaustively up to so many times SMALL squared comparisons (bits in memory, about a second).
+COMPARISONS = 64
 #: Levels of branching; nodes that are still large after so many are compared in blocks.
 LEVELS = 16
 #: Sets held at once while links are confirmed, about.
@@ -181,12 +183,12 @@ def _most_different(m: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _in_order(first: np.ndarray, last: np.ndarray, main: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs (i, j), i < j and i not main, of the rows of each group (first, last), some millions at a time."""
+    """All pairs (i, j), i < j and i not main, of the rows of each group (first, last), about a million at a time."""
     own = np.flatnonzero(~main)
     rest = np.repeat(last, last - first)[own] - 1 - own
     at = 0
     while at < len(own):
-        stop = max(at + 1, int(np.searchsorted(np.cumsum(rest[at:]), 1 << 22)) + at)
+        stop = max(at + 1, int(np.searchsorted(np.cumsum(rest[at:]), 1 << 20)) + at)
         n = rest[at:stop]
         i = np.repeat(own[at:stop], n)
         yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
@@ -332,7 +334,7 @@ def _links(documents: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _leaves(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     """Nodes that are compared exhaustively: small ones, and large ones branched until they are small."""
-    few = F.col("work") <= SMALL * SMALL
+    few = F.col("work") <= COMPARISONS * SMALL * SMALL
     leaves = nodes.filter(few).withColumn("part", F.lit(0).cast("long"))
     large = nodes.filter(~few)
     for _ in range(LEVELS):

@@ -56,6 +56,7 @@ def test_near_duplicates_in_large_nodes(documents, corpus, monkeypatch):
     """Branching, random parts and blocks are used when nodes may hold few members."""
     for levels in (6, 1):
         monkeypatch.setattr(near_dedup, "SMALL", 3)
+        monkeypatch.setattr(near_dedup, "COMPARISONS", 1)
         monkeypatch.setattr(near_dedup, "LEVELS", levels)
         got = by_row(near_dedup.near_duplicates(documents), "doc_id", "n_shingles", "component_id", "kept")
         assert got == plain_components(corpus)
