@@ -50,7 +50,7 @@ class Parities:
         for k in np.unique(kind).tolist():
             a, b = k >> 32, k & 0xFFFFFFFF
             to, mine = min(a, b), np.flatnonzero(kind == k)
-            step = max(1, (1 << 24) // to)
+            step = max(1, (1 << 22) // to)
             for lo in range(0, len(mine), step):
                 part = mine[lo : lo + step]
                 x = self._at(a, to)[self.row[i[part]]] ^ self._at(b, to)[self.row[j[part]]]

@@ -94,7 +94,7 @@ def held_out(doc_id: Column) -> Column:
 def _fit_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [
         (np.unique(features(text)).astype(np.int32), label)
-        for batch in batches
+        for batch in common.slices(batches)
         for text, label in zip(common.as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True)
     ]
     if not rows:
