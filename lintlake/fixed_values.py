@@ -155,6 +155,9 @@ AUTOMATABLE_STEPS = [
     "Dependency updates — automatable with dependabot/renovate",
 ]
 SCORE_CATEGORIES = ["quality", "structure", "security", "usefulness", "overall"]
+PATCHES_TITLE = "## Auto-Fix Patches"
+PATCHES_TOTAL = "**{n} patches generated**"
+NO_PATCHES = "No patches generated."
 PATCH_STATUS_LABELS = {"applied": "done", "would_apply": "ready", "generated": "pending"}
 
 # --- Fixed values: prompt budgets --------------------------------------------------------

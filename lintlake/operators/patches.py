@@ -124,3 +124,22 @@ def patch_lines(patches: DataFrame) -> DataFrame:
 
 def patch_totals(patches: DataFrame) -> DataFrame:
     return patches.groupBy("repo").agg(F.count(F.lit(1)).alias("n_patches"))
+
+
+def patch_section(patches: DataFrame, repos: DataFrame) -> DataFrame:
+    """The report's patches section (repo, block, name, line_no, line) for every repo of ``repos``.
+
+    Block 0 is the head, block n the n-th patch of the repo; a repo without patches says so.
+    """
+    none = F.array(F.lit(fv.PATCHES_TITLE), F.lit(""), F.lit(fv.NO_PATCHES))
+    some = F.array(
+        F.lit(fv.PATCHES_TITLE), F.lit(""), text.fill(fv.PATCHES_TOTAL, n=F.col("n_patches")), F.lit("")
+    )
+    heads = repos.select("repo").join(patch_totals(patches), "repo", "left")
+    head = heads.select(
+        "repo", F.lit(0).alias("block"),
+        F.posexplode_outer(F.when(F.col("n_patches") > 0, some).otherwise(none)).alias("line_no", "line"),
+    )
+    body = patch_lines(patches).join(repos.select("repo"), "repo", "left_semi")
+    body = body.select("repo", F.col("number").cast("int").alias("block"), "line_no", "line")
+    return head.unionByName(body).select("repo", "block", F.lit("").alias("name"), "line_no", "line")

@@ -12,12 +12,14 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake import fixed_values as fv
 from lintlake.functions import text
 from lintlake.functions.memo import per_application
+from lintlake.functions.ranking import durable
 from lintlake.operators.findings import ANALYZER_NO, CATEGORY, item
 
 FACTS_SCHEMA = """
@@ -54,6 +56,32 @@ def syntax_facts(files: DataFrame, with_source: bool = False) -> DataFrame:
     return python_files.mapInPandas(extract, FACTS_SCHEMA)
 
 
+def remembered_facts(files: DataFrame, folder: str, with_source: bool = False) -> DataFrame:
+    """``syntax_facts`` by way of a table of facts in ``folder``, named by the texts' md5.
+
+    Each distinct text is parsed once, whatever number of files and runs hold it: texts whose key is not in the table
+    yet are parsed and appended, then all files take their facts from it. Keys are found from narrow rows; only
+    the new texts are read again. Runs side by side may both append a key, so a key counts once when read.
+    """
+    spark, place = files.sparkSession, f"{folder}/{'with_source' if with_source else 'plain'}"
+    schema = FACTS_SCHEMA.replace("repo string, path string", "key string")
+    python_files = files.filter(F.col("path").endswith(".py")).select("repo", "path", "content", F.md5("content").alias("key"))
+    first = python_files.groupBy("key").agg(F.min(F.struct("repo", "path")).alias("at"))
+    try:
+        first = first.join(spark.read.schema(schema).parquet(place), "key", "left_anti")
+    except AnalysisException:  # no table yet
+        pass
+    new = durable(first.select("key", "at.repo", "at.path"))
+    if not new.isEmpty():
+        texts = python_files.join(new, ["repo", "path", "key"]).select(F.col("key").alias("repo"), "path", "content")
+        parsed = syntax_facts(texts, with_source).withColumnRenamed("repo", "key").drop("path")
+        parsed.write.mode("append").parquet(place)
+    elif python_files.isEmpty():
+        return syntax_facts(python_files, with_source)
+    known = spark.read.schema(schema).parquet(place).dropDuplicates(["key"])
+    return python_files.select("repo", "path", "key").join(known, "key").select(*_COLUMNS)
+
+
 def _facts_of(content: str, with_source: bool) -> tuple:
     """Flatten one syntax tree, breadth first, into lists of plain facts."""
     try:

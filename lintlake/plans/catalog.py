@@ -444,15 +444,24 @@ def _(spark, d):
 # --- syntax facts ----------------------------------------------------------------------------
 
 
-@query("ast0_facts")
-def _(spark, d):
-    return pyfacts.syntax_facts(fx.code_files(spark, d)).select(
+def _fact_counts(facts: DataFrame) -> DataFrame:
+    return facts.select(
         "repo", "path", "parsed", F.size("imports").alias("n_imports"), F.size("exports").alias("n_exports"),
         F.size("guarded").alias("n_guarded"), F.size("funcs").alias("n_funcs"),
         F.size("mutable").alias("n_mutable"),
     )
 
 
+@query("ast0_facts")
+def _(spark, d):
+    return _fact_counts(pyfacts.syntax_facts(fx.code_files(spark, d)))
+
+
+@query("ast0_remembered_facts")
+def _(spark, d):
+    return _fact_counts(pyfacts.remembered_facts(fx.code_files(spark, d), f"{shared_dir(spark)}/facts-{uuid.uuid4().hex}"))
+
+
 @query("ast0_syntax_notes")
 def _(spark, d):
     return pyfacts.syntax_notes(pyfacts.syntax_facts(fx.code_files(spark, d))).select("repo", "note")
@@ -917,6 +926,20 @@ def _(spark, d):
     return patches.patch_lines(done)
 
 
+@query("rep4_patches_section")
+def _(spark, d):
+    done = patches.apply_patches(_docs_patches(spark, d), fx.docs_files(spark, d), dry_run=True)
+    return patches.patch_section(done, scoring.repos_of(_both(spark, d)))
+
+
+@query("e1_smart_patches_section")
+def _(spark, d):
+    code, place = fx.code_files(spark, d), f"{shared_dir(spark)}/smart-{uuid.uuid4().hex}"
+    run = smart.smart_run(code, fx.verdict_answers, fx.review_answers(code), place)
+    pattern = text.java_pattern(fv.SECRET_PATTERNS[0][0])
+    return smart.smart_patches(run, code, lambda wanted: fx.fix_answers(code, pattern), place)[1]
+
+
 @query("tst1_public_functions")
 def _(spark, d):
     return pyfacts.public_functions(fx.code_files(spark, d)).select(

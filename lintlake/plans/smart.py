@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.operators import answers, pyfacts, report, scoring
+from lintlake.operators import answers, patches, pyfacts, report, scoring
 from lintlake.operators.findings import union_all
 from lintlake.options import DEFAULTS, Options
 from lintlake.plans.checks import all_findings, all_notes
@@ -59,10 +59,15 @@ def review_scores(review: DataFrame) -> DataFrame:
 
 def smart_run(
     files: DataFrame, verdicts: Callable[[DataFrame], DataFrame], reviews: DataFrame, folder: str, options: Options = DEFAULTS,
+    known_facts: str | None = None,
 ) -> SmartRun:
-    """``verdicts(findings)`` and ``reviews`` are the reviewer's answers as tables; ``files`` is read for the checks only."""
+    """``verdicts(findings)`` and ``reviews`` are the reviewer's answers as tables; ``files`` is read for the checks only.
+
+    ``known_facts`` is a folder that runs share: texts that an earlier run parsed are not parsed again.
+    """
     stages = Stages(files.sparkSession, folder)
-    facts = stages.table("facts", lambda: pyfacts.syntax_facts(files))
+    parse = (lambda: pyfacts.remembered_facts(files, known_facts)) if known_facts else (lambda: pyfacts.syntax_facts(files))
+    facts = stages.table("facts", parse)
     found = stages.table("findings", lambda: all_findings(files, options, facts))
     notes = stages.table("notes", lambda: all_notes(files, facts))
     valid = stages.table("validated", lambda: answers.validated(found, files, verdicts(found)))
@@ -82,3 +87,21 @@ def smart_run(
 def smart_report(run: SmartRun, files: DataFrame, generated: str, extra: dict | None = None) -> DataFrame:
     """Report lines over the findings that are kept."""
     return report.report_lines(run.kept, run.cards, report.describe(files), run.notes, generated, smart=True, extra=extra or {})
+
+
+def smart_patches(
+    run: SmartRun, files: DataFrame, fixes: Callable[[DataFrame], DataFrame], folder: str, apply: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Patches for the findings that are kept, and the report's section on them (``extra={report.PATCHES: ...}``).
+
+    ``fixes(fixable findings)`` are the reviewer's answers. With ``apply`` the patched files become the table ``patched``
+    of the folder; the input stays as it is. Patches with and without ``apply`` are tables of their own.
+    """
+    stages = Stages(files.sparkSession, folder)
+    wanted = stages.table("fixable", lambda: patches.fixable(run.kept, files))
+    asked = stages.table("proposed", lambda: patches.proposed(wanted, files, fixes(wanted)))
+    name = "patches_applied" if apply else "patches"
+    done = stages.table(name, lambda: patches.apply_patches(asked, files, dry_run=not apply))
+    if apply:
+        stages.table("patched", lambda: patches.patched_files(asked, files))
+    return done, patches.patch_section(done, run.cards)

@@ -203,6 +203,7 @@ add("ast0_facts", (*_AST, f"counts(s, n_imports, n_exports, n_guarded, n_funcs,
                   ["n_imports", "n_exports", "n_guarded", "n_funcs", "n_mutable"])
     + """ FROM code LEFT JOIN file_snippet f ON f.repo = code.repo AND f.path = code.path
 LEFT JOIN counts USING (s) WHERE ends_with(code.path, '.py')""")
+ORACLE["ast0_remembered_facts"] = ORACLE["ast0_facts"]
 
 # Imports and public functions per snippet, by hand: (snippet, name, line, guarded) and
 # (snippet, order, name, first line, last line).
@@ -311,6 +312,19 @@ FROM (SELECT repo, number, ['### Patch ' || number || ': ' || finding,
       || {_DIFF('original', '- ')} || {_DIFF('fixed', '+ ')} || ['```', ''] AS lines
   FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path, seq) AS number FROM once))""")
 
+_PATCHES_SECTION = f"""all_repos AS (SELECT DISTINCT repo FROM code UNION SELECT DISTINCT repo FROM docs),
+patch_blocks AS (
+  SELECT repo, 0 AS block, CASE WHEN n > 0 THEN [{lit(fv.PATCHES_TITLE)}, '', '**' || n || ' patches generated**', '']
+    ELSE [{lit(fv.PATCHES_TITLE)}, '', {lit(fv.NO_PATCHES)}] END AS lines
+  FROM all_repos LEFT JOIN (SELECT repo, count(*) AS n FROM once GROUP BY repo) USING (repo)
+  UNION ALL SELECT repo, number, ['### Patch ' || number || ': ' || finding,
+      '**File:** `' || path || '` | **Status:** ready', '', explanation, '', '```diff']
+    || {_DIFF('original', '- ')} || {_DIFF('fixed', '+ ')} || ['```', '']
+  FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path, seq) AS number FROM once))"""
+_BLOCK_LINES = "CAST(unnest(range(0, len(lines))) AS INTEGER) AS line_no, unnest(lines) AS line FROM patch_blocks"
+add("rep4_patches_section", (*_CODE, *_PATCHED, _PATCHES_SECTION),
+    f"SELECT repo, CAST(block AS INTEGER) AS block, '' AS name, {_BLOCK_LINES}")
+
 # --- runs and windows ------------------------------------------------------------------------------
 
 _PREV = """prev AS (SELECT *, lag({c}) OVER (PARTITION BY repo ORDER BY run_ts, run_id) AS previous FROM runs)"""
@@ -665,6 +679,23 @@ FROM card LEFT JOIN (SELECT repo, count(*) AS k, count(*) FILTER (WHERE severity
 LEFT JOIN (SELECT repo, count(*) AS b FROM findings GROUP BY repo) USING (repo)
 LEFT JOIN (SELECT repo, count(*) AS a FROM validated GROUP BY repo) USING (repo)
 LEFT JOIN (SELECT repo, count(*) AS c FROM ai GROUP BY repo) USING (repo) LEFT JOIN ai_score USING (repo)""")
+_SMART_FIXES = f"""wanted AS (
+  SELECT *, row_number() OVER (PARTITION BY repo, file ORDER BY {v.ORDER}) AS idx FROM kept
+  WHERE severity IN ('critical', 'high', 'medium') AND EXISTS (FROM code WHERE code.repo = kept.repo AND path = file)),
+hit_docs AS (
+  SELECT repo, path, content, {_HIT} AS hit FROM code
+  WHERE {_HIT} <> '' AND EXISTS (FROM wanted WHERE wanted.repo = code.repo AND file = path)),
+answered AS (
+  SELECT repo, path, content, 0 AS seq, 1 AS idx, hit AS original, {lit(_FIXED)} AS fixed, 'read from the environment' AS explanation
+  FROM hit_docs
+  UNION ALL SELECT repo, path, content, 2, 9, 'e', 'E', 'occurs many times' FROM hit_docs WHERE contains(content, 'e')),
+once AS (
+  SELECT a.repo, path, seq, coalesce(title, 'Fix') AS finding, original, fixed, explanation
+  FROM answered a LEFT JOIN wanted w ON w.repo = a.repo AND w.file = a.path AND w.idx = a.idx
+  WHERE {_TIMES('original')} = 1)"""
+add("e1_smart_patches_section", (*v.ALL_FINDINGS, _ALL_VERDICTS, _AI, _KEPT, v.DOCS, _SMART_FIXES,
+                                 _PATCHES_SECTION.replace(" UNION SELECT DISTINCT repo FROM docs", "")),
+    f"SELECT repo, CAST(block AS INTEGER) AS block, '' AS name, {_BLOCK_LINES}")
 add("e1_smart_top_findings", (*v.ALL_FINDINGS, _ALL_VERDICTS, _AI, _KEPT), f"""SELECT repo, CAST(rank AS INTEGER) AS rank, analyzer, file,
   severity, title, description, line
 FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY {_RANK}, {v.ORDER}) AS rank FROM kept) WHERE rank <= 5""")

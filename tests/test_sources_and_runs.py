@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import random
 import re
@@ -176,6 +177,35 @@ def test_review_scores(spark):
     assert got == {"a": 4.5, "b": 1.0, "c": 9.7}
 
 
+def test_patches_of_a_reviewed_run(spark, tmp_path):
+    """Only findings that are kept are patched; the section names every repo; applied patches make a new table."""
+    key = 'api_key = "abcdefghijklmnop1234"'
+    files = files_of(spark, [("r", "a.py", f"{key}\nx = 1\n"), ("r", "b.py", f"{key}\n"), ("s", "c.py", "x = 1\n")])
+
+    def verdicts(found):  # everything in b.py is a false alarm
+        n = found.filter("file = 'b.py'").groupBy("repo", F.col("file").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+        entry = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.struct(i.alias("index"), F.lit(False).alias("valid")))
+        return n.select("repo", "key", F.to_json(entry).alias("text"))
+
+    reviews = spark.createDataFrame([], "repo string, text string")
+    place = str(tmp_path / "run")
+    run = smart.smart_run(files, verdicts, reviews, place, known_facts=str(tmp_path / "facts"))
+    fix = json.dumps([{"finding_index": 1, "original": key, "fixed": "api_key = read()", "explanation": "why"}])
+    fixes = lambda wanted: wanted.select("repo", F.col("file").alias("key")).distinct().withColumn("text", F.lit(fix))
+    for apply, label in ((False, "ready"), (True, "done")):
+        done, section = smart.smart_patches(run, files, fixes, place, apply)
+        assert [(r.repo, r.path) for r in done.collect()] == [("r", "a.py")]
+        lines = {repo: [r.line for r in section.filter(F.col("repo") == repo).orderBy("block", "line_no").collect()] for repo in "rs"}
+        assert lines["s"] == ["## Auto-Fix Patches", "", "No patches generated."]
+        assert lines["r"][:4] == ["## Auto-Fix Patches", "", "**1 patches generated**", ""]
+        assert lines["r"][5:] == [f"**File:** `a.py` | **Status:** {label}", "", "why", "", "```diff", f"- {key}", "+ api_key = read()", "```", ""]
+    patched = {r.path: r.content for r in spark.read.parquet(f"{place}/patched").collect()}
+    assert patched == {"a.py": "api_key = read()\nx = 1\n", "b.py": f"{key}\n", "c.py": "x = 1\n"}
+    text = [r.line for r in smart.report.in_order(smart.smart_report(run, files, "now", {smart.report.PATCHES: section})).filter("repo = 'r'").collect()]
+    at = text.index("## Auto-Fix Patches")
+    assert text[at - 2 : at] == ["", ""] and text[at + len(lines["r"]) :][:2] == ["", "---"]
+
+
 # --- blocks of several widths --------------------------------------------------------------------
 
 
@@ -231,3 +261,24 @@ def test_files_that_are_nested_too_deeply(spark):
     files = files_of(spark, [("r", "deep.py", deep), ("r", "bad.py", "def ("), ("r", "chain.py", "x = " + "-" * (20 * sys.getrecursionlimit()) + "1")])
     notes = {r.path: r.note for r in pyfacts.syntax_notes(pyfacts.syntax_facts(files)).collect()}
     assert notes["bad.py"].endswith("syntax error") and notes["chain.py"].endswith("nested too deeply to be parsed")
+
+
+def test_texts_are_parsed_once(spark, tmp_path, monkeypatch):
+    """Copies share a parse, a second run parses new texts only, and the facts are those of ``syntax_facts``."""
+    rows = [("r", f"{i}.py", f"import os\ndef f{i % 3}(): pass\n") for i in range(9)] + [("s", "bad.py", "def ("), ("s", "a.md", "x")]
+    rows += [("s", "deep.py", "x = " + "-" * (20 * sys.getrecursionlimit()) + "1"), ("s", "empty.py", "")]
+    plain = lambda df: Counter(map(repr, df.collect()))
+    table = spark.read.schema("key string")
+    asked = []
+    monkeypatch.setattr(pyfacts, "syntax_facts", lambda f, s=False, own=pyfacts.syntax_facts: asked.append(f.count()) or own(f, s))
+    place = str(tmp_path / "facts")
+    first = pyfacts.remembered_facts(files_of(spark, rows), place)
+    assert asked == [6] and table.parquet(place + "/plain").count() == 6
+    assert plain(first) == plain(pyfacts.syntax_facts(files_of(spark, rows)))
+    asked.clear()
+    more = files_of(spark, [*rows, ("t", "new.py", "y = 2"), ("t", "old.py", rows[0][2])])
+    got = pyfacts.remembered_facts(more, place)
+    assert asked == [1] and plain(got) == plain(pyfacts.syntax_facts(more))
+    asked.clear()
+    assert plain(pyfacts.remembered_facts(more, place)) == plain(got) and not asked
+    assert not pyfacts.remembered_facts(more.limit(0), str(tmp_path / "none")).collect()
