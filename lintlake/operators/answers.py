@@ -29,11 +29,50 @@ def unfenced(answer: Column) -> Column:
     return F.get(F.transform(F.array(text.strip(answer)), open_up), F.lit(0))
 
 
-def parsed(answer: Column, schema: str) -> Column:
-    """The JSON array of an answer, null if it is not one."""
+def entries(answer: Column) -> Column:
+    """The entries of an answer's JSON array as variants; null if the answer is not one."""
     body = F.array(text.strip(unfenced(answer)))
-    return F.get(
-        F.transform(body, lambda b: F.when(b.startswith("["), F.from_json(b, schema))), F.lit(0)
+    whole = lambda b: b.startswith("[") & b.endswith("]")
+    read = lambda b: F.try_variant_get(F.try_parse_json(b), "$", "array<variant>")
+    return F.get(F.transform(body, lambda b: F.when(whole(b), read(b))), F.lit(0))
+
+
+def _truth(value: Column) -> Column:
+    """A flag by its JSON value: null, false, zero and empty values are no; null where there is none."""
+    kind, string = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    return (
+        F.when(value.isNull(), F.lit(None).cast("boolean"))
+        .when(F.is_variant_null(value), False)
+        .when(kind == "STRING", string != "")
+        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+        .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~string.isin("[]", "{}"))
+        .otherwise(F.try_variant_get(value, "$", "double") != 0)
+    )
+
+
+def _field(entry: Column, name: str, kind: str) -> Column:
+    """One field of an entry: whole numbers and flags by the JSON type, anything else as text."""
+    value = F.try_variant_get(entry, f"$.{name}", "variant")
+    if kind == "boolean":
+        return _truth(value)
+    if kind == "int":
+        return F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "int"))
+    return F.try_variant_get(value, "$", kind)
+
+
+def parsed(answer: Column, schema: str) -> Column:
+    """The JSON array of an answer, null if it is not one.
+
+    Every entry stands alone: one that is not an object is a null element, a field that is missing or of
+    another type is a null field, and neither touches its neighbours.
+    """
+    fields = [f.split(":") for f in schema.removeprefix("array<struct<").removesuffix(">>").split(",")]
+    return F.transform(
+        entries(answer),
+        lambda e: F.when(
+            F.schema_of_variant(e).startswith("OBJECT"),
+            F.struct(*[_field(e, name, kind).alias(name) for name, kind in fields]),
+        ),
     )
 
 
@@ -60,18 +99,18 @@ def with_file(findings: DataFrame, files: DataFrame) -> DataFrame:
 def validated(findings: DataFrame, files: DataFrame, responses: DataFrame) -> DataFrame:
     """Keep, rewrite or drop findings by the verdicts for their file.
 
-    ``responses(repo, key, text)``. Files without text, without an answer or with an unusable answer
-    keep their findings. Otherwise a finding stays only if a verdict names its index and does not call
-    it invalid. Only sizes, not texts, take part in the join with the files.
+    ``responses(repo, key, text)``. Files without text, without an answer or with an answer that is no JSON
+    array keep their findings. Otherwise a finding stays only if a verdict names its index and does not
+    call it invalid. An entry without an index is broken: the other verdicts hold, and as it may have been
+    about any finding that no verdict names, those stay unchanged. Only sizes, not texts, take part in the
+    join with the files.
     """
     verdicts = responses.select("repo", "key", parsed(F.col("text"), VERDICTS).alias("verdicts"))
     sizes = files.select("repo", F.col("path").alias("key"), "size")
     rows = indexed(findings).join(sizes, ["repo", "key"], "left").join(verdicts, ["repo", "key"], "left")
-    unusable = (
-        (F.coalesce("size", F.lit(0)) == 0)
-        | F.col("verdicts").isNull()
-        | F.exists("verdicts", lambda v: v["index"].isNull())
-    )
+    named = F.exists("verdicts", lambda v: F.coalesce(v["index"] == F.col("idx"), F.lit(False)))
+    broken = F.exists("verdicts", lambda v: v["index"].isNull())
+    untouched = (F.coalesce("size", F.lit(0)) == 0) | F.col("verdicts").isNull() | (broken & ~named)
     original = F.struct("suggestion", "description")
     better = lambda v: F.when(
         F.coalesce(v["improved_suggestion"], F.lit("")) != "", v["improved_suggestion"]
@@ -87,7 +126,7 @@ def validated(findings: DataFrame, files: DataFrame, responses: DataFrame) -> Da
             .alias("description"),
         ),
     )
-    kept = F.when(unusable, F.array(original)).otherwise(confirmed)
+    kept = F.when(untouched, F.array(original)).otherwise(confirmed)
     columns = [f"v.{c}" if c in ("suggestion", "description") else c for c in findings.columns]
     return text.explode_rows(rows, findings.columns, kept, "v").select(*columns)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake import fixed_values as fv
 from lintlake.functions import text
+from lintlake.functions.ranking import within_budget
 from lintlake.operators.answers import indexed
 
 _VALIDATE = """Check each numbered finding against this file.
@@ -89,15 +90,14 @@ def fix_prompts(fixes: DataFrame, files: DataFrame) -> DataFrame:
     return _filled(_per_file(fixes, files, True, None), _FIX)
 
 
-def review_budget(files: DataFrame, salts: int = 64) -> DataFrame:
+def review_budget(files: DataFrame, salts: int | None = None) -> DataFrame:
     """Files that enter the review of their repo, in path order, within the total budget.
 
     Columns: repo, path, n_chars, snippet_chars, before (characters of earlier snippets), included. The
     first file that passes the budget is kept as "not included", later ones are dropped.
 
-    A repo is first cut into ``salts`` independent groups. The running total inside a group is at
-    most the one over the repo, so dropping what is over budget inside its group loses nothing, and the
-    exact running total is then taken over the few survivors.
+    Only paths and lengths are dealt, by ranges of (repo, path), so one repo uses as many tasks as there are
+    ranges: ``salts`` of them, or the session's number of shuffle partitions.
     """
     n = F.length("content")
     over = F.lit(fv.REVIEW_SNIPPET_CHARS)
@@ -106,20 +106,11 @@ def review_budget(files: DataFrame, salts: int = 64) -> DataFrame:
     sized = files.filter(~text.ends_with_any(F.col("path"), fv.REVIEW_SKIP_SUFFIXES)).select(
         "repo", "path", n.alias("n_chars"),
         F.when(n > over, over + note).otherwise(n).alias("snippet_chars"),
-        F.pmod(F.xxhash64("path"), F.lit(salts)).alias("salt"),
     )
 
-    def before(*keys: str) -> Column:
-        w = Window.partitionBy(*keys).orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("snippet_chars").over(w), F.lit(0))
-
     budget = fv.REVIEW_TOTAL_CHARS
-    survivors = sized.withColumn("before", before("repo", "salt")).filter(F.col("before") <= budget)
-    return (
-        survivors.withColumn("before", before("repo"))
-        .filter(F.col("before") <= budget)
-        .withColumn("included", F.col("before") + F.col("snippet_chars") <= budget)
-        .drop("salt")
+    return within_budget(sized, ["repo"], ["path"], "snippet_chars", "before", budget, salts).withColumn(
+        "included", F.col("before") + F.col("snippet_chars") <= budget
     )
 
 

@@ -284,13 +284,16 @@ def _(spark, d):
     return projects.session_summary(session)
 
 
-def _docs_patches(spark: SparkSession, d: str) -> DataFrame:
-    docs = fx.docs_files(spark, d)
-    fixes = patches.fixable(_docs_secrets(spark, d), docs)
+def _patches_of(docs: DataFrame) -> DataFrame:
+    fixes = patches.fixable(_file_check(docs, "SEC1"), docs)
     replies = fx.fix_answers(docs, text.java_pattern(fv.SECRET_PATTERNS[0][0]))
     return patches.proposed(fixes, docs, replies)
 
 
+def _docs_patches(spark: SparkSession, d: str) -> DataFrame:
+    return _patches_of(fx.docs_files(spark, d))
+
+
 @query("snk6_patched_files")
 def _(spark, d):
     docs = fx.docs_files(spark, d)
@@ -299,6 +302,16 @@ def _(spark, d):
     )
 
 
+@query("snk6_bucketed_files")
+def _(spark, d):
+    name = f"files_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = sinks.write_bucketed_files(fx.docs_files(spark, d), name, f"{shared_dir(spark)}/{name}", buckets)
+    return patches.patched_files(_patches_of(docs), docs).select(
+        "repo", "path", "size", F.md5("content").alias("content_md5")
+    )
+
+
 @query("snk7_generated_test_files")
 def _(spark, d):
     tests = testgen.generated_tests(testgen.answered_tests(fx.test_answers(spark, d)))
@@ -905,6 +918,14 @@ def _(spark, d):
     )
 
 
+@query("ans2_mixed_verdicts")
+def _(spark, d):
+    code = fx.code_files(spark, d)
+    found = durable(_code_file_findings(spark, d))
+    replies = fx.with_broken_entries(fx.verdict_answers(found))
+    return answers.validated(found, code, replies).select(*CHECK_COLUMNS)
+
+
 @query("ans3_patches")
 def _(spark, d):
     return _docs_patches(spark, d)

@@ -74,6 +74,17 @@ def write_files(files: DataFrame, path: str) -> None:
     files.write.mode("errorifexists").parquet(path)
 
 
+def write_bucketed_files(files: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """A files table in buckets of (repo, path), sorted, under ``path``; gives the table back.
+
+    Texts are dealt once, while it is written: joins and groupings by (repo, path) then move the other side
+    only. For that ``buckets`` has to be at least the session's number of shuffle partitions.
+    """
+    dealt = files.repartition(buckets, "repo", "path")
+    dealt.write.bucketBy(buckets, "repo", "path").sortBy("repo", "path").option("path", path).saveAsTable(table)
+    return files.sparkSession.table(table)
+
+
 def generated_test_files(tests: DataFrame) -> DataFrame:
     size: Column = F.octet_length("code").cast("long")
     return tests.select("repo", F.col("test_path").alias("path"), F.col("code").alias("content"), size.alias("size"))

@@ -393,6 +393,12 @@ def verdict_answers(findings: DataFrame) -> DataFrame:
     return n.select("repo", "key", answer.alias("text"))
 
 
+def with_broken_entries(responses: DataFrame) -> DataFrame:
+    """The same answers with a number and an object without index in front of their first entry."""
+    mixed = F.regexp_replace("text", r"\[\{", '[7,{"valid":false},{')
+    return responses.withColumn("text", mixed)
+
+
 def review_answers(files: DataFrame) -> DataFrame:
     """(repo, text) for the whole-repo review; the number in the repo name decides the shape."""
     repos = files.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
