@@ -1,6 +1,6 @@
 """Python syntax facts and the checks on them.
 
-The only Python-worker code of the checks: ``mapInPandas`` parses each ``.py`` file with the standard
+The only Python-worker code of the checks: ``mapInArrow`` parses each ``.py`` file with the standard
 library and returns one row of facts per file (arrays of imports, names, functions ...). Everything
 decided from the facts is a JVM expression on that row, so no check needs a shuffle.
 """
@@ -11,7 +11,7 @@ import ast
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,21 +39,36 @@ _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _BATCH_ROWS = 64
 
 
+def _list(**fields: pa.DataType) -> pa.DataType:
+    return pa.list_(pa.struct(fields.items()))
+
+
+#: FACTS_SCHEMA for Arrow, which turns the parser's plain values into columns as they are.
+_ARROW = pa.schema([
+    ("repo", pa.string()), ("path", pa.string()), ("parsed", pa.bool_()), ("too_deep", pa.bool_()),
+    ("imports", _list(name=pa.string(), line=pa.int32())),
+    ("names", pa.list_(pa.string())),
+    ("exports", pa.list_(pa.string())),
+    ("guarded", _list(lo=pa.int32(), hi=pa.int32())),
+    ("funcs", _list(**{"name": pa.string(), "class": pa.string(), "line": pa.int32(), "end_line": pa.int32(), "is_async": pa.bool_(),
+                       "typed": pa.bool_(), "decisions": pa.int32(), "source": pa.string()})),
+    ("mutable", _list(name=pa.string(), line=pa.int32(), kind=pa.string())),
+])
+
+
 def syntax_facts(files: DataFrame, with_source: bool = False) -> DataFrame:
     """One facts row per ``.py`` file."""
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for repo, path, content in batch[["repo", "path", "content"]].itertuples(index=False):
-                rows.append((repo, path, *_facts_of(content, with_source)))
-                if len(rows) >= _BATCH_ROWS:
-                    yield pd.DataFrame(rows, columns=_COLUMNS)
-                    rows = []
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+            for start in range(0, batch.num_rows, _BATCH_ROWS):
+                repos, paths, contents = (c.to_pylist() for c in batch.slice(start, _BATCH_ROWS).columns)
+                facts = zip(*(_facts_of(content, with_source) for content in contents), strict=True)
+                columns = zip([repos, paths, *facts], _ARROW.types, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], schema=_ARROW)
 
     python_files = files.filter(F.col("path").endswith(".py")).select("repo", "path", "content")
-    return python_files.mapInPandas(extract, FACTS_SCHEMA)
+    return python_files.mapInArrow(extract, FACTS_SCHEMA)
 
 
 def remembered_facts(files: DataFrame, folder: str, with_source: bool = False) -> DataFrame:

@@ -282,3 +282,12 @@ def test_texts_are_parsed_once(spark, tmp_path, monkeypatch):
     asked.clear()
     assert plain(pyfacts.remembered_facts(more, place)) == plain(got) and not asked
     assert not pyfacts.remembered_facts(more.limit(0), str(tmp_path / "none")).collect()
+
+
+def test_code_view_uses_all_cores(spark):
+    """Its source columns are few bytes, but they become whole files: they stay dealt out, and parsing keeps up with the other checks."""
+    code = fixtures.code_files(spark, SMALL)
+    assert code.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    facts = pyfacts.syntax_facts(code)
+    assert "MapInArrow" in facts._jdf.queryExecution().toString()
+    assert facts.count() == code.filter("endswith(path, '.py')").count()
