@@ -40,9 +40,9 @@ from lintlake import fixed_values as fv
 from lintlake.sources.files import collected, decode, normalize_path
 
 RAW_SCHEMA = "repo string, path string, raw binary, size long, error string"
-#: Folders that planning aims at, and bytes of the files in one batch, about.
+#: Folders that planning aims at, and bytes of the files in one batch, about: a worker holds a batch as files and as Arrow.
 PARTS = 64
-BATCH_BYTES = 32 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 #: What stands in ``error``; a file with bad bytes is taken, with a mark in place of each.
 TOO_LARGE, UNREADABLE, BAD_BYTES = "too large", "unreadable", "invalid bytes"
 

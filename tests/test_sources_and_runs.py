@@ -291,3 +291,12 @@ def test_code_view_uses_all_cores(spark):
     facts = pyfacts.syntax_facts(code)
     assert "MapInArrow" in facts._jdf.queryExecution().toString()
     assert facts.count() == code.filter("endswith(path, '.py')").count()
+
+
+def test_batches_of_a_folder_are_small(tmp_path):
+    """A worker holds a few MB of files at a time, and every file comes."""
+    make_tree(tmp_path, {f"f{i:02d}.py": b"x" * 400_000 for i in range(60)})
+    reader = folder._Rows({"roots": json.dumps({"r": str(tmp_path)})})
+    batches = [b for f in folder.planned(reader.roots) for b in reader.read(f)]
+    assert max(b.nbytes for b in batches) < 6 * 1024 * 1024
+    assert sorted(p for b in batches for p in b.column("path").to_pylist()) == [f"f{i:02d}.py" for i in range(60)]
