@@ -34,15 +34,15 @@ def proposed(fixes: DataFrame, files: DataFrame, responses: DataFrame) -> DataFr
         F.coalesce("a.fixed", F.lit("")).alias("fixed"),
         F.coalesce("a.explanation", F.lit("")).alias("explanation"),
     ).filter(F.col("original") != "")
-    titles = indexed(fixes).select("repo", F.col("key").alias("path"), "idx", "title")
-    # Only files that have fixable findings were asked about.
-    asked = titles.select("repo", "path").distinct()
+    # Only files that have fixable findings were asked about. One row per file, so the findings are worked out once.
+    asked = indexed(fixes).groupBy("repo", F.col("key").alias("path")).agg(
+        F.map_from_entries(F.collect_list(F.struct("idx", "title"))).alias("titles")
+    )
     return (
-        rows.join(asked, ["repo", "path"], "left_semi")
+        rows.join(asked, ["repo", "path"])
         .join(files.select("repo", "path", "content"), ["repo", "path"])
         .filter(F.contains("content", "original"))
-        .join(titles, ["repo", "path", "idx"], "left")
-        .select("repo", "path", "seq", F.coalesce("title", F.lit("Fix")).alias("finding"),
+        .select("repo", "path", "seq", F.coalesce(F.try_element_at("titles", F.col("idx")), F.lit("Fix")).alias("finding"),
                 "original", "fixed", "explanation")
     )
 

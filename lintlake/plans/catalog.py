@@ -286,7 +286,7 @@ def _(spark, d):
 
 def _patches_of(docs: DataFrame) -> DataFrame:
     fixes = patches.fixable(_file_check(docs, "SEC1"), docs)
-    replies = fx.fix_answers(docs, text.java_pattern(fv.SECRET_PATTERNS[0][0]))
+    replies = fx.fix_answers(docs, fv.SECRET_PATTERNS[0][0])
     return patches.proposed(fixes, docs, replies)
 
 
@@ -949,7 +949,8 @@ def _(spark, d):
 
 @query("rep4_patches_section")
 def _(spark, d):
-    done = patches.apply_patches(_docs_patches(spark, d), fx.docs_files(spark, d), dry_run=True)
+    # Stored, as the section reads the patches for the heads and for the lines.
+    done = durable(patches.apply_patches(_docs_patches(spark, d), fx.docs_files(spark, d), dry_run=True))
     return patches.patch_section(done, scoring.repos_of(_both(spark, d)))
 
 
@@ -957,8 +958,7 @@ def _(spark, d):
 def _(spark, d):
     code, place = fx.code_files(spark, d), f"{shared_dir(spark)}/smart-{uuid.uuid4().hex}"
     run = smart.smart_run(code, fx.verdict_answers, fx.review_answers(code), place)
-    pattern = text.java_pattern(fv.SECRET_PATTERNS[0][0])
-    return smart.smart_patches(run, code, lambda wanted: fx.fix_answers(code, pattern), place)[1]
+    return smart.smart_patches(run, code, lambda wanted: fx.fix_answers(code, fv.SECRET_PATTERNS[0][0]), place)[1]
 
 
 @query("tst1_public_functions")
