@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null doc_id inside joins; larger than any real id, so a null id never represents others.
 NULL_ID = 2**63 - 1
+#: Rows of a few numbers that one task writes, see ``merged``.
+ROWS_A_TASK = 50_000
 
 _FOLD_ALNUM = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -34,8 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def merged(df: DataFrame, rows: int, each: int = ROWS_A_TASK) -> DataFrame:
+    """``df``, which has about so many rows, in one task for ``each`` of them, three a core at least.
+
+    A small table after a shuffle is otherwise a task (and a file, a Python worker) for each shuffle partition, however few
+    rows that has; a large one has more rows than partitions times ``each`` and stays as it is.
+    """
+    return df.coalesce(max(3 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    With ``rows``, about how many it has, by as few tasks as these need.
+    """
+    if rows is not None:
+        df = merged(df, rows)
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,25 +16,27 @@ def components(links: DataFrame) -> DataFrame:
     merged with another one: the number of rounds is logarithmic. Only minima are aggregated, so a vertex with very
     many links costs one row per task.
     """
-    edges = common.stored(links.filter("x <> y").select("x", "y").distinct())
+    edges = common.stored(links.filter("x <> y").select("x", "y").distinct(), links.count())
+    n = edges.count()
     ids = edges.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    named = common.stored(ids.withColumn("component", F.col("id")))
-    while not edges.isEmpty():
+    named = common.stored(ids.withColumn("component", F.col("id")), 2 * n)
+    while n:
         both = edges.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e"))
         least = both.select("e.*").groupBy("x").agg(F.min("y").alias("y"))
-        target = common.stored(least.select(F.col("x").alias("v"), F.least("x", "y").alias("t")))
+        target = common.stored(least.select(F.col("x").alias("v"), F.least("x", "y").alias("t")), 2 * n)
         for _ in range(2):
             further = target.select(F.col("v").alias("t"), F.col("t").alias("further"))
             target = target.join(further, "t", "left").select("v", F.coalesce("further", "t").alias("t"))
-        target = common.stored(target)
+        target = common.stored(target, 2 * n)
         named = common.stored(
             named.join(target, F.col("component") == F.col("v"), "left")
-            .select("id", F.coalesce("t", "component").alias("component"))
+            .select("id", F.coalesce("t", "component").alias("component")), named.count()
         )
         x = target.select(F.col("v").alias("x"), F.col("t").alias("tx"))
         y = target.select(F.col("v").alias("y"), F.col("t").alias("ty"))
         edges = common.stored(
             edges.join(x, "x").join(y, "y").filter("tx <> ty")
-            .select(F.least("tx", "ty").alias("x"), F.greatest("tx", "ty").alias("y")).distinct()
+            .select(F.least("tx", "ty").alias("x"), F.greatest("tx", "ty").alias("y")).distinct(), n
         )
+        n = edges.count()
     return named

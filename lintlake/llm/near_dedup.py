@@ -48,6 +48,10 @@ COMPARISONS = 64
 LEVELS = 16
 #: Sets held at once while links are confirmed, about.
 BLOCK = 64
+#: Sets that one task compares while links are confirmed, about, see ``common.merged``.
+SETS_A_TASK = 2000
+#: The same for members of nodes that are compared.
+COMPARED_A_TASK = 5000
 
 _RNG = np.random.default_rng(20)
 _MULTIPLY = (_RNG.integers(0, 2**63, TOKENS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -202,14 +206,15 @@ def _best(x: np.ndarray, y: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np
     return x[order], y[order], gap[order]
 
 
-def _similar_pairs(members: DataFrame, classes: DataFrame, all_pairs: bool) -> DataFrame:
-    """(x, y, gap): members of one (part, node) and of different components that the bound does not rule out.
+def _similar_pairs(members: DataFrame, classes: DataFrame, size: int, all_pairs: bool) -> DataFrame:
+    """(x, y, gap): members (about ``size`` rows) of one (part, node) and of different components that the bound does not rule out.
 
     With ``all_pairs`` all of them, x > y. Otherwise the most similar one for each x.
     """
     short = classes.select("id", F.col("n_shingles").alias("n"), "parity")
     rows = members.join(short, "id").select("part", "node", "id", "component", "n", "parity", "main")
     rows = rows.repartition("part", "node").sortWithinPartitions("part", "node", "main", "id")
+    rows = common.merged(rows, size, COMPARED_A_TASK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches):
@@ -270,6 +275,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     held = sets.join(wanted, "id", "left_semi").withColumnRenamed("id", "y")
     held = held.select(block, F.lit(0).alias("turn"), F.col("y").alias("x"), "shingles", F.lit(None).cast("array<long>").alias("ys"))
     rows = held.unionByName(asked).repartition("block").sortWithinPartitions("block", "turn")
+    rows = common.merged(rows, 2 * pairs.count(), SETS_A_TASK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, have = None, {}
@@ -311,27 +317,30 @@ def _shared_nodes(members: DataFrame) -> DataFrame:
 
 def _links(documents: DataFrame, classes: DataFrame) -> DataFrame:
     roots = common.stored(_roots(classes))
+    n_roots = roots.count()
     links, sets, named = None, None, None
     for turn in range(ROUNDS + 1):
         mine = roots.withColumn("component", F.col("id"))
         if turn:
             named = components(links)
             mine = roots.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        nodes = common.stored(_shared_nodes(mine))
+        nodes = common.stored(_shared_nodes(mine), n_roots)
+        size = nodes.count()
         if turn < ROUNDS:
             parts = F.ceil(F.col("size") / SMALL)
             dealt = nodes.withColumn("part", F.pmod(F.xxhash64(F.lit(turn), "node", "id"), parts))
-            asked = common.stored(_similar_pairs(dealt, classes, all_pairs=False))
+            asked = common.stored(_similar_pairs(dealt, classes, size, all_pairs=False))
             if sets is None:  # of all members that a later pair can name: those that met a similar one, or not all others
                 touched = asked.select(F.explode(F.array("x", "y")).alias("id")).union(nodes.filter(F.col("size") > SMALL).select("id"))
                 sets = _sets(documents, classes, touched.distinct())
             pairs = asked.groupBy("x").agg(F.min_by("y", F.struct("gap", "y")).alias("y"))
         else:
-            pairs = _similar_pairs(_leaves(nodes, classes), classes, all_pairs=True)
-        pairs = common.stored(pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+            leaves = _leaves(nodes, classes)
+            pairs = _similar_pairs(leaves, classes, leaves.count(), all_pairs=True)
+        pairs = common.stored(pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), size)
         blocks = _in_component_blocks(sets, named) if named is not None else sets.withColumn("block", F.xxhash64("id"))
         found = _confirmed(pairs, blocks)
-        links = common.stored(links.unionByName(found) if links is not None else found)
+        links = common.stored(links.unionByName(found) if links is not None else found, size)
     return links
 
 
