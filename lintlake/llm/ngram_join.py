@@ -41,6 +41,9 @@ HELD = 512
 ASKS = 1024
 #: Fragments (a power of two) in which partial overlaps are counted.
 FRAGMENTS = 4
+#: Rows that one task compares by parities, and pieces of sets that it counts overlaps of, about, see ``common.merged``.
+COMPARED_A_TASK = 5000
+PIECES_A_TASK = 8000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SIGNED = "doc_id long, h long, n_shingles long, id long, signatures binary, parity binary"
@@ -109,7 +112,10 @@ def _signed(documents: DataFrame) -> DataFrame:
 
 
 def _members(signed: DataFrame) -> DataFrame:
-    """(signature, id, least) of the signatures that several sets have; least: the smallest id among them."""
+    """(signature, id, least, weight) of the signatures that several sets have.
+
+    least: the smallest id among them; weight: the number of signatures that the very same sets have.
+    """
 
     def work(columns: list[pa.Array]) -> dict[str, object]:
         cells = columns[1].to_pylist()
@@ -119,7 +125,12 @@ def _members(signed: DataFrame) -> DataFrame:
 
     rows = common.map_columns(signed, ["id", "signatures"], "signature long, id long", work)
     shared = rows.groupBy("signature").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most")
-    return rows.join(shared.select("signature", "least"), "signature").distinct()
+    members = common.stored(rows.join(shared.select("signature", "least"), "signature").distinct())
+    # Signatures with the same members would give the same pairs once each: one of them stands for all.
+    name = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"h{k}") for k in range(2)]
+    same = members.groupBy("signature").agg(F.count(F.lit(1)).alias("size"), *name).groupBy("size", "h0", "h1")
+    kinds = same.agg(F.min("signature").alias("signature"), F.count(F.lit(1)).alias("weight")).select("signature", "weight")
+    return members.join(kinds, "signature")
 
 
 def _pieces(documents: DataFrame, signed: DataFrame, ids: DataFrame) -> DataFrame:
@@ -158,6 +169,7 @@ def _confirmed(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
     held = held.join(pieces.withColumnRenamed("id", "y"), "y")
     held = held.select("y", "grp", "fragment", F.lit(0).alias("turn"), F.col("y").alias("x"), "n", "shingles")
     rows = held.unionByName(asks).repartition("y", "grp", "fragment").sortWithinPartitions("y", "grp", "fragment", "turn")
+    rows = common.merged(rows, 2 * FRAGMENTS * pairs.count(), PIECES_A_TASK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, have, n_have = None, None, 0
@@ -202,6 +214,7 @@ def _possible(groups: DataFrame, shapes: DataFrame, best: bool) -> DataFrame:
     """(x, y, gap): pairs of different components that the parities don't rule out; with ``best`` one for each that asks."""
     rows = groups.join(shapes, "id").select("signature", "part", "turn", "id", "component", "n", "parity")
     rows = rows.repartition("signature", "part").sortWithinPartitions("signature", "part", "turn")
+    rows = common.merged(rows, groups.count(), COMPARED_A_TASK)
 
     def compared(held: tuple, i: int, component: int, n: int, parity: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids and gaps of the held members that the asking one may be linked with."""
@@ -246,23 +259,24 @@ def _possible(groups: DataFrame, shapes: DataFrame, best: bool) -> DataFrame:
 def links(documents: DataFrame, signed: DataFrame) -> DataFrame:
     """(x, y): links between the names of different sets; enough of them to connect all sets that are linked."""
     members = common.stored(_members(signed))
+    n_members = members.count()
     ids = members.select("id").distinct()
     pieces = common.stored(_pieces(documents, signed, ids))
     shapes = signed.select("id", F.col("n_shingles").alias("n"), "parity").join(ids, "id", "left_semi").dropDuplicates(["id"])
     shapes = common.stored(shapes)
 
-    asks = members.filter("id <> least").groupBy("id", "least").agg(F.count(F.lit(1)).alias("n"))
+    asks = members.filter("id <> least").groupBy("id", "least").agg(F.sum("weight").alias("n"))
     one = asks.groupBy(F.col("id").alias("x")).agg(F.max_by("least", F.struct("n", "least")).alias("y"))
-    found = common.stored(_confirmed(common.stored(one), pieces))
+    found = common.stored(_confirmed(common.stored(one, n_members), pieces), n_members)
     for best in (True, False):
-        groups = common.stored(_groups(members, components(found)))
+        groups = common.stored(_groups(members, components(found)), n_members)
         if groups.isEmpty():
             break
         pairs = _possible(groups, shapes, best)
         if best:
             pairs = pairs.groupBy("x").agg(F.min_by("y", F.struct("gap", "y")).alias("y"))
-        pairs = common.stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-        found = common.stored(found.unionByName(_confirmed(pairs, pieces)))
+        pairs = common.stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), n_members)
+        found = common.stored(found.unionByName(_confirmed(pairs, pieces)), n_members)
     return found
 
 

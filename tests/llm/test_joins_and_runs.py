@@ -203,6 +203,17 @@ def test_ngram_join_near_the_threshold(spark, documents, monkeypatch, seed, held
     assert by_row(ngram_join.ngram_components(df), *JOIN_COLUMNS) == plain_join(rows)
 
 
+def test_equal_groups_are_compared_once(spark, documents):
+    """Of the signatures that the very same sets have, one is kept: a pair of near copies is no row for each of them."""
+    words = [f"w{i}" for i in range(900)]
+    rows = [(k, " ".join([*words[:800], f"end{k}"]), None, None, None, None, None, None, None, None) for k in range(6)]
+    signed = ngram_join._signed(spark.createDataFrame(rows, documents.schema))
+    holders = defaultdict(set)
+    for r in ngram_join._members(signed).collect():
+        holders[r.signature].add(r.id)
+    assert len(holders) == len(set(map(frozenset, holders.values()))) < 10
+
+
 def test_linked_sets_share_a_signature():
     """Every pair at or above the threshold, however its shingles lie, has a common signature and passes the parities."""
     rng = np.random.default_rng(7)
