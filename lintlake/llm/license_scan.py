@@ -31,6 +31,8 @@ CONFIDENT = 0.5
 CONFIRMED = 0.6
 #: Words that a window over several lines has besides those of the longest template.
 SLACK = 20
+#: Candidate lines for one file of the names of documents that are read again, about.
+LINES_A_FILE = 1_000_000
 NONE = "none"
 
 # Usual wordings of licence statements, by family.
@@ -171,6 +173,13 @@ def candidate_lines(documents: DataFrame, wanted: set[str] | None) -> DataFrame:
     return common.stored(lines)
 
 
+def _named(documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """The documents with one of the names (a, b), once each; these are few of them as a rule."""
+    body = F.coalesce("text", F.lit(""))
+    again = documents.withColumn("a", F.xxhash64("doc_id", body)).withColumn("b", F.xxhash64(body, "doc_id"))
+    return again.join(asked, ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
+
+
 def wrapped(documents: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """Notices that run over several lines: (a, b, pos, stop, line, words); pos and stop are the first and last line.
 
@@ -193,9 +202,9 @@ def wrapped(documents: DataFrame, candidates: DataFrame | None = None) -> DataFr
     held = lambda rows, c: rows.withColumn(c, F.array(c)).withColumn(c, F.explode_outer(c))
     parts = candidates.select("a", "b", "words").filter(F.size("words") > 0).filter(F.arrays_overlap(_triples(F.col("words")), wording))
     asked = alone(parts).filter(~F.col("alone")).select("a", "b").distinct()
-    body = F.coalesce("text", F.lit(""))
-    again = documents.withColumn("a", F.xxhash64("doc_id", body)).withColumn("b", F.xxhash64(body, "doc_id"))
-    lines = paragraphs(again.join(asked, ["a", "b"], "left_semi").dropDuplicates(["a", "b"]))
+    # Stored in few files, so that planning sees how few documents these are; else all texts would be shuffled to find them.
+    asked = common.stored(common.merged(asked, candidates.count(), LINES_A_FILE))
+    lines = paragraphs(_named(documents, asked))
     lines = alone(held(lines, "words").filter(F.size("words") > 0)).filter(~F.col("alone"))
     order = Window.partitionBy("a", "b").orderBy("pos")
     blocks = (

@@ -170,6 +170,26 @@ def test_suspects_lose_no_statement(spark):
     assert Counter(some) == Counter(license_scan.statements(documents, scanner).drop("confidence", "share").collect())
 
 
+def test_texts_are_not_shuffled_for_wrapped_notices(spark, monkeypatch):
+    """The documents that are read again are few, and planning knows it: the join broadcasts their names, not by a hint."""
+    documents = table(spark, MIDDLE, "documents").select("doc_id", "text")
+    plans, named = [], license_scan._named
+
+    def seen(documents, asked):
+        found = named(documents, asked)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(license_scan, "_named", seen)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32k")
+    try:
+        license_scan.wrapped(documents)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+
+
 KNOWN = {
     "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Released under the MIT License.": "mit",
     "This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under CC BY-NC 4.0.": "cc-by-nc",
