@@ -11,9 +11,10 @@ signature. Documents near the upper end of their class are in the next one too;
 also get a signature that stands for that. So no link is lost.
 
 Links. A set shares a signature with few others, unless these are copies. Each set first asks one candidate, then the most similar
-one of another component, then, in groups that still hold several components, all members of other components that can
-reach the threshold by a bound: the parities of hashed n-grams differ in no more places than the sets do. Pairs are
-confirmed on the full sets: each fragment counts its partial overlaps by itself, and the counts are summed per pair.
+one of another component. Then, in groups that still hold several components, members that can reach the threshold by a bound
+(the parities of hashed n-grams differ in no more places than the sets do) are gathered, each in one place, and those of
+different components are compared there by their full sets; only links leave. Pairs are confirmed on the full
+sets: each fragment counts its partial overlaps by itself, and the counts are summed per pair.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ from lintlake.llm.parity import folded, parities
 SHINGLE = 4
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Members of a signature that one task holds.
+#: Members of a signature that one task holds, and n-grams of a member, about, where full sets are held.
 HELD = 512
+SHINGLES_HELD = 1000
 #: Sets that ask one other set in one task.
 ASKS = 1024
 #: Fragments (a power of two) in which partial overlaps are counted.
@@ -193,67 +195,179 @@ def _confirmed(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
     return whole.filter(f"100 * overlap >= {PERCENT} * (sizes - overlap)").select("x", "y")
 
 
-def _groups(members: DataFrame, named: DataFrame) -> DataFrame:
-    """Members of the signatures that hold several components, dealt into parts of at most about ``HELD``.
+def _groups(members: DataFrame, named: DataFrame, load: Column | None = None) -> DataFrame:
+    """Members of the signatures that hold several components, dealt into parts of a ``load`` of at most about ``HELD``.
 
     Each is held in one part (turn 0). Those outside the largest component also ask in all parts (turn 1).
     """
-    placed = members.select("signature", "id").join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = placed.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("signature").agg(
-        F.sum("n").alias("size"), F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("n", "component")).alias("largest")
+    placed = members.select("signature", "id", (F.lit(1) if load is None else load).alias("load")).join(named, "id", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "id"))
+    sizes = placed.groupBy("signature", "component").agg(F.sum("load").alias("load"), F.count(F.lit(1)).alias("n")).groupBy("signature").agg(
+        F.sum("load").alias("load"), F.count(F.lit(1)).alias("kinds"), F.max_by("component", F.struct("n", "component")).alias("largest")
     )
-    sizes = sizes.filter("kinds > 1").select("signature", F.ceil(F.col("size") / HELD).alias("parts"), "largest")
-    met = placed.join(sizes, "signature")
+    sizes = sizes.filter("kinds > 1").select("signature", F.ceil(F.col("load") / HELD).alias("parts"), "largest")
+    met = placed.drop("load").join(sizes, "signature")
     held = met.select("signature", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.lit(0).alias("turn"), "id", "component")
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
     asks = met.filter("component <> largest").select("signature", part, F.lit(1).alias("turn"), "id", "component")
     return held.unionByName(asks)
 
 
-def _possible(groups: DataFrame, shapes: DataFrame, best: bool) -> DataFrame:
-    """(x, y, gap): pairs of different components that the parities don't rule out; with ``best`` one for each that asks."""
-    rows = groups.join(shapes, "id").select("signature", "part", "turn", "id", "component", "n", "parity")
+def _met(groups: DataFrame, of_id: DataFrame) -> DataFrame:
+    """The rows of ``groups`` with the columns of ``of_id``, a group after the other, those that are held first."""
+    rows = groups.join(of_id, "id").select("signature", "part", "turn", "id", "component", *[c for c in of_id.columns if c != "id"])
     rows = rows.repartition("signature", "part").sortWithinPartitions("signature", "part", "turn")
-    rows = common.merged(rows, groups.count(), COMPARED_A_TASK)
-
-    def compared(held: tuple, i: int, component: int, n: int, parity: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and gaps of the held members that the asking one may be linked with."""
-        ids, components, sizes, words, width = held
-        own = folded([parity], min(width, len(parity)))[0]
-        if len(parity) < width:
-            words = np.bitwise_xor.reduce(words.reshape(len(ids), -1, len(parity) // 8), axis=1)
+    return common.merged(rows, groups.count(), COMPARED_A_TASK)
+
+
+def _asking(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[list[list], list]]:
+    """Every row that asks, after the rows that its group holds (one list for the whole group)."""
+    at, held = None, []
+    for batch in common.slices(batches, rows):
+        for signature, part, turn, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (signature, part) != at:
+                at, held = (signature, part), []
+            if turn == 0:
+                held.append(row)
+            elif held:
+                yield held, row
+
+
+class _Shapes:
+    """Sizes and parities of the members that a group holds."""
+
+    def __init__(self, held: list[list]):
+        self.width = min(len(h[3]) for h in held)
+        self.ids, self.components, self.sizes = (np.array([h[k] for h in held]) for k in range(3))
+        self.words = folded([h[3] for h in held], self.width)
+
+    def possible(self, component: int, n: int, parity: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Places and gaps of the members of other components that a set of this shape may be linked with."""
+        words, own = self.words, folded([parity], min(self.width, len(parity)))[0]
+        if len(parity) < self.width:
+            words = np.bitwise_xor.reduce(words.reshape(len(words), -1, len(parity) // 8), axis=1)
         gap = np.bitwise_count(words ^ own).sum(axis=1, dtype=np.int64)
-        most = (100 - PERCENT) * (sizes + n) // (100 + PERCENT)
-        can = (gap <= most) & (np.abs(sizes - n) <= most) & (components != component)
-        return ids[can], (1000 * gap[can]) // (sizes[can] + n)
+        most = (100 - PERCENT) * (self.sizes + n) // (100 + PERCENT)
+        can = np.flatnonzero((gap <= most) & (np.abs(self.sizes - n) <= most) & (self.components != component))
+        return can, (1000 * gap[can]) // (self.sizes[can] + n)
+
+
+def _batch(rows: list[tuple], *names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(names, zip(*rows, strict=True), strict=True)})
+
+
+def _nearest(groups: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(x, y): for each member that asks, the most similar one of another component that the parities don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, waiting, held = None, [], None
-        for batch in common.slices(batches, 2000):
-            xs, ys, gaps = [], [], []
-            for signature, part, turn, i, component, n, parity in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (signature, part) != at:
-                    at, waiting, held = (signature, part), [], None
-                if turn == 0:
-                    waiting.append((i, component, n, parity))
-                    continue
-                if held is None:
-                    if not waiting:
-                        continue
-                    width = min(len(w[3]) for w in waiting)
-                    ids, components, sizes = (np.array([w[k] for w in waiting]) for k in range(3))
-                    held = (ids, components, sizes, folded([w[3] for w in waiting], width), width)
-                found, gap = compared(held, i, component, n, parity)
-                if best and len(found):
-                    one = np.lexsort((found, gap))[:1]
-                    found, gap = found[one], gap[one]
-                xs += [i] * len(found)
-                ys += found.tolist()
-                gaps += gap.tolist()
-            if xs:
-                yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in (("x", xs), ("y", ys), ("gap", gaps))})
-
-    return rows.mapInArrow(run, "x long, y long, gap long")
+        now, at, out = None, None, []
+        for held, (i, component, n, parity) in _asking(batches, 2000):
+            if held is not now:
+                now, at = held, _Shapes(held)
+            can, gap = at.possible(component, n, parity)
+            if len(can):
+                one = np.lexsort((at.ids[can], gap))[0]
+                out.append((i, int(at.ids[can[one]]), int(gap[one])))
+            if len(out) >= 10_000:
+                yield _batch(out, "x", "y", "gap")
+                out = []
+        if out:
+            yield _batch(out, "x", "y", "gap")
+
+    near = _met(groups, shapes).mapInArrow(run, "x long, y long, gap long")
+    return near.groupBy("x").agg(F.min_by("y", F.struct("gap", "y")).alias("y"))
+
+
+def _may_be_linked(groups: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(x, y): enough pairs to connect all members of different components that the parities don't rule out.
+
+    Each member is paired with the smallest id that it is connected with in its group, so rows are at most as many as
+    members, however many pairs are possible.
+    """
+
+    def connected(ids: np.ndarray, label: np.ndarray, asked: dict[int, int]) -> list[tuple]:
+        every = np.concatenate((ids, np.fromiter(asked, np.int64, len(asked))))
+        of = np.concatenate((label, label[np.fromiter(asked.values(), np.int64, len(asked))]))
+        least = np.full(len(ids), common.NULL_ID)
+        np.minimum.at(least, of, every)
+        return [(x, y) for x, y in zip(every.tolist(), least[of].tolist(), strict=True) if x != y]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, label, asked, out = None, None, None, {}, []
+        for held, (i, component, n, parity) in _asking(batches, 2000):
+            if held is not now:
+                if asked:
+                    out += connected(at.ids, label, asked)
+                now, at, label, asked = held, _Shapes(held), np.arange(len(held)), {}
+            can, _ = at.possible(component, n, parity)
+            if len(can):
+                label[np.isin(label, label[can])] = label[can[0]]
+                asked[i] = int(can[0])
+            if len(out) >= 10_000:
+                yield _batch(out, "x", "y")
+                out = []
+        if asked:
+            out += connected(at.ids, label, asked)
+        if out:
+            yield _batch(out, "x", "y")
+
+    return _met(groups, shapes).mapInArrow(run, "x long, y long").distinct()
+
+
+class _Sets:
+    """The full sets that a group holds, as one sorted list of n-grams with their owners."""
+
+    def __init__(self, held: list[list]):
+        self.ids, self.label = (np.array([h[k] for h in held]) for k in range(2))
+        sets = [_whole(h[2]) for h in held]
+        self.sizes = np.array([len(s) for s in sets])
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        self.shingles, self.owner = every[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def overlaps(self, own: np.ndarray) -> np.ndarray:
+        """How many n-grams of a set each of the sets has."""
+        first = np.searchsorted(self.shingles, own, "left")
+        times = np.searchsorted(self.shingles, own, "right") - first
+        at = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+        return np.bincount(self.owner[at], minlength=len(self.ids))
+
+
+def _whole(fragments: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(fragments), dtype=np.uint64)
+
+
+def _linked(groups: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(x, y): links that connect all members of different components whose full sets reach the threshold.
+
+    Sets are compared where they are held: what is not linked makes no row, and of links one for each two components.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, joined, out = None, None, {}, []
+        for held, (i, component, fragments) in _asking(batches, 200):
+            if held is not now:
+                now, at, joined = held, _Sets(held), {}
+            while component in joined:
+                component = joined[component]
+            own = _whole(fragments)
+            overlap = at.overlaps(own)
+            can = np.flatnonzero((100 * overlap >= PERCENT * (at.sizes + len(own) - overlap)) & (at.label != component))
+            labels, first = np.unique(at.label[can], return_index=True)
+            for label, k in zip(labels.tolist(), first.tolist(), strict=True):
+                out.append((i, int(at.ids[can[k]])))
+                joined[label] = component
+                at.label[at.label == label] = component
+            if len(out) >= 10_000:
+                yield _batch(out, "x", "y")
+                out = []
+        if out:
+            yield _batch(out, "x", "y")
+
+    whole = pieces.join(groups.select("id").distinct(), "id", "left_semi").groupBy("id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("fragment", "shingles"))), lambda p: p["shingles"]).alias("fragments")
+    )
+    return _met(groups, whole).mapInArrow(run, "x long, y long")
 
 
 def links(documents: DataFrame, signed: DataFrame) -> DataFrame:
@@ -265,19 +379,27 @@ def links(documents: DataFrame, signed: DataFrame) -> DataFrame:
     shapes = signed.select("id", F.col("n_shingles").alias("n"), "parity").join(ids, "id", "left_semi").dropDuplicates(["id"])
     shapes = common.stored(shapes)
 
+    def with_confirmed(found: DataFrame, pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        return common.stored(found.unionByName(_confirmed(common.stored(pairs, n_members), pieces)), n_members)
+
     asks = members.filter("id <> least").groupBy("id", "least").agg(F.sum("weight").alias("n"))
     one = asks.groupBy(F.col("id").alias("x")).agg(F.max_by("least", F.struct("n", "least")).alias("y"))
     found = common.stored(_confirmed(common.stored(one, n_members), pieces), n_members)
-    for best in (True, False):
-        groups = common.stored(_groups(members, components(found)), n_members)
-        if groups.isEmpty():
-            break
-        pairs = _possible(groups, shapes, best)
-        if best:
-            pairs = pairs.groupBy("x").agg(F.min_by("y", F.struct("gap", "y")).alias("y"))
-        pairs = common.stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), n_members)
-        found = common.stored(found.unionByName(_confirmed(pairs, pieces)), n_members)
-    return found
+    groups = common.stored(_groups(members, components(found)), n_members)
+    if groups.isEmpty():
+        return found
+    found = with_confirmed(found, _nearest(groups, shapes))
+    named = components(found)
+    groups = common.stored(_groups(members, named), n_members)
+    if groups.isEmpty():
+        return found
+    # What may still be linked is gathered once, whatever number of signatures it shares, and compared by full sets.
+    near = components(common.stored(_may_be_linked(groups, shapes), n_members))
+    load = F.greatest(F.lit(1), F.col("n") / SHINGLES_HELD)
+    gathered = near.select(F.col("component").alias("signature"), "id").join(shapes.select("id", "n"), "id")
+    blocks = common.stored(_groups(gathered, named, load), n_members)
+    return found if blocks.isEmpty() else with_confirmed(found, _linked(blocks, pieces))
 
 
 def ngram_components(documents: DataFrame) -> DataFrame:

@@ -214,6 +214,22 @@ def test_equal_groups_are_compared_once(spark, documents):
     assert len(holders) == len(set(map(frozenset, holders.values()))) < 10
 
 
+def test_last_round_makes_few_pairs(spark, documents, monkeypatch):
+    """Where the rounds before have connected nothing, the last one connects all copies, by a link for each and not by all pairs."""
+    words = [f"w{i}" for i in range(300)]
+    rows = [(k, " ".join([*words, f"end{k}"]), None, None, None, None, None, None, None, None) for k in range(40)]
+    confirmed, asked = ngram_join._confirmed, []
+
+    def late(pairs, pieces):
+        asked.append(pairs.count())
+        return confirmed(pairs, pieces) if len(asked) == 3 else confirmed(pairs, pieces).filter("false")
+
+    monkeypatch.setattr(ngram_join, "_confirmed", late)
+    df = spark.createDataFrame(rows, documents.schema)
+    assert by_row(ngram_join.ngram_components(df), *JOIN_COLUMNS) == plain_join(rows)
+    assert len(asked) == 3 and asked[-1] < 40
+
+
 def test_linked_sets_share_a_signature():
     """Every pair at or above the threshold, however its shingles lie, has a common signature and passes the parities."""
     rng = np.random.default_rng(7)
