@@ -63,7 +63,7 @@ _BLOCK = ["repo", "h", "h2"]
 
 
 def _block_members(files: DataFrame, options: Options, scope: str) -> DataFrame:
-    """(repo, h, h2, path, idx, width): every distinct block of a file by its two hashes, first position in the file.
+    """(repo, h, h2, path, idx): every distinct block of a file by its two hashes, first position in the file.
 
     Lines are hashed once; a block's hashes are those of its lines' hashes, so no block is built as a text. The
     width may differ by row.
@@ -80,10 +80,10 @@ def _block_members(files: DataFrame, options: Options, scope: str) -> DataFrame:
         F.filter(starts, lambda i: chars(i) >= F.col("least")),
         lambda i: F.struct(F.xxhash64(part("a", i)).alias("h"), F.xxhash64(part("b", i)).alias("h2"), i.alias("idx")),
     )
-    in_order = hashed.select("repo", "path", "width", F.array_sort(blocks).alias("sorted"))
+    in_order = hashed.select("repo", "path", F.array_sort(blocks).alias("sorted"))
     row = F.col("sorted")
     first = F.filter(row, lambda b, i: (i == 0) | (row[i - 1]["h"] != b["h"]) | (row[i - 1]["h2"] != b["h2"]))
-    return text.inline_rows(in_order, ["repo", "path", "width"], first)
+    return text.inline_rows(in_order, ["repo", "path"], first)
 
 
 def _sizes(members: DataFrame, key: list[str], least: int | Column) -> DataFrame:
