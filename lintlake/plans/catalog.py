@@ -516,8 +516,9 @@ def _(spark, d):
 
 
 def _smart(spark: SparkSession, d: str) -> smart.SmartRun:
+    """A reviewed run of which a query makes the tables that it reads."""
     code = fx.code_files(spark, d)
-    return smart.smart_run(code, fx.verdict_answers, fx.review_answers(code), f"{shared_dir(spark)}/smart-{uuid.uuid4().hex}")
+    return smart.SmartRun(code, fx.verdict_answers, fx.review_answers(code), f"{shared_dir(spark)}/smart-{uuid.uuid4().hex}")
 
 
 @query("jn2_all_findings_validated")
@@ -957,7 +958,7 @@ def _(spark, d):
 @query("e1_smart_patches_section")
 def _(spark, d):
     code, place = fx.code_files(spark, d), f"{shared_dir(spark)}/smart-{uuid.uuid4().hex}"
-    run = smart.smart_run(code, fx.verdict_answers, fx.review_answers(code), place)
+    run = smart.SmartRun(code, fx.verdict_answers, fx.review_answers(code), place)
     return smart.smart_patches(run, code, lambda wanted: fx.fix_answers(code, fv.SECRET_PATTERNS[0][0]), place)[1]
 
 

@@ -171,6 +171,17 @@ def test_smart_run_goes_on(spark, tmp_path):
     assert scoring.top_findings(first.kept).groupBy("repo").count().filter("count > 5").isEmpty()
 
 
+def test_smart_tables_by_need(spark, tmp_path):
+    """A table of a reviewed run is made when it is first read, and is that of the whole run."""
+    code = fixtures.code_files(spark, SMALL)
+    run = lambda of, name: of(code, fixtures.verdict_answers, fixtures.review_answers(code), str(tmp_path / name))
+    whole = run(smart.smart_run, "whole")
+    for name, made in (("review", {"review"}), ("validated", {"facts", "findings", "validated"}),
+                       ("cards", {"facts", "findings", "validated", "review", "cards"})):
+        assert Counter(getattr(run(smart.SmartRun, name), name).collect()) == Counter(getattr(whole, name).collect())
+        assert set(os.listdir(tmp_path / name)) == made
+
+
 def test_review_scores(spark):
     rows = [("a", s) for s in ("critical", "high", "odd")] + [("b", "critical")] * 4 + [("c", "low")]
     got = {r.repo: float(r.score) for r in smart.review_scores(spark.createDataFrame(rows, "repo string, severity string")).collect()}
