@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -37,6 +38,8 @@ _BRANCHES = (ast.If, ast.IfExp, ast.For, ast.AsyncFor, ast.While, ast.ExceptHand
              ast.AsyncWith, ast.Assert)
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _BATCH_ROWS = 64
+#: A worker keeps the facts of this many short texts, those it met last: copied files are parsed once.
+_KEPT_TEXTS, _SHORT = 512, 4_096
 
 
 def _list(**fields: pa.DataType) -> pa.DataType:
@@ -63,7 +66,7 @@ def syntax_facts(files: DataFrame, with_source: bool = False) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, _BATCH_ROWS):
                 repos, paths, contents = (c.to_pylist() for c in batch.slice(start, _BATCH_ROWS).columns)
-                facts = zip(*(_facts_of(content, with_source) for content in contents), strict=True)
+                facts = zip(*(_facts_once(content, with_source) for content in contents), strict=True)
                 columns = zip([repos, paths, *facts], _ARROW.types, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], schema=_ARROW)
 
@@ -97,6 +100,16 @@ def remembered_facts(files: DataFrame, folder: str, with_source: bool = False) -
     return python_files.select("repo", "path", "key").join(known, "key").select(*_COLUMNS)
 
 
+@lru_cache(_KEPT_TEXTS)
+def _facts_of_short(content: str, with_source: bool) -> tuple:
+    return _facts_of(content, with_source)
+
+
+def _facts_once(content: str, with_source: bool) -> tuple:
+    """``_facts_of``, remembered for short texts; nothing may change what it returns."""
+    return (_facts_of_short if len(content) <= _SHORT else _facts_of)(content, with_source)
+
+
 def _facts_of(content: str, with_source: bool) -> tuple:
     """Flatten one syntax tree, breadth first, into lists of plain facts."""
     try:

@@ -311,3 +311,21 @@ def test_batches_of_a_folder_are_small(tmp_path):
     batches = [b for f in folder.planned(reader.roots) for b in reader.read(f)]
     assert max(b.nbytes for b in batches) < 6 * 1024 * 1024
     assert sorted(p for b in batches for p in b.column("path").to_pylist()) == [f"f{i:02d}.py" for i in range(60)]
+
+
+def test_copied_files_are_parsed_once(spark, monkeypatch):
+    """Copies of a short text are parsed once by a worker, and every copy has its facts."""
+    text = "import os\ndef f(a=[]):\n    return [x for x in a if x]\n"
+    parsed, own = [], pyfacts._facts_of
+    monkeypatch.setattr(pyfacts, "_facts_of", lambda content, with_source: parsed.append(content) or own(content, with_source))
+    pyfacts._facts_of_short.cache_clear()
+    long_text = text + "#" * pyfacts._SHORT
+    for content in (text, long_text, text, "def broken(", text, "def broken("):
+        assert pyfacts._facts_once(content, False) == own(content, False)
+    assert parsed == [text, long_text, "def broken("]
+    assert pyfacts._facts_once(text, True) != pyfacts._facts_once(text, False)
+    monkeypatch.undo()
+    files = files_of(spark, [("r", f"{i}.py", text if i % 2 else f"{text}y = {i}\n") for i in range(200)])
+    rows = pyfacts.syntax_facts(files).collect()
+    assert len(rows) == 200 and all(r.parsed and r.mutable[0].kind == "list" and r.funcs[0].decisions == 0 for r in rows)
+    assert all((list(r.names) == ["y", "x", "a"]) != bool(int(r.path[:-3]) % 2) or "y" in r.names for r in rows)
